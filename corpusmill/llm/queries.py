@@ -5,10 +5,12 @@ from __future__ import annotations
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
 from corpusmill.llm.mixing import op6_mixing
+from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op10_chat_formatting": op10_chat_formatting,
