@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
 from corpusmill.llm.mixing import op6_mixing
+from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
 
@@ -13,9 +14,11 @@ QUERIES = {
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES = {
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": OP10_SQL,
 }
