@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
+from corpusmill.llm.langid import op2_language_id
 from corpusmill.llm.mixing import op6_mixing
 from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
@@ -11,6 +12,7 @@ from corpusmill.llm.sharding import op7_sharding
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
