@@ -9,10 +9,12 @@ from corpusmill.llm.mixing import op6_mixing
 from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
+from corpusmill.llm.topk import OP3_SQL, op3_exact_topk
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_exact_topk": op3_exact_topk,
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_exact_topk": OP3_SQL,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": OP10_SQL,
 }
