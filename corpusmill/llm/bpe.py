@@ -1,31 +1,35 @@
-"""Byte-level BPE in Spark expressions.
-
-A token is held as the character whose code point is its id, so a sequence of tokens is a string, merging a pair
-everywhere is one replace(), and the ids are the string's UTF-32 form. The rank map is a literal table of hash
-buckets that every task holds: pair of tokens to merged token. A word (one match of the pattern) is folded: its
-bytes become tokens, and the pair of lowest rank is merged until no pair has a rank. Distinct words of the corpus are
-counted, the most frequent ones are folded once and their tokens join the literal table; other words are folded
-where they stand. Which words are in that table decides the speed only, never a result.
+"""Byte-level BPE.
+
+Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents become byte
+arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a
+rank. The rank map is a literal that every task holds, laid out as a double array: the rank of (a, b) is in slot
+base[a] + b, if that slot is a's. Documents then take the tokens of their words. Decoding concatenates the binary
+pieces that the ids stand for. All of it is one pass over the table without an exchange.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.common import table, written
 
-#: Token 0 stands as a private character, as replace() and split() treat U+0000 like any other but translate() doesn't.
-ZERO = "\ue000"
-#: Ids at or above this would be surrogates.
-MOST_IDS = 0xD800
-PAIR_BUCKETS = 1 << 16
-#: The literal word table holds at most so many words of at most so many bytes each: 6 MB of text at most.
-HOT_WORDS = 1 << 16
-HOT_BYTES = 96
+#: Ids are below this: a slot holds its owner and a rank in 16 bits each, and long words are held as characters.
+MOST_IDS = 0xD7FF
+#: Words of more bytes are folded as strings, all places of a pair at once.
+LONG_WORD = 512
+#: A block ends with the document that brings its texts to so many characters.
+BLOCK_CHARS = 16 << 20
+INDEX = np.dtype("<u4")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -34,107 +38,163 @@ def read_ranks(path: str) -> list[bytes]:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
     tokens = sorted(ranks, key=ranks.get)
     if [ranks[t] for t in tokens] != list(range(len(tokens))) or len(tokens) > MOST_IDS or any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("the rank file must rank all single bytes, without gaps, below 55296")
+        raise ValueError(f"the rank file must rank all single bytes, without gaps, below {MOST_IDS}")
     return tokens
 
 
-def as_char(token_id: int) -> str:
-    return chr(token_id) if token_id else ZERO
+def double_array(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """base by left token; slots: owner * 2^16 + rank of the merged token, or -1."""
+    ids, rows = {t: i for i, t in enumerate(tokens)}, defaultdict(list)
+    for t, merged in ids.items():
+        for k in range(1, len(t)):
+            if t[:k] in ids and t[k:] in ids:
+                rows[ids[t[:k]]].append((ids[t[k:]], merged))
+    base, slots = np.zeros(len(tokens), dtype=np.int64), np.full(1 << 20, -1, dtype=np.int64)
+    places = np.random.default_rng(0)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        at, merged = np.array(row).T
+        base[a] = places.integers(len(slots) - len(tokens))
+        while (slots[at + base[a]] >= 0).any():
+            base[a] = places.integers(len(slots) - len(tokens))
+        slots[at + base[a]] = (a << 16) + merged
+    return base, slots
 
 
-def bucketed(pairs: DataFrame, buckets: int) -> DataFrame:
-    """pairs (k, v) as one row: an array that holds, at a key's hash, a map of the keys with that hash."""
-    n = F.pmod(F.xxhash64("k"), F.lit(buckets))
-    filled = pairs.groupBy(n.alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    every = pairs.sparkSession.range(buckets).withColumnRenamed("id", "n").join(filled, "n", "left")
-    every = every.select(F.struct("n", F.coalesce("m", F.create_map().cast("map<string,string>")).alias("m")).alias("x"))
-    in_order = F.array_sort(F.collect_list("x"), lambda a, b: (a["n"] - b["n"]).cast("int"))
-    return every.agg(F.transform(in_order, lambda x: x["m"]).alias("t"))
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def look_up(buckets: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, F.pmod(F.xxhash64(key), F.size(buckets).cast("long")).cast("int")), key)
+def rank(ranks: Column, a: Column, b: Column) -> Column:
+    """The token that a and b merge to, which is their rank; null if they don't."""
+    slot = F.get(ranks["slots"], (F.get(ranks["base"], a.cast("int")) + b).cast("int"))
+    return F.when(F.shiftright(slot, 16) == a, slot.bitwiseAND(F.lit(65535)))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def pair_ranks(ranks: Column, parts: Column) -> Column:
+    """The rank of each part with the next one; the last has none."""
+    return F.transform(parts, lambda a, i: rank(ranks, a, F.get(parts, i + 1)))
+
 
+def fold(parts: Column, ranks: Column) -> Column:
+    """Tokens of one word, given its bytes' tokens. One merge changes the ranks of two pairs."""
 
-def fold(word: Column, pairs: Column, singles: Column) -> Column:
-    """The tokens of one word. pairs: bucketed rank map; singles: the token of each byte."""
-    latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.array_join(F.transform(latin, lambda c: F.get(singles, F.ascii(c))), "")
+    def merge(state: Column, at: Column, best: Column) -> Column:
+        c, m = state["parts"], state["ranks"]
+        before, after = rank(ranks, F.get(c, at - 2), best), rank(ranks, best, F.get(c, at + 1))
+        return F.struct(
+            F.concat(F.slice(c, 1, at - 1), F.array(best), F.slice(c, at + 2, F.size(c))).alias("parts"),
+            F.concat(F.slice(m, 1, F.greatest(at - 2, F.lit(0))), F.slice(F.array(before), 1, F.least(at - 1, F.lit(1))), F.array(after), F.slice(m, at + 2, F.size(c))).alias("ranks"),
+        )
 
     def step(state: Column, _: Column) -> Column:
-        def merged(chars: Column) -> Column:
-            ranked = F.transform(chars, lambda c, i: let(look_up(pairs, F.concat(c, F.get(chars, i + 1))), lambda m: F.when(m.isNotNull(), F.struct(m.alias("to"), i.alias("i")))))
+        best = F.array_min(state["ranks"])
+        return F.when(best.isNull(), state).otherwise(let(F.array_position(state["ranks"], best).cast("int"), lambda at: merge(state, at, best)))
+
+    start = F.struct(parts.alias("parts"), pair_ranks(ranks, parts).alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), start, step, lambda s: s["parts"])
+
+
+def fold_long(parts: Column, ranks: Column) -> Column:
+    """The same for a long word: parts are characters, and a pair is replaced wherever it stands, left to right."""
+    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 1), 4, "0")), "UTF-16BE")
+    numbers = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1).cast("long"))
+
+    def step(state: Column, _: Column) -> Column:
+        def merge(c: Column) -> Column:
             return let(
-                F.array_min(ranked),
-                lambda best: F.when(best.isNull(), F.struct(state["s"].alias("s"), F.lit(True).alias("done"))).otherwise(
-                    F.struct(F.replace(state["s"], F.concat(F.get(chars, best["i"]), F.get(chars, best["i"] + 1)), best["to"]).alias("s"), F.lit(False).alias("done"))
+                pair_ranks(ranks, c),
+                lambda m: F.when(F.array_min(m).isNull(), F.struct(state["text"].alias("text"), F.lit(True).alias("done"))).otherwise(
+                    let(
+                        F.array_position(m, F.array_min(m)).cast("int"),
+                        lambda at: F.struct(F.replace(state["text"], F.concat(char(F.get(c, at - 1)), char(F.get(c, at))), char(F.array_min(m))).alias("text"), F.lit(False).alias("done")),
+                    )
                 ),
             )
 
-        return F.when(state["done"], state).otherwise(let(F.split(state["s"], ""), merged))
-
-    first = F.struct(start.alias("s"), (F.length(start) < 2).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), first, step, lambda x: x["s"])
+        return F.when(state["done"], state).otherwise(let(numbers(state["text"]), merge))
+
+    start = F.struct(F.array_join(F.transform(parts, char), "").alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start, step, lambda s: numbers(s["text"]))
+
+
+def cut(batches: Iterator[pa.RecordBatch], pattern: str, singles: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text) to blocks (rows, places, words): each text's words as indices into the block's distinct words."""
+    find = regex.compile(pattern).findall
+
+    def block(rows: list[pa.Array], places: list[bytes], words: dict[str, int]) -> pa.RecordBatch:
+        data = [w.encode() for w in words]
+        ends = np.cumsum([0, *map(len, data)])
+        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(singles[np.frombuffer(b"".join(data), dtype=np.uint8)], pa.int64()))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(pa.array(places, pa.binary())), one(parts)], ["rows", "places", "words"])
+
+    rows, places, words, chars = [], [], defaultdict(count().__next__), 0
+    for batch in batches:
+        first = 0
+        for at, text in enumerate(batch["text"].to_pylist()):
+            found = find(text or "")
+            places.append(np.fromiter(map(words.__getitem__, found), INDEX, len(found)).tobytes())
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS:
+                yield block([*rows, batch["row"].slice(first, at + 1 - first)], places, words)
+                rows, places, words, chars, first = [], [], defaultdict(count().__next__), 0, at + 1
+        rows.append(batch["row"].slice(first))
+    if places:
+        yield block(rows, places, words)
+
+
+def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (rows, places, tokens by word) to rows with their ids as bytes."""
+    for batch in batches:
+        for rows, places, words in zip(batch["rows"], batch["places"], batch["tokens"], strict=True):
+            data = words.values.flatten().to_numpy().astype(INDEX).tobytes()
+            ends = (np.cumsum(np.concatenate([[0], words.values.value_lengths().to_numpy()])) * INDEX.itemsize).tolist()
+            pieces = [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+            ids = [b"".join(map(pieces.__getitem__, np.frombuffer(p.as_py(), INDEX).tolist())) for p in places.values]
+            for k in range(0, len(ids), 1000):
+                part = rows.values.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([*part.flatten(), pa.array(ids[k : k + 1000], pa.binary())], [*(f.name for f in part.type), "ids"])
 
 
 class ByteBpe:
-    """A vocabulary, and what of it the executors hold: one row, read as a scalar subquery."""
+    """A vocabulary. Its literal, one row of at most 1 MB of bases and 8 MB of slots, is read as a scalar subquery."""
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
-        self.spark, self.tokens = spark, read_ranks(rank_file)
-        #: \s of the pattern is Unicode white space, as in the tokenizer's own library.
-        self.pattern = "(?U)" + pattern
+        self.pattern, self.tokens = pattern, read_ranks(rank_file)
         ids = {t: i for i, t in enumerate(self.tokens)}
-        pairs = [(as_char(ids[t[:k]]) + as_char(ids[t[k:]]), as_char(i)) for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
-        ranked = spark.createDataFrame(pd.DataFrame(pairs, columns=["k", "v"]), "k string, v string")
-        singles = F.array(*[F.lit(as_char(ids[bytes([b])])) for b in range(256)])
-        self.pairs = written(bucketed(ranked, PAIR_BUCKETS).select(F.col("t").alias("pairs"), singles.alias("singles")), "bpe-pairs")
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
-
-    def hot_words(self, texts: DataFrame, text: str) -> DataFrame:
-        """The literal table for these texts: pairs, singles and hot, the tokens of the most frequent words."""
-        counts = texts.select(F.explode(self.words(F.col(text))).alias("k")).where(F.octet_length("k") <= HOT_BYTES).groupBy("k").count()
-        hot = counts.orderBy(F.desc("count"), "k").limit(HOT_WORDS).select("k").repartition(32)
-        rows = hot.select("k", self.pairs.select(F.struct("pairs", "singles")).scalar().alias("t"))
-        folded = rows.select("k", let(F.col("t"), lambda t: fold(F.col("k"), t["pairs"], t["singles"])).alias("v"))
-        return written(bucketed(folded, HOT_WORDS // 2).crossJoin(self.pairs).select("pairs", "singles", F.col("t").alias("hot")), "bpe-hot")
-
-    def encode(self, df: DataFrame, text: str = "text", tokens: str = "tokens") -> DataFrame:
-        """df with its texts' tokens (a string, see above). A null text is empty and has no tokens."""
-        held = self.hot_words(df, text)
-        kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != tokens.lower()]
-        rows = df.select(*kept, self.words(F.col(f"`{text}`")).alias("__words"), held.select(F.struct("*")).scalar().alias("__t"))
-        one = lambda t: F.array_join(F.transform("__words", lambda w: F.coalesce(look_up(t["hot"], w), fold(w, t["pairs"], t["singles"]))), "")
-        return rows.select(*kept, let(F.col("__t"), one).alias(tokens))
-
-    def decode(self, df: DataFrame, tokens: str = "tokens", data: str = "decoded") -> DataFrame:
-        """df with the bytes that its tokens stand for, pieces concatenated."""
-        pieces = pd.DataFrame({"n": range(len(self.tokens)), "b": self.tokens})
-        pieces = self.spark.createDataFrame(pieces, "n long, b binary")
-        held = written(pieces.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("b").cast("string").alias("b")))), lambda x: x["b"]).alias("b")), "bpe-pieces")
-        kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != data.lower()]
-        rows = df.select(*kept, held.scalar().alias("__t"))
-        plain = F.split(F.replace(F.col(tokens), F.lit(ZERO), F.lit("\0")), "")
-        return rows.select(*kept, let(F.col("__t"), lambda t: F.array_join(F.transform(plain, lambda c: F.get(t, F.ascii(c))), "")).cast("binary").alias(data))
-
-
-def token_ids(tokens: Column) -> Column:
-    """Tokens as an array of ids."""
-    chars = F.filter(F.split(tokens, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.when(c == ZERO, 0).otherwise(F.ascii(c)))
-
-
-def little_endian(tokens: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers: UTF-16LE has their lower halves, as all are below 2^16."""
-    halves = F.hex(F.encode(F.replace(tokens, F.lit(ZERO), F.lit("\0")), "UTF-16LE"))
-    return F.unhex(F.regexp_replace(halves, "(.{4})", "$10000"))
+        self.singles = np.array([ids[bytes([b])] for b in range(256)])
+        base, slots = double_array(self.tokens)
+        self.ranks = written(spark.createDataFrame(pa.table({"base": pa.array([base]), "slots": pa.array([slots])})), "bpe-ranks")
+
+    def encode(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        """The columns to keep (all but an older `ids`, if not named) with ids: little-endian unsigned 32-bit integers.
+
+        A null text is empty and has no ids. Rows stay in their partitions; an empty table stays empty.
+        """
+        keep = [c for c in keep or df.columns if c.lower() != "ids"]
+        kept = T.StructType([df.schema[c] for c in keep])
+        pattern, singles = self.pattern, self.singles
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
+        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(T.BinaryType())).add("words", T.ArrayType(T.ArrayType(T.LongType())))
+        cutting = rows.mapInArrow(lambda batches: cut(batches, pattern, singles), blocks)
+        held = cutting.select("rows", "places", "words", self.ranks.select(F.struct("base", "slots")).scalar().alias("ranks"))
+        tokens = lambda t: F.transform("words", lambda w: F.when(F.size(w) > LONG_WORD, fold_long(w, t)).otherwise(fold(w, t)))
+        folded = held.select("rows", "places", let(F.col("ranks"), tokens).alias("tokens"))
+        return folded.mapInArrow(join, T.StructType([*kept]).add("ids", T.BinaryType()))
+
+    def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
+        """df with the bytes that its ids stand for, pieces concatenated; null for null."""
+        pieces = self.tokens
+
+        def concatenated(column: pa.Array) -> pa.Array:
+            return pa.array((None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, INDEX).tolist())) for x in column.to_pylist()), pa.binary())
+
+        return df.withColumn(to, F.arrow_udf(concatenated, "binary")(F.col(ids)))
+
+
+def n_ids(ids: Column) -> Column:
+    return F.expr(f"octet_length({ids}) div {INDEX.itemsize}").cast("long")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +202,5 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "tokens"))
-    return rows.select("doc_id", F.length("tokens").cast("long").alias("n_tokens"), F.sha2(little_endian(F.col("tokens")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+    return rows.select("doc_id", n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
