@@ -10,6 +10,7 @@ from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
 from corpusmill.llm.topk import OP3_SQL, op3_exact_topk
+from corpusmill.llm.vector_dedup import op8_embedding_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
