@@ -9,6 +9,7 @@ from corpusmill.llm.mixing import op6_mixing
 from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
+from corpusmill.llm.text_dedup import op4_minhash_dedup
 from corpusmill.llm.topk import OP3_SQL, op3_exact_topk
 from corpusmill.llm.vector_dedup import op8_embedding_dedup
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op3_exact_topk": op3_exact_topk,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
