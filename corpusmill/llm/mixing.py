@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import n_words, table, written
+from corpusmill.llm.common import n_words, small_side, table, written
 
 SEED = "mix-1"
 #: Most times that a source's words may be taken.
 EPOCHS = 3
 #: Quality weights of documents labelled 1 and 0, and of those without a label.
 QUALITY = {1: 1.0, 0: 0.25, None: 0.5}
+#: Weights are joined by broadcast up to so many (16 bytes each), else by a shuffle.
+BROADCAST_WEIGHTS = 300_000
 
 
-def targets(sizes: DataFrame, total: Column | None = None) -> DataFrame:
+def targets(sizes: DataFrame) -> DataFrame:
     """sizes (source, source_size) with target: shares by weight 1, 2, 3, 1, ... in code-point order, null last;
     no target is above EPOCHS times its size, and what exceeds that is shared again by weight.
 
@@ -52,27 +54,31 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return best.select("doc_id", F.when(F.col("quality") >= 1, QUALITY[1]).when(F.col("quality") < 1, QUALITY[0]).otherwise(QUALITY[None]).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, rows_per_task: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None = None, seed: str = SEED, rows_per_task: int = 100_000) -> DataFrame:
     """docs (doc_id, source, size) with source_size, target, taken (words), copies (whole) and tail (words beyond).
 
     weights: doc_id and weight > 0, one row per id. A source of any size is cut into ranges of keys, and a prefix
     sum is that of the ranges before plus that within a range. A null source is a source of its own. Documents
-    without words get 0. Rows alike in every column are interchangeable. Extra columns are dropped.
+    without words get 0. Rows alike in every column are interchangeable. Of other columns only payload is kept, and
+    carried through one exchange.
     """
-    rows = docs.select("doc_id", "source", "size")
+    carried = [payload] if payload else []
+    rows = docs.select("doc_id", "source", "size", *carried)
     if weights is not None:
-        rows = rows.join(weights, "doc_id", "left")
+        rows = rows.join(small_side(weights, BROADCAST_WEIGHTS), "doc_id", "left")
     else:
         rows = rows.withColumn("weight", F.lit(None).cast("double"))
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(F.col("weight"), F.lit(QUALITY[None]))
-    rows = written(rows.select("doc_id", "source", "size", key.alias("key")), "mix-keys")
-    count = rows.count()
-    ranges = max(32, -(-count // rows_per_task))
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
-    summed = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    rows = rows.select("doc_id", "source", "size", key.alias("key"), *carried)
+    keys = written(rows.drop(*carried), "mix-keys")
+    ranges = max(32, -(-keys.count() // rows_per_task))
+    in_range = F.floor((1 - F.exp(-F.col("key"))) * ranges)
+    keys = keys.withColumn("range", in_range)
+    rows = rows.withColumn("range", in_range) if payload else keys
+    summed = keys.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     summed = summed.withColumn("ahead", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goals = targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")))
     goals = goals.withColumn("words", F.floor("target")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)))
     plan = summed.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     plan = plan.select(F.col("a.source").alias("s"), F.col("range").alias("r"), "ahead", "source_size", "target", "epochs", (F.col("words") - F.col("epochs") * F.col("source_size")).alias("rest"))
@@ -82,7 +88,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, row
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("ahead") - F.col("before")))
     taken = F.col("epochs") * F.col("size") + part
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
     return out.withColumn("copies", whole).withColumn("tail", F.col("taken") - F.col("copies") * F.col("size"))
 
 

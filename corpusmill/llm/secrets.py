@@ -101,19 +101,19 @@ def suspicious(candidate: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(candidate) >= bits)
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with column spans (it replaces one of this name): array of start, kind (index into KINDS) and end, sorted.
+def scan(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+    """df with a column of spans (it replaces one of this name): array of start, kind (index into KINDS) and end, sorted.
 
     Positions are code points, the end exclusive. A null or empty text has no spans.
     """
     x = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = [located(x, pattern, kind, lambda hit, value, n=least: F.length(value) >= n) for kind, (_, pattern, _, least) in enumerate(BASE)]
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != "spans"]
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != to.lower()]
     rows = df.select(*kept, F.concat(*base).alias("__base"), located(x, CANDIDATE, len(BASE), lambda hit, _: suspicious(hit)).alias("__more"))
     covered = lambda s: F.exists("__base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     inside = lambda s: F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.filter("__more", lambda s: ~covered(s) & ~inside(s))
-    return rows.select(*kept, F.array_sort(F.concat("__base", more)).alias("spans"))
+    return rows.select(*kept, F.array_sort(F.concat("__base", more)).alias(to))
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
