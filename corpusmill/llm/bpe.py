@@ -1,10 +1,10 @@
 """Byte-level BPE.
 
-Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents become byte
-arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a
-rank. The rank map is a literal that every task holds, laid out as a double array: the rank of (a, b) is in slot
-base[a] + b, if that slot is a's. Documents then take the tokens of their words. Decoding concatenates the binary
-pieces that the ids stand for. All of it is one pass over the table without an exchange.
+Texts are cut into words (the matches of a pattern), and the distinct words of a task's documents become byte
+arrays, block by block, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no
+pair has a rank. The rank map is a literal that every task holds, an array of small maps by hash of the pair.
+Documents then take the tokens of their words. Decoding concatenates the binary pieces that the ids stand for. All
+of it is one pass over the table without an exchange.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,18 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import table, written
 
-#: Ids are below this: a slot holds its owner and a rank in 16 bits each, and long words are held as characters.
+#: Ids are below this, as long words are held as characters.
 MOST_IDS = 0xD7FF
 #: Words of more bytes are folded as strings, all places of a pair at once.
 LONG_WORD = 512
-#: A block ends with the document that brings its texts to so many characters.
-BLOCK_CHARS = 16 << 20
+#: Buckets of the rank map (more than ids, a power of two), and the odd factor of the hash that deals pairs to them.
+BUCKETS, SPREAD = 1 << 16, 31
+#: A block ends with the group of TEXTS documents that brings its texts to so many characters.
+BLOCK_CHARS = 2 << 20
+#: A task forgets the words that it has seen when they are so many.
+MOST_WORDS = 500_000
+#: Texts of a batch that are Python strings at a time.
+TEXTS = 256
 INDEX = np.dtype("<u4")
 
 
@@ -42,22 +48,14 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
-def double_array(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """base by left token; slots: owner * 2^16 + rank of the merged token, or -1."""
-    ids, rows = {t: i for i, t in enumerate(tokens)}, defaultdict(list)
+def rank_map(tokens: list[bytes]) -> list[list[tuple[int, int]]]:
+    """By hash of a pair (a, b), a map of a to the token that they merge to: the hash and a determine b."""
+    ids, buckets = {t: i for i, t in enumerate(tokens)}, [[] for _ in range(BUCKETS)]
     for t, merged in ids.items():
         for k in range(1, len(t)):
-            if t[:k] in ids and t[k:] in ids:
-                rows[ids[t[:k]]].append((ids[t[k:]], merged))
-    base, slots = np.zeros(len(tokens), dtype=np.int64), np.full(1 << 20, -1, dtype=np.int64)
-    places = np.random.default_rng(0)
-    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        at, merged = np.array(row).T
-        base[a] = places.integers(len(slots) - len(tokens))
-        while (slots[at + base[a]] >= 0).any():
-            base[a] = places.integers(len(slots) - len(tokens))
-        slots[at + base[a]] = (a << 16) + merged
-    return base, slots
+            if (a := ids.get(t[:k])) is not None and (b := ids.get(t[k:])) is not None:
+                buckets[(a * SPREAD + b) % BUCKETS].append((a, merged))
+    return buckets
 
 
 def let(value: Column, body) -> Column:
@@ -67,8 +65,7 @@ def let(value: Column, body) -> Column:
 
 def rank(ranks: Column, a: Column, b: Column) -> Column:
     """The token that a and b merge to, which is their rank; null if they don't."""
-    slot = F.get(ranks["slots"], (F.get(ranks["base"], a.cast("int")) + b).cast("int"))
-    return F.when(F.shiftright(slot, 16) == a, slot.bitwiseAND(F.lit(65535)))
+    return F.try_element_at(F.get(ranks, (a * F.lit(SPREAD) + b).bitwiseAND(F.lit(BUCKETS - 1))), a)
 
 
 def pair_ranks(ranks: Column, parts: Column) -> Column:
@@ -77,28 +74,21 @@ def pair_ranks(ranks: Column, parts: Column) -> Column:
 
 
 def fold(parts: Column, ranks: Column) -> Column:
-    """Tokens of one word, given its bytes' tokens. One merge changes the ranks of two pairs."""
+    """Tokens of one word, given its bytes' tokens: the leftmost pair of lowest rank merges, until none has a rank."""
 
-    def merge(state: Column, at: Column, best: Column) -> Column:
-        c, m = state["parts"], state["ranks"]
-        before, after = rank(ranks, F.get(c, at - 2), best), rank(ranks, best, F.get(c, at + 1))
-        return F.struct(
-            F.concat(F.slice(c, 1, at - 1), F.array(best), F.slice(c, at + 2, F.size(c))).alias("parts"),
-            F.concat(F.slice(m, 1, F.greatest(at - 2, F.lit(0))), F.slice(F.array(before), 1, F.least(at - 1, F.lit(1))), F.array(after), F.slice(m, at + 2, F.size(c))).alias("ranks"),
-        )
+    def merge(c: Column, m: Column) -> Column:
+        at = F.array_position(m, F.array_min(m)).cast("int")
+        merged = F.concat(F.slice(c, F.lit(1), at - 1), F.array(F.array_min(m)), F.slice(c, at + 2, F.lit(LONG_WORD)))
+        return F.when(F.array_min(m).isNull(), c).otherwise(merged)
 
-    def step(state: Column, _: Column) -> Column:
-        best = F.array_min(state["ranks"])
-        return F.when(best.isNull(), state).otherwise(let(F.array_position(state["ranks"], best).cast("int"), lambda at: merge(state, at, best)))
-
-    start = F.struct(parts.alias("parts"), pair_ranks(ranks, parts).alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), start, step, lambda s: s["parts"])
+    steps = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    return F.aggregate(steps, parts, lambda c, _: let(pair_ranks(ranks, c), lambda m: merge(c, m)))
 
 
 def fold_long(parts: Column, ranks: Column) -> Column:
     """The same for a long word: parts are characters, and a pair is replaced wherever it stands, left to right."""
     char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 1), 4, "0")), "UTF-16BE")
-    numbers = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1).cast("long"))
+    numbers = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1))
 
     def step(state: Column, _: Column) -> Column:
         def merge(c: Column) -> Column:
@@ -118,39 +108,50 @@ def fold_long(parts: Column, ranks: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start, step, lambda s: numbers(s["text"]))
 
 
-def cut(batches: Iterator[pa.RecordBatch], pattern: str, singles: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (row, text) to blocks (rows, places, words): each text's words as indices into the block's distinct words."""
-    find = regex.compile(pattern).findall
+def cut(batches: Iterator[pa.RecordBatch], pattern: str, ids: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text) to blocks (rows, places, first, words).
+
+    words are those that the task hasn't had before, numbered from `first`; places are each text's words by number.
+    A word that is a token as a whole is that token; any other is its bytes' tokens.
+    """
+    find, singles = regex.compile(pattern).findall, [ids[bytes([b])] for b in range(256)]
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    rows, places, first, chars = [], [], 0, 0
 
-    def block(rows: list[pa.Array], places: list[bytes], words: dict[str, int]) -> pa.RecordBatch:
-        data = [w.encode() for w in words]
-        ends = np.cumsum([0, *map(len, data)])
-        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(singles[np.frombuffer(b"".join(data), dtype=np.uint8)], pa.int64()))
+    def block() -> pa.RecordBatch:
+        fresh = map(str.encode, islice(numbers, first, None))
+        words = pa.array(([ids[w]] if w in ids else [singles[b] for b in w] for w in fresh), pa.list_(pa.int32()))
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(pa.array(places, pa.binary())), one(parts)], ["rows", "places", "words"])
+        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(pa.array(places, pa.binary())), pa.array([first], pa.int32()), one(words)], ["rows", "places", "first", "words"])
 
-    rows, places, words, chars = [], [], defaultdict(count().__next__), 0
     for batch in batches:
-        first = 0
-        for at, text in enumerate(batch["text"].to_pylist()):
-            found = find(text or "")
-            places.append(np.fromiter(map(words.__getitem__, found), INDEX, len(found)).tobytes())
-            chars += len(text or "")
+        for k in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(k, TEXTS)
+            for text in part["text"].to_pylist():
+                found = find(text or "")
+                places.append(np.fromiter(map(numbers.__getitem__, found), INDEX, len(found)).tobytes())
+                chars += len(text or "")
+            rows.append(part["row"])
             if chars >= BLOCK_CHARS:
-                yield block([*rows, batch["row"].slice(first, at + 1 - first)], places, words)
-                rows, places, words, chars, first = [], [], defaultdict(count().__next__), 0, at + 1
-        rows.append(batch["row"].slice(first))
+                yield block()
+                if len(numbers) > MOST_WORDS:
+                    numbers = defaultdict(count().__next__)
+                rows, places, first, chars = [], [], len(numbers), 0
     if places:
-        yield block(rows, places, words)
+        yield block()
 
 
 def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (rows, places, tokens by word) to rows with their ids as bytes."""
+    """Blocks (rows, places, first, tokens) of a task, in order, to rows with their ids as bytes."""
+    pieces: list[bytes] = []
     for batch in batches:
-        for rows, places, words in zip(batch["rows"], batch["places"], batch["tokens"], strict=True):
-            data = words.values.flatten().to_numpy().astype(INDEX).tobytes()
-            ends = (np.cumsum(np.concatenate([[0], words.values.value_lengths().to_numpy()])) * INDEX.itemsize).tolist()
-            pieces = [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+        for rows, places, first, tokens in zip(batch["rows"], batch["places"], batch["first"].to_pylist(), batch["tokens"], strict=True):
+            if first == 0:
+                pieces = []
+            words = tokens.values
+            data = words.flatten().to_numpy().astype(INDEX).tobytes()
+            ends = (np.cumsum(np.concatenate([[0], words.value_lengths().to_numpy()])) * INDEX.itemsize).tolist()
+            pieces.extend(data[a:b] for a, b in zip(ends, ends[1:]))  # noqa: B905
             ids = [b"".join(map(pieces.__getitem__, np.frombuffer(p.as_py(), INDEX).tolist())) for p in places.values]
             for k in range(0, len(ids), 1000):
                 part = rows.values.slice(k, 1000)
@@ -158,14 +159,14 @@ def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class ByteBpe:
-    """A vocabulary. Its literal, one row of at most 1 MB of bases and 8 MB of slots, is read as a scalar subquery."""
+    """A vocabulary. Its literal, one row of one entry for each way to cut a token in two, is read as a scalar subquery."""
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
         self.pattern, self.tokens = pattern, read_ranks(rank_file)
         ids = {t: i for i, t in enumerate(self.tokens)}
-        self.singles = np.array([ids[bytes([b])] for b in range(256)])
-        base, slots = double_array(self.tokens)
-        self.ranks = written(spark.createDataFrame(pa.table({"base": pa.array([base]), "slots": pa.array([slots])})), "bpe-ranks")
+        self.ids = ids
+        maps = pa.array([rank_map(self.tokens)], pa.list_(pa.map_(pa.int32(), pa.int32())))
+        self.ranks = written(spark.createDataFrame(pa.table({"ranks": maps})), "bpe-ranks")
 
     def encode(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """The columns to keep (all but an older `ids`, if not named) with ids: little-endian unsigned 32-bit integers.
@@ -174,13 +175,13 @@ class ByteBpe:
         """
         keep = [c for c in keep or df.columns if c.lower() != "ids"]
         kept = T.StructType([df.schema[c] for c in keep])
-        pattern, singles = self.pattern, self.singles
+        pattern, whole = self.pattern, self.ids
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
-        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(T.BinaryType())).add("words", T.ArrayType(T.ArrayType(T.LongType())))
-        cutting = rows.mapInArrow(lambda batches: cut(batches, pattern, singles), blocks)
-        held = cutting.select("rows", "places", "words", self.ranks.select(F.struct("base", "slots")).scalar().alias("ranks"))
+        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(T.BinaryType())).add("first", T.IntegerType()).add("words", T.ArrayType(T.ArrayType(T.IntegerType())))
+        cutting = rows.mapInArrow(lambda batches: cut(batches, pattern, whole), blocks)
+        held = cutting.select("rows", "places", "first", "words", self.ranks.scalar().alias("ranks"))
         tokens = lambda t: F.transform("words", lambda w: F.when(F.size(w) > LONG_WORD, fold_long(w, t)).otherwise(fold(w, t)))
-        folded = held.select("rows", "places", let(F.col("ranks"), tokens).alias("tokens"))
+        folded = held.select("rows", "places", "first", let(F.col("ranks"), tokens).alias("tokens"))
         return folded.mapInArrow(join, T.StructType([*kept]).add("ids", T.BinaryType()))
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
