@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import audit
+from corpusmill.plans import audit, retrieval, text
 
-MODULES = [audit]
+MODULES = [audit, text, retrieval]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["audit_text_profile_by_source"](spark, sf_dir)
+    return QUERIES["hybrid_search_cards"](spark, sf_dir)
