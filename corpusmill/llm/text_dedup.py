@@ -5,9 +5,9 @@ hash of each bin is the bin's value, and an empty bin takes that of another one,
 bins for all documents (optimal densification). Bands of bins are buckets; documents with equal sets count as one.
 
 In each bucket the least document is the centre of a star of candidate edges, so a bucket of m documents gives
-m - 1 pairs. Pairs are confirmed on full sets. A bucket whose documents then lie in more than one component is
-gone through again with further centres, STARS at a time, until each pair across components has been tested; so no
-link is lost that shares a bucket, and buckets of copies and near copies never give all their pairs.
+m - 1 pairs, and pairs are confirmed on full sets. Where a bucket then holds more than one component, each document
+outside its largest component is compared with those of other components, in tiles of bounded size that emit likely
+pairs only. So no link is lost that shares a bucket, and no bucket gives all its pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import textnum as tn
@@ -29,11 +29,15 @@ PERCENT = 75
 #: Rows of a band and bands: a pair of similarity 0.75 shares no bucket with probability (1 - 0.75^4)^40 = 2e-7.
 ROWS, BANDS = 4, 40
 BINS = ROWS * BANDS
-#: Centres of one bucket in one further round.
-STARS = 32
+#: In a bucket of several components sets are compared by their least LOW hashes, 32 bits of each: exactly for sets
+#: of at most LOW shingles, else by an estimate with a deviation of 0.019. What such a comparison needs to be likely.
+LOW, EXACT_LIKELY, LOW_LIKELY = 512, 0.735, 0.65
+#: Documents in a tile of such a bucket, on average.
+TILE = 512
 #: A pair of sets of at least SKETCHED shingles goes on to its full sets if SKETCH_MATCHES of its BINS one-byte bins
-#: agree. At similarity 0.75 that is 120 on average with a deviation of 5.5.
-SKETCHED, SKETCH_MATCHES = 256, 80
+#: agree. At similarity 0.75 that is 120 on average with a deviation of 5.5 or, as smaller sets are nearly
+#: exhausted by the bins, less.
+SKETCHED, SKETCH_MATCHES = 64, 80
 #: Joined by broadcast up to so many ids (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -114,28 +118,85 @@ def common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(of(x), of(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], pa.int64())
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
-    """Those of pairs (a, b) that link, by sketches and then by full sets, which are made again for them only."""
-    about = nodes.select("rep", "n", "bytes")
-    of = lambda name: about.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bytes").alias(f"bytes_{name}"))
-    likely = pairs.join(of("b"), "b").join(of("a"), "a")
-    likely = likely.where((F.least("n_a", "n_b") < SKETCHED) | (agreeing("bytes_a", "bytes_b") >= SKETCH_MATCHES))
+def as_lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (rep, low): the upper halves of the set's least hashes."""
+    powers = tn.Powers()
+    for batch in batches:
+        lows = [(s[: LOW + 1] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets(batch["text"], powers)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lows, pa.binary())], ["rep", "low"])
+
+
+def likely_pairs(group: pa.Table) -> pa.Table:
+    """One tile pair of a bucket: rows that are asked about (asks) against the others, to pairs (a, b) that may link."""
+    whole = [np.frombuffer(x, dtype=np.uint32) for x in group["low"].to_pylist()]
+    asks, reps, components_ = (group[c].to_numpy() for c in ("asks", "rep", "component"))
+    asked, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    found: list[tuple[int, int]] = []
+    if len(asked) and len(others):
+        lows = [x[:LOW] for x in whole]
+        # Beyond its cut a set isn't known.
+        cuts = np.array([x[LOW] if len(x) > LOW else 1 << 32 for x in whole], dtype=np.uint64)
+        every_, sizes = np.concatenate([lows[k] for k in others]), np.array([len(lows[k]) for k in others])
+        starts = np.cumsum(sizes) - sizes
+        for k in asked:
+            a, cut = lows[k], np.minimum(cuts[k], cuts[others])
+            hits = a[np.minimum(np.searchsorted(a, every_), len(a) - 1)] == every_
+            known = (every_ < cuts[k]) if cuts[k] < 1 << 32 else np.ones(len(every_), dtype=bool)
+            shared, theirs = np.add.reduceat(hits & known, starts, dtype=np.int64), np.add.reduceat(known, starts, dtype=np.int64)
+            ours = np.searchsorted(a.astype(np.uint64), cut)
+            shared = np.minimum(shared, ours)
+            needed = np.where(cut < 1 << 32, LOW_LIKELY, EXACT_LIKELY)
+            near = (shared >= needed * (ours + theirs - shared)) & (components_[others] != components_[k])
+            found += [(reps[k], reps[o]) for o in others[near]]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+
+def of_texts(docs: DataFrame, ids: DataFrame, function, name: str, repeated: bool) -> DataFrame:
+    """(rep, name): what function makes of the texts of some ids, each only once."""
+    made = docs.join(small_side(ids, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(function, f"rep long, {name} binary")
+    return made.groupBy("rep", F.xxhash64(name).alias("h")).agg(F.first(name).alias(name)).select("rep", name) if repeated else made
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, repeated: bool, sketched: bool = True) -> DataFrame:
+    """Those of pairs (a, b) that link, by sketches (if asked) and then by full sets, made again for them only."""
+    likely = pairs
+    if sketched:
+        about = nodes.select("rep", "n", "bytes")
+        of = lambda name: about.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bytes").alias(f"bytes_{name}"))
+        likely = pairs.join(of("b"), "b").join(of("a"), "a")
+        likely = likely.where((F.least("n_a", "n_b") < SKETCHED) | (agreeing("bytes_a", "bytes_b") >= SKETCH_MATCHES))
     likely = written(likely.select("a", "b"), "dedup-likely")
     ids = likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct()
-    full = docs.join(small_side(ids, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(as_sets, "rep long, set binary")
-    if repeated:
-        full = full.groupBy("rep", F.xxhash64("set").alias("h")).agg(F.first("set").alias("set")).select("rep", "set")
-    full = written(full, "dedup-sets")
+    full = written(of_texts(docs, ids, as_sets, "set", repeated), "dedup-sets")
     of = lambda name: full.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
     both = likely.join(of("b"), "b").join(of("a"), "a").withColumn("shared", common("set_a", "set_b"))
     union = (F.octet_length("set_a") + F.octet_length("set_b")).cast("long") / 8 - F.col("shared")
-    return both.where(100 * F.col("shared") >= PERCENT * union).select("a", "b").distinct()
+    return written(both.where(100 * F.col("shared") >= PERCENT * union).select("a", "b").distinct(), "dedup-links")
 
 
 def similar_sizes(x, y):
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, rep, n) of buckets of several components, with their component and the bucket's largest one."""
+    named = buckets.join(classes, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+    return written(named.join(mixed.where("many > 1").select("key", "largest"), "key"), "dedup-open")
+
+
+def tiled(opened: DataFrame, lows: DataFrame) -> DataFrame:
+    """Rows of open buckets for each pair of tiles: documents outside the largest component ask all documents."""
+    tiles = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    rows = opened.join(tiles, "key").join(lows, "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    pair = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    numbers, own = F.sequence(F.lit(0), F.col("tiles") - 1), F.col("tile")
+    asking = F.when(F.col("component") != F.col("largest"), F.transform(numbers, lambda j: pair(own, j, True)))
+    told = F.transform(numbers, lambda i: pair(i, own, False))
+    return rows.select("key", "rep", "component", "low", F.inline(F.concat(told, F.coalesce(asking, F.slice(told, 1, 0)))))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df's rows as doc_id, n_shingles, component_id and kept.
 
@@ -157,34 +218,20 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     crowded = written(members.join(stars, "key"), "dedup-buckets")
     pairs = crowded.where((F.col("rep") != F.col("centre.rep")) & similar_sizes(F.col("n"), F.col("centre.n")))
     pairs = written(pairs.select(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).distinct(), "dedup-pairs")
-    links = written(confirmed(docs, nodes, pairs, repeated), "dedup-links")
+    links = confirmed(docs, nodes, pairs, repeated)
     if repeated:
         same = sound.join(again, "doc_id").join(nodes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         links = links.unionAll(same)
     classes = components(links)
-
-    # What is left of each bucket after its centre, and only if it lies in several components.
-    left = crowded.where(F.col("rep") > F.col("centre.rep")).select("key", "rep", "n")
-    while True:
-        named = left.join(classes, left["rep"] == classes["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        named = written(named, "dedup-left")
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        named = written(named.join(mixed, "key"), "dedup-mixed")
-        if named.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("rep")
-        centres = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= STARS)
-        centres = written(centres.select("key", F.col("rep").alias("c_rep"), F.col("n").alias("c_n"), F.col("component").alias("c_component")), "dedup-centres")
-        across = named.join(centres, "key").where((F.col("rep") > F.col("c_rep")) & (F.col("component") != F.col("c_component")) & similar_sizes(F.col("n"), F.col("c_n")))
-        fresh = written(across.select(F.col("rep").alias("a"), F.col("c_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
-        if not fresh.isEmpty():
-            pairs = pairs.unionAll(fresh)
-            more = written(confirmed(docs, nodes, fresh, repeated), "dedup-links")
-            if not more.isEmpty():
-                links = links.unionAll(more)
-                classes = components(links)
-        last = centres.groupBy("key").agg(F.max("c_rep").alias("last"))
-        left = named.join(last, "key").where(F.col("rep") > F.col("last")).select("key", "rep", "n")
+    opened = open_buckets(crowded.select("key", "rep", "n"), classes)
+    if not opened.isEmpty():
+        ids = opened.select(F.col("rep").alias("doc_id")).distinct()
+        lows = written(of_texts(docs, ids, as_lows, "low", repeated), "dedup-lows")
+        likely = tiled(opened, lows).groupBy("key", "i", "j").applyInArrow(likely_pairs, "a long, b long")
+        likely = written(likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-pairs")
+        more = confirmed(docs, nodes, likely, repeated, sketched=False)
+        if not more.isEmpty():
+            classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     found = nodes.select("f1", "f2", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
