@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import small_batches, table, written
 
 #: Ids are below this, as long words are held as characters.
 MOST_IDS = 0xD7FF
@@ -200,6 +200,7 @@ def n_ids(ids: Column) -> Column:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded."""
+    small_batches(spark)
     import public_tokenizers
 
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of this session to BATCH_ROWS rows: rows hold whole documents, and Spark counts rows only."""
+    now = int(spark.conf.get(BATCH_CONF))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
