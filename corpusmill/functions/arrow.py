@@ -7,6 +7,7 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _each(function, kind=None):
@@ -44,8 +45,8 @@ def _is_json(line: str) -> bool:
     return True
 
 
-html_unescape = F.arrow_udf(_each(html.unescape), "string")
+html_unescape = F.arrow_udf(_each(html.unescape), T.StringType())
 #: Sorted keys, compact, non-ASCII kept; null if the text isn't JSON.
-canonical_json = F.arrow_udf(_each(_canonical), "string")
-canonical_status = F.arrow_udf(_each(_status), "string")
-is_json = F.arrow_udf(_each(_is_json, pa.bool_()), "boolean")
+canonical_json = F.arrow_udf(_each(_canonical), T.StringType())
+canonical_status = F.arrow_udf(_each(_status), T.StringType())
+is_json = F.arrow_udf(_each(_is_json, pa.bool_()), T.BooleanType())

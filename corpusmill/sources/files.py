@@ -37,7 +37,7 @@ def with_origin(df: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines of text files: path, source, source_file, line (from 1) and text."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     pieces = F.split(F.regexp_replace("value", "(\r\n|\r|\n)\\z", ""), "\r\n|\r|\n", -1)
     return with_origin(files).select("path", "source", "source_file", F.posexplode(pieces).alias("n", "text")).where("NOT (n = 0 AND text = '')").select("path", "source", "source_file", (F.col("n") + 1).cast("long").alias("line"), "text")
 
