@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import textnum as tn
 from corpusmill.llm.common import small_batches, small_side, table, written
@@ -104,14 +105,14 @@ def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in sets(part["text"], powers)], pa.binary())], ["rep", "set"])
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many of two sketches' bytes are equal."""
     x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (a, b))
     return pa.array((x == y).sum(axis=1), pa.int32())
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def common(a: pa.Array, b: pa.Array) -> pa.Array:
     """The size of the intersection of two sets."""
     of = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
