@@ -106,7 +106,7 @@ def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     texts = docs.join(F.broadcast(ids), "doc_id").select("ord", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     sparse = texts.mapInArrow(featurize, "ord long, label int, index array<int>, value array<float>")
     model = sparse.repartition(1).sortWithinPartitions("ord").mapInArrow(train, "weights binary").first()
-    return np.frombuffer(model[0], dtype=np.float32)
+    return np.frombuffer(model[0], dtype=np.float32) if model else np.zeros((1 << BITS) + 1, dtype=np.float32)
 
 
 def score(df: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:

@@ -28,6 +28,5 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_topk": OP3_SQL,
-    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": OP10_SQL,
 }

@@ -30,6 +30,8 @@ DENSE = 0.02
 #: Pairs whose remaining products are taken at once.
 PAIRS = 1 << 18
 ROUNDING = 1e-12
+#: What goes with a vector: two hashes that identify it, its least id, how often it occurs, its label and length.
+CARRIED = ["f1", "f2", "rep", "copies", "label", "length"]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def turned(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], width
             slab[at] = np.floor(x[:, 0] / width)
             for k, row in zip(at, x, strict=True):
                 out[k] = row
-        yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], batch["label"], batch["length"], pa.array(slab), pa.array(out, pa.list_(pa.float64()))], ["rep", "copies", "label", "length", "slab", "vector"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in CARRIED), pa.array(slab), pa.array(out, pa.list_(pa.float64()))], [*CARRIED, "slab", "vector"])
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +112,9 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def compare(group: pa.Table, threshold: float) -> pa.Table:
-    """One pair of tiles to rows (a, b, links): links of a by number (b null), and edges (links null)."""
+    """One pair of tiles to rows (f1, f2, links), how many a vector has, and rows (a, b), edges between ids."""
     first, second = group.filter(group["first"]), group.filter(group["second"])
-    out = {"a": [], "b": [], "links": []}
+    out = {"f1": [], "f2": [], "links": [], "a": [], "b": []}
     if len(first) and len(second):
         same = bool(first["second"][0].as_py())
         i, j = linked_pairs(matrix(first["vector"]), matrix(second["vector"]), threshold)
@@ -120,11 +122,12 @@ def compare(group: pa.Table, threshold: float) -> pa.Table:
             i, j = i[i < j], j[i < j]
         else:
             j = j + len(first)
-        reps, copies = (first[c].to_numpy() if same else np.concatenate([first[c].to_numpy(), second[c].to_numpy()]) for c in ("rep", "copies"))
+        f1, f2, reps, copies = (first[c].to_numpy() if same else np.concatenate([first[c].to_numpy(), second[c].to_numpy()]) for c in CARRIED[:4])
         counts = (np.bincount(i, copies[j], len(reps)) + np.bincount(j, copies[i], len(reps))).astype(np.int64)
         labels = forest(i, j, len(reps))
         some, moved = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(reps)))
-        out = {"a": [*reps[some], *reps[moved]], "b": [*[None] * len(some), *reps[labels[moved]]], "links": [*counts[some], *[None] * len(moved)]}
+        nulls = [None] * len(some), [None] * len(moved)
+        out = {"f1": [*f1[some], *nulls[1]], "f2": [*f2[some], *nulls[1]], "links": [*counts[some], *nulls[1]], "a": [*nulls[0], *reps[moved]], "b": [*nulls[0], *reps[labels[moved]]]}
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
@@ -135,14 +138,14 @@ def tiled(vectors: DataFrame, tile: int) -> DataFrame:
     shifted = lambda by, name: sizes.select("label", "length", (F.col("slab") + by).alias("slab"), F.col("tiles").alias(name))
     around = sizes.join(shifted(1, "before"), ["label", "length", "slab"], "left").join(shifted(-1, "after"), ["label", "length", "slab"], "left")
     rows = vectors.join(around, ["label", "length", "slab"])
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.col("f2"), F.col("tiles")).cast("int"))
     numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda slab, kind, i, j, first, second: F.struct(slab.alias("pair_slab"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), first.alias("first"), second.alias("second"))
     slab, own, yes, no = F.col("slab"), F.col("tile"), F.lit(True), F.lit(False)
     within = F.transform(numbers(F.col("tiles")), lambda x: pair(slab, "same", F.least(x, own), F.greatest(x, own), own <= x, own >= x))
     onward = F.transform(numbers(F.col("after")), lambda x: pair(slab, "next", own, x, yes, no))
     backward = F.transform(numbers(F.col("before")), lambda x: pair(slab - 1, "next", x, own, no, yes))
-    return rows.select("rep", "copies", "label", "length", "vector", F.inline(F.concat(within, onward, backward)))
+    return rows.select(*CARRIED, "vector", F.inline(F.concat(within, onward, backward)))
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -160,15 +163,15 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     copies = written(copies.withColumn("length", F.size("vector")), "dedup-vectors")
 
     axes, width = principal_axes(copies), float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    slabs = copies.select("rep", "copies", "label", "length", "vector").mapInArrow(
-        lambda batches: turned(batches, axes, width), f"rep long, copies long, label {dict(copies.dtypes)['label']}, length int, slab int, vector array<double>"
+    slabs = copies.select(*CARRIED, "vector").mapInArrow(
+        lambda batches: turned(batches, axes, width), f"f1 long, f2 long, rep long, copies long, label {dict(copies.dtypes)['label']}, length int, slab int, vector array<double>"
     )
     pairs = tiled(written(slabs, "dedup-turned"), tile).groupBy("label", "length", "pair_slab", "kind", "i", "j")
-    found = written(pairs.applyInArrow(lambda group: compare(group, threshold), "a long, b long, links long"), "dedup-links")
+    found = written(pairs.applyInArrow(lambda group: compare(group, threshold), "f1 long, f2 long, links long, a long, b long"), "dedup-links")
 
-    links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = found.where("links is not null").groupBy("f1", "f2").agg(F.sum("links").alias("links"))
     classes = components(found.where("b is not null")).withColumnRenamed("node", "rep")
-    about = copies.select("f1", "f2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
+    about = copies.select("f1", "f2", "rep", "copies").join(links, ["f1", "f2"], "left").join(classes, "rep", "left")
     about = about.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = rows.select("vec_id", F.when(F.col("part"), F.col("f1")).alias("f1"), F.when(F.col("part"), F.col("f2")).alias("f2"))
     out = rows.join(about, ["f1", "f2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

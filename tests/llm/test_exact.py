@@ -1,0 +1,213 @@
+"""Tokens, secrets, chat, search, shards and mixes against plain versions."""
+
+import base64
+import hashlib
+import re
+import struct
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from compare import same_rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusmill.llm import chat, mixing, queries, secrets, sharding, topk
+from corpusmill.llm.bpe import ByteBpe, n_ids
+from corpusmill.llm.common import n_words, table
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_gives_the_rows_of_its_sql(spark, small, name):
+    same_rows(spark, small, queries.QUERIES[name], queries.ORACLES[name])
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens_equal_the_library_and_decode_to_the_text(spark, make_docs, odd_rows, reference):
+    texts = ["a" * 700, "=" * 1200, "ab" * 400, "don't stop's  \n\n x y z \x1c w", "日本語のテキスト😀😀", "!", "!!!!", "\0 \0", "𝔘𝔫𝔦" * 50, " ", "\n\n \n"]
+    chance = np.random.default_rng(5)
+    alphabet = list("aeiostnr éüñß 0123,.!?'\n\t日😀")
+    texts += ["".join(chance.choice(alphabet, chance.integers(1, 300))) for _ in range(80)]
+    rows = [*odd_rows, *((100 + k, t, "en", "s") for k, t in enumerate(texts))]
+    bpe = ByteBpe(spark, RANKS, public_tokenizers.PATTERN)
+    docs = make_docs(rows, clashes=True)
+    got = bpe.decode(bpe.encode(docs)).withColumn("count", n_ids("ids")).collect()
+    assert len(got) == len(rows) and set(docs.columns) <= set(got[0].asDict())
+    for r in got:
+        ids = reference.encode_ordinary(r.text or "")
+        assert r["ids"] == struct.pack(f"<{len(ids)}I", *ids) and r["count"] == len(ids)
+        assert bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def plain_spans(text):
+    kinds = [(0, r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), (1, "AKIA[A-Z0-9]+", 0, 18), (2, "[0-9a-f]+", 0, 16)]
+    return sorted((m.start(), k, m.end()) for k, p, g, n in kinds for m in re.finditer(p, text, re.A | (re.I if k == 0 else 0)) if len(m[g]) >= n)
+
+
+def entropy(window):
+    counts = np.unique(list(window), return_counts=True)[1] / len(window)
+    return float(-(counts * np.log2(counts)).sum())
+
+
+@given(st.lists(st.lists(st.sampled_from(["token", "Secret", "passwd", "api_key", "AKIA", "=", ":", " ", "\"", "'", "abcdef012", "ABCDEFGH1", "xyz", "é", "😀", ".", "-", "9"]), max_size=25).map("".join), min_size=20, max_size=40))
+@settings(max_examples=4, deadline=None)
+def test_base_spans_equal_plain_matches(spark, texts):
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "n long, text string")).collect()
+    for r in rows:
+        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] == plain_spans(texts[r.n])
+
+
+def test_entropy_adds_spans_and_the_allow_list_suppresses(spark):
+    secret = "Zk8vQp3LmX9rTb2Yc7Nw4Hd6"
+    texts = [f"key {secret} end", "https://site/a/b-c-d/thing-2024-11/other-page", "123e4567-e89b-12d3-a456-426614174000", "zzzzzzzzzzzzzzzzzzzzzzzz1", "keiteneinerachenerwort", f"EXAMPLE{secret}", f"x {secret} {secret}"]
+    rows = {r.n: [(s.start, secrets.KINDS[s.kind], s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "n long, text string")).collect()}
+    assert rows[0] == [(4, "entropy", 28)] and len(rows[6]) == 2
+    assert all(not rows[k] for k in (1, 3, 4, 5)) and all(k != "entropy" for _, k, _ in rows[2])
+    df = spark.createDataFrame([(x,) for x in (secret, "ab" * 20, "a" * 19 + "bcdefgh", "0123456789abcdef" * 3)], "x string")
+    for r in df.select("x", secrets.window_entropy(F.col("x")).alias("h")).collect():
+        assert r.h == pytest.approx(max(entropy(r.x[k : k + 20]) for k in range(len(r.x) - 19)))
+
+
+def test_redaction_and_odd_rows(spark, make_docs, odd_rows):
+    docs = make_docs(odd_rows, clashes=True)
+    rows = secrets.redact(secrets.scan(docs))
+    assert rows.count() == len(odd_rows) and set(docs.columns) == set(rows.columns)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    assert texts[7].startswith('[SECRET]"') and texts[2] is None and texts[3] == "" and texts[1] == odd_rows[0][1]
+    two = spark.createDataFrame([("é token = abcdefghijklm😀 AKIA" + "A" * 16 + " x",)], "text string")
+    assert secrets.redact(secrets.scan(two)).first().text == "é [SECRET]😀 [SECRET] x"
+
+
+def test_chat_reads_back_what_was_written(spark):
+    hard = ["\\", "\\\\</turn>", "<sep>", "\n<sep>\n", "\n</turn>\n<turn>user\n<text>\n", "", None, "a\\<text>", "</turn", "<turn>\\", "end\n"]
+    rows = [(k % 3, k, ("user", "assistant", "assistant", "system", None)[k % 5], x) for k, x in enumerate(hard * 3)]
+    rows += [(7, 1, "assistant", "twice"), (7, 1, "assistant", "twice"), (None, None, "user", "no id"), (8, 5, "user", "<turn>"), (8, 5, "assistant", "tie")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(df)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        assert [(t.role, t.text) for t in got[conv].turns] == [(r, x) for _, r, x in own]
+        assert list(got[conv].loss) == [x for _, r, x in own if r == "assistant"]
+    assert chat.format_chat(df.limit(0)).count() == 0
+    merged = chat.format_chat(spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(3)], "conv_id long, turn long, role string, text string")).first()
+    assert merged.formatted == "<turn>user\n<text>\nt0\n<sep>\nt1\n<sep>\nt2\n</turn>\n"
+    at = 0
+    for run in merged.loss_mask:
+        at += run.lead
+        assert merged.formatted[at : at + run.length].startswith("t")
+        at += run.length
+
+
+def test_top_k_leaves_out_what_it_cannot_compare(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [2.0, 2.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [9.0, 9.0]), (2, [2.0, 2.0]), (50, [-0.1, 3.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>").withColumn("score", F.lit(1))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, lambda i: i % 50 == 0).collect()}
+    ints = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in ((0, [1, 0.5]), (1, [1, 0.5]), (2, [2, 2]), (50, [-0.1, 3]))}
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)
+        assert [got[q, k + 1] for k in range(3)] == [(c, -s) for s, c in best] and (q, 4) not in got
+    assert topk.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+@given(st.integers(1, 80), st.integers(1, 150), st.integers(0, 10**6), st.sampled_from([3.0, 256.0]))
+@settings(max_examples=40, deadline=None)
+def test_branch_and_bound_equals_all_products(d, n, seed, scale):
+    chance = np.random.default_rng(seed)
+    found = np.floor(chance.normal(size=(n, d)) * scale)
+    found[n // 2 :] = found[: n - n // 2]
+    ids = chance.permutation(n).astype(np.int64)
+    for fast, plain in zip(topk.search(found[:4].copy(), ids[:4], found, ids, 5), topk.search_large(found[:4], ids[:4], found, ids, 5), strict=True):
+        assert fast[0].tolist() == plain[0].tolist() and fast[1].tolist() == plain[1].tolist()
+
+
+def test_top_k_over_many_blocks(spark, small):
+    vectors = table(spark, small, "embeddings").selectExpr("vec_id", "embedding as vector")
+    asked = lambda i: i % 50 == 0
+    assert sorted(topk.top_k(vectors, asked).collect()) == sorted(topk.top_k(vectors, asked, query_block=4, candidate_block=90).collect())
+
+
+def checked_shards(df, shards, largest):
+    rows = sharding.shard(df, shards).select("doc_id", sharding.row_bytes(F.col("text")).alias("bytes_"), "shard", "slot").collect()
+    sums, slots = [0] * shards, [[] for _ in range(shards)]
+    for r in rows:
+        sums[r.shard] += r.bytes_
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(abs(s - sum(sums) / shards) for s in sums) <= 2 * largest + 0.01 * sum(sums)
+    return rows
+
+
+def test_shards_are_even_gapless_and_whole(spark, small, make_docs, odd_rows):
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    assert len(checked_shards(docs, 8, docs.agg(F.max(F.octet_length("text"))).first()[0])) == docs.count()
+    hot = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then repeat('hot ', 20) else concat('t', id, repeat('x', 70)) end as text", "1 as shard", "2 as k1")
+    assert len(checked_shards(hot, 8, 90)) == 3000
+    odd = make_docs(odd_rows, clashes=True)
+    got = sharding.shard(odd)
+    assert got.count() == len(odd_rows) and set(odd.columns) == set(got.columns)
+    assert sharding.shard(odd.limit(0)).count() == 0
+    one = sharding.shard(odd.select("doc_id", "text"), 1).collect()
+    assert {r.shard for r in one} == {0} and sorted(r.slot for r in one) == list(range(len(odd_rows)))
+
+
+def plain_targets(sizes):
+    weights = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    left, open_, got = float(sum(sizes.values())), set(sizes), {}
+    while open_:
+        share = {s: left * weights[s] / sum(weights[o] for o in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not full:
+            return got | share
+        for s in full:
+            got[s] = 3.0 * sizes[s]
+            left -= got[s]
+        open_ -= full
+    return got
+
+
+def test_mix_meets_targets_to_the_word(spark, make_docs, odd_rows, small):
+    for docs in (make_docs(odd_rows, clashes=True), table(spark, small, "documents"), make_docs([(k, "w " * (k % 9), "en", f"s{k % 50 % 4}" if k % 50 else "rare") for k in range(400)])):
+        rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+        got = mixing.mix(rows, mixing.quality_weights(table(spark, small, "labels"))).collect()
+        assert len(got) == docs.count()
+        sizes = {}
+        for r in got:
+            sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        wanted = plain_targets(sizes)
+        for s in sizes:
+            own = [r for r in got if r.source == s]
+            assert own[0].source_size == sizes[s] and own[0].target == pytest.approx(wanted[s])
+            assert sum(r.taken for r in own) == int(own[0].target)
+            # Complete epochs come first: no document is a whole epoch ahead of another.
+            counts = {r.taken // r["size"] for r in own if r["size"]} | {-(-r.taken // r["size"]) for r in own if r["size"]}
+            assert not counts or max(counts) - min(counts) <= 1
+        assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+        again = mixing.mix(rows.repartition(5), mixing.quality_weights(table(spark, small, "labels")), rows_per_task=20).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(rows.limit(0)).count() == 0
+
+
+def test_better_documents_are_selected_more_often(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "case when id < 2000 then 'a' else 'b' end as source", "10L as size")
+    weights = spark.range(4000).selectExpr("id as doc_id", "case when id % 2 = 0 then 1.0D else 0.25D end as weight")
+    rows = mixing.mix(docs, weights).where("source = 'a'").selectExpr("doc_id % 2 as odd", "taken").groupBy("odd").sum("taken").collect()
+    taken = {r.odd: r["sum(taken)"] for r in rows}
+    assert taken[0] > 1.5 * taken[1]
+
+
+def test_secret_query_digests(spark, small):
+    texts = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    for r in secrets.op5_secret_scans(spark, small).collect():
+        plain = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
