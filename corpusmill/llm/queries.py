@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
 from corpusmill.llm.langid import op2_language_id
-from corpusmill.llm.mixing import op6_mixing
+from corpusmill.llm.mixing import OP6_SQL, op6_mixing
 from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_topk": OP3_SQL,
+    "op6_mixing": OP6_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
