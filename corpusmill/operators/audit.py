@@ -38,19 +38,23 @@ def field_rows(records: DataFrame) -> DataFrame:
     return exploded.select("ord", "source", "source_file", "location", "field", kind.alias("type"), F.when(kind == "str", F.expr("try_variant_get(v, '$', 'string')")).alias("text"))
 
 
-def counters(type_: Column, text: Column) -> list[Column]:
-    """The additive counters of a field."""
-    stripped = T.strip(text)
-    odd = T.suspicious(text)
+def measured(rows: DataFrame) -> DataFrame:
+    """rows (type, text) with what several counters take from a text, so that each is worked out once."""
+    return rows.withColumns({"stripped": F.length(T.strip(F.col("text"))), "odd": T.suspicious(F.col("text"))})
+
+
+def counters() -> list[Column]:
+    """The additive counters of a field, over measured rows."""
+    type_, text, stripped, odd = F.col("type"), F.col("text"), F.col("stripped"), F.col("odd")
     count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
     return [
         F.count(F.lit(1)).alias("present_count"),
         count(type_ == "NoneType", "null_count"),
         count(~type_.isin("NoneType", "str"), "non_string_count"),
         count(type_ == "str", "string_count"),
-        count(stripped != "", "non_empty_string_count"),
+        count(stripped > 0, "non_empty_string_count"),
         F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0)).alias("total_string_length"),
-        count((stripped != "") & (F.length(stripped) <= SHORT), "short_text_count"),
+        count((stripped > 0) & (stripped <= SHORT), "short_text_count"),
         count(F.length(text) >= LONG, "long_text_count"),
         count(text.rlike(T.ENTITY), "html_entity_count"),
         count(text.rlike(T.ESCAPED_NEWLINE), "escaped_newline_count"),
@@ -63,7 +67,7 @@ def counters(type_: Column, text: Column) -> list[Column]:
 
 def profile(rows: DataFrame) -> DataFrame:
     """Counters by source, source_file and field."""
-    return rows.groupBy("source", "source_file", "field").agg(*counters(F.col("type"), F.col("text")))
+    return measured(rows).groupBy("source", "source_file", "field").agg(*counters())
 
 
 def widen(by_file: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:

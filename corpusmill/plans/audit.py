@@ -38,7 +38,7 @@ def totals(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 
 def text_profile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text_rows(spark, sf_dir, "text")
-    profiled = rows.groupBy("source").agg(*audit.counters(F.col("type"), F.col("text")))
+    profiled = audit.measured(rows).groupBy("source").agg(*audit.counters())
     return audit.report(profiled, totals(spark, sf_dir, "source"), ["source"])
 
 
@@ -62,7 +62,7 @@ def duplicate_samples_first10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def likely_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text_rows(spark, sf_dir, "text", "lang", "source")
-    profiled = rows.groupBy("field").agg(*audit.counters(F.col("type"), F.col("text")))
+    profiled = audit.measured(rows).groupBy("field").agg(*audit.counters())
     return audit.likely_fields(profiled, totals(spark, sf_dir), [])
 
 
