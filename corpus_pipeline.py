@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import langid, mixing, secrets, text_dedup
 from corpusmill.llm.bpe import ByteBpe, n_ids
-from corpusmill.llm.common import WORD, n_words, small_batches, small_side, table, written
+from corpusmill.llm.common import WORD, n_words, small_batches, small_side, table, usual_batches, written
 
 #: SQL has no way to express these stages; tests hold them against a plain version.
 ORACLE_SQL = None
@@ -26,7 +26,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one of the known languages; those without letters and those in doubt go."""
-    small_batches(spark)
+    usual_batches(spark)
     rows = docs.select(F.struct("*").alias("doc"))
     of = lambda c: F.col("doc")[c]
     found = langid.identify(rows, langid.fit_documents(docs), of("text"), of("lang"), of("source"), F.lit("documents"))
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that of the least id; of rows with one id one stays, that whose
     text has the least hash. Rows without an id or a word have no copies and stay."""
-    small_batches(spark)
+    usual_batches(spark)
     found = written(text_dedup.near_duplicates(docs), "pipeline-classes")
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     kept = docs.join(small_side(gone, text_dedup.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

@@ -36,10 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches of this session to BATCH_ROWS rows: rows hold whole documents, and Spark counts rows only."""
-    now = int(spark.conf.get(BATCH_CONF))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    """Holds Arrow batches of this session to BATCH_ROWS rows, for operators whose Python holds much beside them."""
+    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def usual_batches(spark: SparkSession) -> None:
+    """Back to Spark's own size of Arrow batches: small ones stay in the JVM's buffer pools and cost more memory."""
+    spark.conf.unset(BATCH_CONF)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

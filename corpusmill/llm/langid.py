@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import textnum as tn
-from corpusmill.llm.common import small_batches, small_side, table, written
+from corpusmill.llm.common import small_side, table, usual_batches, written
 
 LANGUAGES = ("en", "fr", "de", "es")
 BITS = 16
@@ -186,7 +186,7 @@ def fit_documents(docs: DataFrame) -> np.ndarray:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, by their markup and addresses, and all documents, by their declared language and source."""
-    small_batches(spark)
+    usual_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit_documents(docs)
     pages = table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import textnum as tn
-from corpusmill.llm.common import small_batches, table
+from corpusmill.llm.common import table, usual_batches
 
 BITS = 18
 FAMILIES = 4
@@ -120,7 +120,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", to: str = "sco
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model that saw no held-out label."""
-    small_batches(spark)
+    usual_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
     labels = table(spark, sf_dir, "labels").where(part != 2).select("doc_id", F.col("quality").alias("label"))

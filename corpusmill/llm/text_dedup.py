@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import textnum as tn
-from corpusmill.llm.common import small_batches, small_side, table, written
+from corpusmill.llm.common import small_side, table, usual_batches, written
 from corpusmill.llm.components import components
 
 SHINGLE = 5
@@ -242,5 +242,5 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their classes of near copies."""
-    small_batches(spark)
+    usual_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
