@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes (or one longer text), which bounds the arrays below.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Odd multipliers for hashes modulo 2^64; any would do.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
