@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import langid, mixing, secrets, text_dedup
 from corpusmill.llm.bpe import ByteBpe, n_ids
-from corpusmill.llm.common import WORD, n_words, small_batches, small_side, table, usual_batches, written
+from corpusmill.llm.common import n_words, small_batches, small_side, table, usual_batches, written
 
 #: SQL has no way to express these stages; tests hold them against a plain version.
 ORACLE_SQL = None
@@ -55,17 +55,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that meets the budget of its source within it is cut there.
+    """Documents as often as the mix takes them, always whole: the one that meets the budget of its source within it
+    is taken once more if that lands nearer the target, else not. So a source is off its target by half of that
+    document at most, and none is taken more than mixing.EPOCHS times.
 
     Documents without a word are not in the mix.
     """
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("doc"))
     mixed = mixing.mix(rows, mixing.quality_weights(table(spark, sf_dir, "labels")), payload="doc")
-    whole, cut = F.array_repeat(F.lit(False), F.col("copies").cast("int")), F.array_repeat(F.lit(True), (F.col("tail") > 0).cast("int"))
-    taken = mixed.select("doc", "tail", F.explode(F.concat(whole, cut)).alias("cut"))
-    beginning = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), 1, F.col("tail").cast("int")), "")
-    taken = taken.select("doc.*", F.when(F.col("cut"), beginning).otherwise(F.col("doc.text")).alias("__text"))
-    return measured(taken.withColumn("text", F.col("__text"))).select(*docs.columns)
+    # The target less what whole copies up to here give; a tail is only left where copies < EPOCHS.
+    missing = F.col("tail") + F.col("target") - F.floor("target")
+    more = F.when((F.col("tail") > 0) & (2 * missing >= F.col("size")), 1).otherwise(0)
+    times = (F.col("copies") + more).cast("int")
+    return mixed.select("doc", F.explode(F.array_repeat(F.lit(0), times))).select("doc.*").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,6 +210,30 @@ def test_stages_do_what_they_say(spark, small):
     assert words == Counter({r.source: int(r.target) for r in mixing.targets(sizes).collect()})
 
 
+def test_mix_takes_documents_whole(spark, small, make_docs):
+    from corpusmill.llm import mixing
+    from corpusmill.llm.common import n_words
+
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(k, words(k, 5 + k % 7), "en", f"src{k % 3}") for k in range(120)] + [(500, words(500, 3000), "en", "src1"), (501, " ", "en", "src1")]
+    rows += [(1000 + k, words(1000 + k, 20 + k), "en", f"alone{k}") for k in range(40)]
+    docs = make_docs(rows)
+    sizes = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
+    targets = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    texts, taken, words_of = {r[0]: r[1] for r in rows}, Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, small).collect():
+        assert r.text == texts[r.doc_id] and r.n_chars == len(r.text)
+        taken[r.doc_id] += 1
+        words_of[r.source] += len(r.text.split())
+    assert max(taken.values()) <= mixing.EPOCHS and 501 not in taken
+    for source, target in targets.items():
+        longest = max(len(t.split()) for _, t, _, s in rows if s == source)
+        assert abs(words_of[source] - target) <= longest / 2
+    # A source of one document: the number of its copies nearest to the target.
+    for k in range(40):
+        assert abs(taken[1000 + k] * (20 + k) - targets[f"alone{k}"]) <= (20 + k) / 2
+
+
 def test_pipeline_runs(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and all(len(r.ids) == 4 * r.n_tokens for r in rows)
