@@ -111,8 +111,7 @@ def scan(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != to.lower()]
     rows = df.select(*kept, F.concat(*base).alias("__base"), located(x, CANDIDATE, len(BASE), lambda hit, _: suspicious(hit)).alias("__more"))
     covered = lambda s: F.exists("__base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    inside = lambda s: F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("__more", lambda s: ~covered(s) & ~inside(s))
+    more = F.filter("__more", lambda s: ~covered(s))
     return rows.select(*kept, F.array_sort(F.concat("__base", more)).alias(to))
 
 
