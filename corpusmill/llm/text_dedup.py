@@ -153,8 +153,9 @@ def likely_pairs(group: pa.Table) -> pa.Table:
 
 
 def of_texts(docs: DataFrame, ids: DataFrame, function, name: str, repeated: bool) -> DataFrame:
-    """(rep, name): what function makes of the texts of some ids, each only once."""
+    """(rep, name): what function makes of the texts of some ids, each only once; texts without a word are left out."""
     made = docs.join(small_side(ids, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(function, f"rep long, {name} binary")
+    made = made.where(F.octet_length(name) > 0)
     return made.groupBy("rep", F.xxhash64(name).alias("h")).agg(F.first(name).alias(name)).select("rep", name) if repeated else made
 
 
@@ -236,6 +237,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     found = nodes.select("f1", "f2", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
+    # A text without a word is in the class of its id's other texts.
+    wordless = rows.where("f1 is null and doc_id is not null").select("doc_id").distinct()
+    named = sound.join(small_side(wordless, BROADCAST_IDS), "doc_id", "left_semi").join(found, ["f1", "f2"])
+    named = written(named.groupBy("doc_id").agg(F.min("component").alias("of_id")), "dedup-wordless")
+    if not named.isEmpty():
+        out = out.join(small_side(named, BROADCAST_IDS), "doc_id", "left").withColumn("component", F.coalesce("component", "of_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

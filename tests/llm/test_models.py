@@ -78,6 +78,13 @@ def test_hot_group_near_the_threshold_keeps_every_link(spark):
     checked_classes(spark, rows)
 
 
+def test_repeated_ids_with_an_empty_text_in_open_buckets(spark):
+    chance = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, edited(chance, base, 0.035)) for k in range(250)] + [(2000 + k, " ".join(base)) for k in range(40)]
+    checked_classes(spark, rows + [(k, ("", None, " ")[k % 3]) for k in range(250)])
+
+
 def test_long_near_copies_link(spark):
     chance = np.random.default_rng(2)
     base = [f"v{k}" for k in range(3000)]
