@@ -7,7 +7,7 @@ tables stay empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import langid, mixing, secrets, text_dedup
@@ -34,19 +34,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the least id; of rows with one id one stays, that whose
-    text has the least hash. Rows without an id or a word have no copies and stay."""
+    """One document of each class of near copies, that of the least id; of equal ids that whose text has the least
+    hash. Each different text of an id is a document, and rows alike in id and text are one. Rows without an id stay,
+    as do texts without a word."""
     usual_batches(spark)
-    found = written(text_dedup.near_duplicates(docs), "pipeline-classes")
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(small_side(gone, text_dedup.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = written(again, "pipeline-repeated")
     if again.isEmpty():
-        return kept
-    again = small_side(written(again, "pipeline-repeated"), text_dedup.BROADCAST_IDS)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.join(again, "doc_id", "left_semi").withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+        found = written(text_dedup.near_duplicates(docs), "pipeline-classes")
+        gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+        return docs.join(small_side(gone, text_dedup.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    # Texts of a repeated id get a key each, others keep their id for one.
+    again = small_side(again.withColumn("__again", F.lit(True)), text_dedup.BROADCAST_IDS)
+    key = F.when(F.col("__again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))
+    keyed = docs.join(again, "doc_id", "left").withColumn("__key", key)
+    found = written(text_dedup.near_duplicates(keyed.select("__key", "text"), doc_id="__key"), "pipeline-classes")
+    found = found.where("doc_id is not null").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    names = keyed.where("__again").select("__key", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).distinct()
+    place = F.struct(F.coalesce("id", "__key"), F.coalesce("hash", F.lit(0)), F.col("__key").alias("key"))
+    first = found.join(names, "__key", "left").groupBy("component_id").agg(F.min(place)["key"].alias("__key"))
+    gone = written(found.join(first, "__key", "left_anti").select("__key"), "pipeline-gone")
+    kept = keyed.join(small_side(gone, text_dedup.BROADCAST_IDS), "__key", "left_anti")
+    once = kept.where("__again").dropDuplicates(["__key"])
+    return kept.where("__again is null").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

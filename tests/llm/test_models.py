@@ -217,6 +217,17 @@ def test_stages_do_what_they_say(spark, small):
     assert words == Counter({r.source: int(r.target) for r in mixing.targets(sizes).collect()})
 
 
+def test_near_dedup_drops_only_texts_with_a_copy_that_stays(spark, small, make_docs):
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, one), (10, one + " more"), (10, two), (20, three), (20, three), (20, four), (30, four + " more"), (40, "p q r s t u"), (40, ""), (40, None), (None, one)]
+    got = corpus_pipeline.near_dedup(spark, make_docs(rows, clashes=True), small).collect()
+    kept = [(3, one), (10, two), (20, three), (20, four), (40, "p q r s t u"), (40, ""), (40, None), (None, one)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(kept, key=str)
+    copies = [(10, one), (10, one + " more"), (11, one), (9, two)]
+    got = corpus_pipeline.near_dedup(spark, make_docs(copies), small).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {9, 10}
+
+
 def test_mix_takes_documents_whole(spark, small, make_docs):
     from corpusmill.llm import mixing
     from corpusmill.llm.common import n_words
