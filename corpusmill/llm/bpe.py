@@ -1,10 +1,10 @@
 """Byte-level BPE.
 
-Texts are cut into words (the matches of a pattern), and the distinct words of a task's documents become byte
-arrays, block by block, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no
-pair has a rank. The rank map is a literal that every task holds, an array of small maps by hash of the pair.
-Documents then take the tokens of their words. Decoding concatenates the binary pieces that the ids stand for. All
-of it is one pass over the table without an exchange.
+Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents become byte
+arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a rank.
+The rank map is a literal that every task holds, an array of small maps by hash of the pair. Documents then take the
+tokens of their words, in Spark too. Decoding concatenates the binary pieces that the ids stand for. All of it is one
+pass over the table without an exchange; a block depends on its own rows only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import small_batches, table, written
+from corpusmill.llm.common import let, table, written
 
-#: Ids are below this, as long words are held as characters.
-MOST_IDS = 0xD7FF
+#: Ids are below this, as the parts of a word are held as the characters of a string: id i as character i + 1.
+MOST_IDS, NO_RANK = 0xD7FF, "\uffff"
 #: Words of more bytes are folded as strings, all places of a pair at once.
 LONG_WORD = 512
 #: Buckets of the rank map (more than ids, a power of two), and the odd factor of the hash that deals pairs to them.
 BUCKETS, SPREAD = 1 << 16, 31
 #: A block ends with the group of TEXTS documents that brings its texts to so many characters.
-BLOCK_CHARS = 2 << 20
-#: A task forgets the words that it has seen when they are so many.
-MOST_WORDS = 500_000
-#: Texts of a batch that are Python strings at a time.
+BLOCK_CHARS = 8 << 20
+#: Texts, or rows to decode, that are Python objects at a time.
 TEXTS = 256
 INDEX = np.dtype("<u4")
 
@@ -48,24 +46,20 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
-def rank_map(tokens: list[bytes]) -> list[list[tuple[int, int]]]:
-    """By hash of a pair (a, b), a map of a to the token that they merge to: the hash and a determine b."""
+def rank_map(tokens: list[bytes]) -> list[list[tuple[int, str]]]:
+    """By hash of a pair (a, b), a map of a to the token that they merge to, as a character: the hash and a determine b."""
     ids, buckets = {t: i for i, t in enumerate(tokens)}, [[] for _ in range(BUCKETS)]
     for t, merged in ids.items():
         for k in range(1, len(t)):
             if (a := ids.get(t[:k])) is not None and (b := ids.get(t[k:])) is not None:
-                buckets[(a * SPREAD + b) % BUCKETS].append((a, merged))
+                buckets[(a * SPREAD + b) % BUCKETS].append((a, chr(merged + 1)))
     return buckets
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def rank(ranks: Column, a: Column, b: Column) -> Column:
-    """The token that a and b merge to, which is their rank; null if they don't."""
-    return F.try_element_at(F.get(ranks, (a * F.lit(SPREAD) + b).bitwiseAND(F.lit(BUCKETS - 1))), a)
+    """The character of the token that a and b merge to, which is their rank; NO_RANK if they don't."""
+    found = F.try_element_at(F.get(ranks, (a * F.lit(SPREAD) + b).bitwiseAND(F.lit(BUCKETS - 1))), a)
+    return F.coalesce(found, F.lit(NO_RANK))
 
 
 def pair_ranks(ranks: Column, parts: Column) -> Column:
@@ -73,123 +67,137 @@ def pair_ranks(ranks: Column, parts: Column) -> Column:
     return F.transform(parts, lambda a, i: rank(ranks, a, F.get(parts, i + 1)))
 
 
-def fold(parts: Column, ranks: Column) -> Column:
-    """Tokens of one word, given its bytes' tokens: the leftmost pair of lowest rank merges, until none has a rank."""
+def fold(parts: Column, ranks: Column, chars: Column) -> Column:
+    """Tokens of one word as a string, given its bytes' tokens: the leftmost pair of lowest rank merges, until none has a
+    rank.
+
+    The state holds the parts, the rank of each with the next one, of which a merge changes two, and the place of the
+    next merge. Steps find a place and merge there in turns. Strings are cut and joined faster than arrays.
+    """
+    kept = lambda c, m, at: F.struct(c.alias("c"), m.alias("m"), at.alias("at"))
+    char = lambda x, at: F.substring(x, at, F.lit(1))
+    number = lambda x, at: F.ascii(char(x, at)) - 1
+
+    def merge(c: Column, m: Column, at: Column) -> Column:
+        least = char(m, at)
+        # Beyond the last part there is -1, which has no rank with any.
+        onward = rank(ranks, F.ascii(least) - 1, number(c, at + 2))
+        before = rank(ranks, number(c, at - 1), F.ascii(least) - 1)
+        changed = F.when(at == 1, F.overlay(m, onward, F.lit(1), F.lit(2))).otherwise(F.overlay(m, F.concat(before, onward), at - 1, F.lit(3)))
+        return kept(F.overlay(c, least, at, F.lit(2)), changed, F.lit(0))
+
+    def step(s: Column, _: Column) -> Column:
+        c, m, at = s["c"], s["m"], s["at"]
+        found = kept(c, m, F.instr(m, F.array_min(F.split(m, ""))))
+        return F.when(at == 0, found).when(char(m, at) == NO_RANK, s).otherwise(merge(c, m, at))
+
+    steps = F.sequence(F.lit(1), 2 * F.size(parts))
+    start = kept(F.array_join(F.transform(parts, lambda p: F.get(chars, p)), ""), F.array_join(pair_ranks(ranks, parts), ""), F.lit(0))
+    return F.aggregate(steps, start, step, lambda s: s["c"])
+
 
-    def merge(c: Column, m: Column) -> Column:
-        at = F.array_position(m, F.array_min(m)).cast("int")
-        merged = F.concat(F.slice(c, F.lit(1), at - 1), F.array(F.array_min(m)), F.slice(c, at + 2, F.lit(LONG_WORD)))
-        return F.when(F.array_min(m).isNull(), c).otherwise(merged)
+def fold_long(parts: Column, ranks: Column, chars: Column) -> Column:
+    """The same for a long word, in which a pair is replaced wherever it stands, left to right.
 
-    steps = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-    return F.aggregate(steps, parts, lambda c, _: let(pair_ranks(ranks, c), lambda m: merge(c, m)))
+    That equals merging the leftmost pair of lowest rank until all such pairs are gone if no pair of a lower rank arises
+    on the way or at the end. Else only the leftmost one is replaced, so any rank file gives the same tokens.
+    """
 
+    def state(text: Column, body) -> Column:
+        """body(text, parts, ranks of pairs), each evaluated once."""
+        numbers = lambda x: F.transform(F.split(x, ""), lambda c: F.ascii(c) - 1)
+        return let(text, lambda x: let(numbers(x), lambda c: let(pair_ranks(ranks, c), lambda m: body(x, c, m))))
 
-def fold_long(parts: Column, ranks: Column) -> Column:
-    """The same for a long word: parts are characters, and a pair is replaced wherever it stands, left to right."""
-    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 1), 4, "0")), "UTF-16BE")
-    numbers = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1))
+    def step(s: Column, _: Column) -> Column:
+        kept = lambda x, c, m: F.struct(x.alias("text"), c.alias("c"), m.alias("m"))
 
-    def step(state: Column, _: Column) -> Column:
-        def merge(c: Column) -> Column:
-            return let(
-                pair_ranks(ranks, c),
-                lambda m: F.when(F.array_min(m).isNull(), F.struct(state["text"].alias("text"), F.lit(True).alias("done"))).otherwise(
-                    let(
-                        F.array_position(m, F.array_min(m)).cast("int"),
-                        lambda at: F.struct(F.replace(state["text"], F.concat(char(F.get(c, at - 1)), char(F.get(c, at))), char(F.array_min(m))).alias("text"), F.lit(False).alias("done")),
-                    )
-                ),
-            )
+        def merge(least: Column, at: Column) -> Column:
+            a, b = F.get(s["c"], at - 1), F.get(s["c"], at)
+            first = state(F.overlay(s["text"], least, at, F.lit(2)), kept)
+            sound = lambda m: (F.array_min(m) >= least) & (rank(ranks, F.ascii(least) - 1, a) >= least)
+            return state(F.replace(s["text"], F.concat(F.get(chars, a), F.get(chars, b)), least), lambda x, c, m: F.when(sound(m), kept(x, c, m)).otherwise(first))
 
-        return F.when(state["done"], state).otherwise(let(numbers(state["text"]), merge))
+        return let(F.array_min(s["m"]), lambda least: F.when(least == NO_RANK, s).otherwise(let(F.array_position(s["m"], least).cast("int"), lambda at: merge(least, at))))
 
-    start = F.struct(F.array_join(F.transform(parts, char), "").alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start, step, lambda s: numbers(s["text"]))
+    start = state(F.array_join(F.transform(parts, lambda p: F.get(chars, p)), ""), lambda x, c, m: F.struct(x.alias("text"), c.alias("c"), m.alias("m")))
+    return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start, step, lambda s: s["text"])
 
 
 def cut(batches: Iterator[pa.RecordBatch], pattern: str, ids: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, text) to blocks (rows, places, first, words).
+    """Rows (row, text) to blocks (rows, places, words): the block's distinct words, and those of each text by place.
 
-    words are those that the task hasn't had before, numbered from `first`; places are each text's words by number.
     A word that is a token as a whole is that token; any other is its bytes' tokens.
     """
     find, singles = regex.compile(pattern).findall, [ids[bytes([b])] for b in range(256)]
-    numbers: defaultdict[str, int] = defaultdict(count().__next__)
-    rows, places, first, chars = [], [], 0, 0
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def block() -> pa.RecordBatch:
-        fresh = map(str.encode, islice(numbers, first, None))
-        words = pa.array(([ids[w]] if w in ids else [singles[b] for b in w] for w in fresh), pa.list_(pa.int32()))
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(pa.array(places, pa.binary())), pa.array([first], pa.int32()), one(words)], ["rows", "places", "first", "words"])
+        words = pa.array(([ids[w]] if w in ids else [singles[b] for b in w] for w in map(str.encode, numbers)), pa.list_(pa.int32()))
+        at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]), pa.int32()), pa.array(np.concatenate(places)))
+        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(at), one(words)], ["rows", "places", "words"])
 
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    rows, places, chars = [], [], 0
     for batch in batches:
         for k in range(0, batch.num_rows, TEXTS):
             part = batch.slice(k, TEXTS)
             for text in part["text"].to_pylist():
                 found = find(text or "")
-                places.append(np.fromiter(map(numbers.__getitem__, found), INDEX, len(found)).tobytes())
+                places.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 chars += len(text or "")
             rows.append(part["row"])
             if chars >= BLOCK_CHARS:
                 yield block()
-                if len(numbers) > MOST_WORDS:
-                    numbers = defaultdict(count().__next__)
-                rows, places, first, chars = [], [], len(numbers), 0
+                numbers = defaultdict(count().__next__)
+                rows, places, chars = [], [], 0
     if places:
         yield block()
 
 
-def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (rows, places, first, tokens) of a task, in order, to rows with their ids as bytes."""
-    pieces: list[bytes] = []
-    for batch in batches:
-        for rows, places, first, tokens in zip(batch["rows"], batch["places"], batch["first"].to_pylist(), batch["tokens"], strict=True):
-            if first == 0:
-                pieces = []
-            words = tokens.values
-            data = words.flatten().to_numpy().astype(INDEX).tobytes()
-            ends = (np.cumsum(np.concatenate([[0], words.value_lengths().to_numpy()])) * INDEX.itemsize).tolist()
-            pieces.extend(data[a:b] for a, b in zip(ends, ends[1:]))  # noqa: B905
-            ids = [b"".join(map(pieces.__getitem__, np.frombuffer(p.as_py(), INDEX).tolist())) for p in places.values]
-            for k in range(0, len(ids), 1000):
-                part = rows.values.slice(k, 1000)
-                yield pa.RecordBatch.from_arrays([*part.flatten(), pa.array(ids[k : k + 1000], pa.binary())], [*(f.name for f in part.type), "ids"])
-
-
 class ByteBpe:
-    """A vocabulary. Its literal, one row of one entry for each way to cut a token in two, is read as a scalar subquery."""
+    """A vocabulary. Its literal, with an entry for each way to cut a token in two, is read as a scalar subquery."""
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
         self.pattern, self.tokens = pattern, read_ranks(rank_file)
         ids = {t: i for i, t in enumerate(self.tokens)}
         self.ids = ids
-        maps = pa.array([rank_map(self.tokens)], pa.list_(pa.map_(pa.int32(), pa.int32())))
-        self.ranks = written(spark.createDataFrame(pa.table({"ranks": maps})), "bpe-ranks")
+        literal = {"maps": pa.array([rank_map(self.tokens)], pa.list_(pa.map_(pa.int32(), pa.string())))}
+        literal["chars"] = pa.array([[chr(i + 1) for i in range(len(self.tokens))]], pa.list_(pa.string()))
+        literal["codes"] = pa.array([[np.array(i, INDEX).tobytes() for i in range(len(self.tokens))]], pa.list_(pa.binary()))
+        self.literal = written(spark.createDataFrame(pa.table(literal)).select(F.struct("maps", "chars", "codes").alias("literal")), "bpe-literal")
 
     def encode(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """The columns to keep (all but an older `ids`, if not named) with ids: little-endian unsigned 32-bit integers.
 
-        A null text is empty and has no ids. Rows stay in their partitions; an empty table stays empty.
+        A null text is empty and has no ids. Each row is encoded, repeated ones too. Rows stay in their partitions; an
+        empty table stays empty.
         """
         keep = [c for c in keep or df.columns if c.lower() != "ids"]
         kept = T.StructType([df.schema[c] for c in keep])
         pattern, whole = self.pattern, self.ids
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
-        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(T.BinaryType())).add("first", T.IntegerType()).add("words", T.ArrayType(T.ArrayType(T.IntegerType())))
-        cutting = rows.mapInArrow(lambda batches: cut(batches, pattern, whole), blocks)
-        held = cutting.select("rows", "places", "first", "words", self.ranks.scalar().alias("ranks"))
-        tokens = lambda t: F.transform("words", lambda w: F.when(F.size(w) > LONG_WORD, fold_long(w, t)).otherwise(fold(w, t)))
-        folded = held.select("rows", "places", "first", let(F.col("ranks"), tokens).alias("tokens"))
-        return folded.mapInArrow(join, T.StructType([*kept]).add("ids", T.BinaryType()))
+        numbers = T.ArrayType(T.IntegerType())
+        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(numbers)).add("words", T.ArrayType(numbers))
+        held = rows.mapInArrow(lambda batches: cut(batches, pattern, whole), blocks).select("*", self.literal.scalar().alias("literal"))
+
+        def documents(t: Column) -> Column:
+            tokens = lambda w: F.when(F.size(w) > LONG_WORD, fold_long(w, t["maps"], t["chars"])).otherwise(fold(w, t["maps"], t["chars"]))
+            # Bytes are joined as strings, which Spark does not look into.
+            text = lambda ids, piece: F.array_join(F.transform(ids, lambda i: piece(i)), "")
+            codes = F.transform("words", lambda w: text(F.split(tokens(w), ""), lambda c: F.get(t["codes"], F.ascii(c) - 1).cast("string")))
+            return let(codes, lambda c: F.transform("places", lambda p: text(p, lambda i: F.get(c, i)).cast("binary")))
+
+        encoded = held.select("rows", let(F.col("literal"), documents).alias("ids")).select(F.inline(F.arrays_zip("rows", "ids")))
+        return encoded.select(*[F.col("rows")[c].alias(c) for c in keep], "ids")
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """df with the bytes that its ids stand for, pieces concatenated; null for null."""
         pieces = self.tokens
 
         def concatenated(column: pa.Array) -> pa.Array:
-            return pa.array((None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, INDEX).tolist())) for x in column.to_pylist()), pa.binary())
+            of = lambda x: None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, INDEX).tolist()))
+            some = [pa.array(map(of, column.slice(k, TEXTS).to_pylist()), pa.binary()) for k in range(0, len(column), TEXTS)]
+            return pa.concat_arrays(some) if some else pa.array([], pa.binary())
 
         return df.withColumn(to, F.arrow_udf(concatenated, "binary")(F.col(ids)))
 
@@ -200,7 +208,6 @@ def n_ids(ids: Column) -> Column:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded."""
-    small_batches(spark)
     import public_tokenizers
 
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

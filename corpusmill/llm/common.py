@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+#: Items of an array that running() gathers at a time.
+RUN = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,16 +36,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches of this session to BATCH_ROWS rows, for operators whose Python holds much beside them."""
-    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
-
-
-def usual_batches(spark: SparkSession) -> None:
-    """Back to Spark's own size of Arrow batches: small ones stay in the JVM's buffer pools and cost more memory."""
-    spark.conf.unset(BATCH_CONF)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +45,29 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def slices(items: Column) -> Column:
+    """An array as an array of slices of RUN items, the last of what is left."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN)), lambda k: k <= F.size(items))
+    return F.transform(starts, lambda k: F.slice(items, k, F.lit(RUN)))
+
+
+def running(items: Column, zero: Column, step) -> Column:
+    """step(state, item) folded from zero over an array, as the array of the states after each item.
+
+    Arrays are copied when they grow, so states are gathered slice by slice and slices joined at the end.
+    """
+    last = lambda states: F.element_at(states, -1)
+    within = lambda state, some: F.aggregate(some, F.array(state), lambda states, item: F.concat(states, F.array(step(last(states), item))))
+    # Each slice's states begin with the one that it started from.
+    parts = F.aggregate(slices(items), F.array(F.array(zero)), lambda done, some: F.concat(done, F.array(within(last(last(done)), some))))
+    return F.flatten(F.transform(parts, lambda states: F.slice(states, 2, RUN)))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
