@@ -3,11 +3,13 @@
 The posterior of a language is the product of the text's likelihood (hashed letter trigrams), the likelihood of the
 language that the markup declares, and the prior of the host, which is smoothed towards that of its address suffix
 and that towards the whole table's. Priors and the reliability of declarations come from grouped aggregation of
-what the texts alone say; a row's own vote is taken out of its priors.
+what the texts alone say; a row's own vote is taken out of its priors. A background, by which all trigrams are alike,
+stands for all other languages and for junk: a text that it explains better than any language does is rejected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import textnum as tn
-from corpusmill.llm.common import small_side, table, usual_batches, written
+from corpusmill.llm.common import let, running, small_side, table, written
 
 LANGUAGES = ("en", "fr", "de", "es")
 BITS = 16
@@ -28,6 +30,9 @@ MOST_TRIGRAMS = 40
 GRAM_COUNT, PRIOR_COUNT, DECLARED_COUNT = 0.5, 8.0, 2.0
 #: A document is rejected if it has no letters or if no language has at least this posterior.
 LEAST_POSTERIOR = 0.5
+#: Of the background: its prior, and its log likelihood of a trigram, a nat below an even chance, so that texts which
+#: a language explains hardly better than that stay.
+OTHER_PRIOR, OTHER_TRIGRAM = 1e-6, -BITS * math.log(2) - 1
 #: Joined by broadcast up to so many hosts (100 bytes each), else by a shuffle.
 BROADCAST_HOSTS = 50_000
 #: Letters of any script keep their bytes; all else is a blank.
@@ -82,14 +87,16 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
 
 
 def likelihoods(texts: pa.Array, model: np.ndarray) -> pa.Array:
-    """For each text the tempered log likelihood of each language and, last, the number of its trigrams."""
-    out = np.zeros((len(texts), len(model) + 1))
+    """For each text the tempered log likelihoods of each language and of the background and, last, the number of its
+    trigrams."""
+    out = np.zeros((len(texts), len(model) + 2))
     for data, off, first in tn.chunks(texts):
         code, use = trigrams(data, off)
         last = first + len(off) - 1
         many = np.concatenate([[0], np.cumsum(use)])
         many = many[off[1:]] - many[off[:-1]]
         out[first:last, -1] = many
+        out[first:last, -2] = np.minimum(many, MOST_TRIGRAMS) * OTHER_TRIGRAM
         for n, row in enumerate(model):
             sums = np.concatenate([[0.0], np.cumsum(np.where(use, row[code], 0), dtype=np.float64)])
             out[first:last, n] = (sums[off[1:]] - sums[off[:-1]]) / np.maximum(many, 1) * np.minimum(many, MOST_TRIGRAMS)
@@ -112,22 +119,27 @@ def votes(n: Column) -> list[Column]:
     return [F.count_if(n == k).cast("double") for k in range(len(LANGUAGES))]
 
 
-def identify(df: DataFrame, model: np.ndarray, text: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    """df with language (null if rejected), posterior and accepted; columns of these names are replaced.
+def identify(df: DataFrame, model: np.ndarray, text: Column, declared: Column, host: Column, suffix: Column, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all, if not named) with language (null if rejected), posterior and accepted; columns of these
+    names are replaced.
 
     Null or unknown declarations, hosts and suffixes are no evidence or a host of their own; a null or empty text
     has no letters and is rejected. Repeated rows are separate votes. Rows are kept as they are, however many a
-    host has: counts are summed before they are exchanged.
+    host has: counts are summed before they are exchanged. An empty table stays empty. Texts are read by Python once: what
+    it makes of them is written beside the columns to keep.
     """
     zeros, size = F.array_repeat(F.lit(0.0), len(LANGUAGES)), len(LANGUAGES)
-    kept = [c for c in df.columns if c.lower() not in ("language", "posterior", "accepted")]
+    kept = [c for c in keep or df.columns if c.lower() not in ("language", "posterior", "accepted")]
     known = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.lower(F.substring(F.trim(declared), 1, 2))), F.lit(0)).cast("int") - 1
     said = F.arrow_udf(lambda texts: likelihoods(texts, model), "array<double>")(text)
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), said.alias("said"), known.alias("declared"),
         F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix"),
     )
-    rows = rows.withColumn("alone", softmax(F.slice("said", 1, size))).withColumn("vote", F.when(F.get("said", F.lit(size)) > 0, best(F.col("alone"))))
+    rows = written(rows, "langid-rows")
+    even = [0.0] * size + [math.log(OTHER_PRIOR * size)]
+    alone = best(softmax(F.zip_with(F.slice("said", 1, size + 1), F.array(*[F.lit(x) for x in even]), lambda x, y: x + y)))
+    rows = rows.withColumn("vote", F.when((F.get("said", F.lit(size + 1)) > 0) & (alone < size), alone))
     voted = rows.where("vote is not null").select("vote", "declared", "host", "suffix")
     counted = written(voted.groupBy("suffix", "host", "declared", "vote").count(), "langid-votes")
     by = lambda *keys: counted.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("vote") == k, F.col("count"))), F.lit(0)).cast("double") for k in range(size)]).alias("votes"))
@@ -154,22 +166,39 @@ def identify(df: DataFrame, model: np.ndarray, text: Column, declared: Column, h
     rows = rows.withColumn("hv", less(F.col("host_votes"))).withColumn("prior", smooth(F.col("hv"), F.col("prior")))
     evidence = F.when(F.col("declared") >= 0, F.get(trusted, F.col("declared"))).otherwise(zeros)
     fused = F.zip_with(F.zip_with(F.slice("said", 1, size), F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), evidence, lambda a, b: a + b)
-    rows = rows.withColumn("post", softmax(fused))
-    accepted = F.coalesce((F.array_max("post") >= LEAST_POSTERIOR) & F.col("vote").isNotNull(), F.lit(False))
+    other = F.get("said", F.lit(size)) + math.log(OTHER_PRIOR)
+    rows = rows.withColumn("post", F.slice(softmax(F.concat(fused, F.array(other))), 1, size))
+    accepted = F.coalesce((F.array_max("post") >= LEAST_POSTERIOR) & (F.get("said", F.lit(size + 1)) > 0), F.lit(False))
     return rows.select(
         *[F.col("row")[c].alias(c) for c in kept],
         F.when(accepted, F.get(F.array(*[F.lit(x) for x in LANGUAGES]), best(F.col("post")))).alias("language"), F.array_max("post").alias("posterior"), accepted.alias("accepted"),
     )
 
 
+#: Where the text of a page may be hidden from: scripts, styles and comments begin and end there.
+EDGES = r"(?i)<(?:script|style)\b|<!--|</(?:script|style)\s*+>|-->"
+
+
 def page_text(html: Column) -> Column:
-    """What a page shows, roughly: without scripts, styles, comments, tags and entities."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&#?\w{1,10};", " ")
+    """What a page shows, roughly: without scripts, styles, comments, tags and entities. One that does not end hides the
+    rest, as in a browser. The page is read once, from edge to edge, however many there are."""
+
+    def move(hidden: Column, mark: Column) -> Column:
+        opens = F.when(mark.startswith("<sc"), 1).when(mark.startswith("<st"), 2).when(mark == "<!--", 3).otherwise(0)
+        closes = F.when(mark.startswith("</sc"), 1).when(mark.startswith("</st"), 2).when(mark == "-->", 3).otherwise(0)
+        return F.when(hidden == 0, opens).when(hidden == closes, 0).otherwise(hidden)
+
+    def shown(marks: Column) -> Column:
+        hidden = F.concat(F.array(F.lit(0)), running(marks, F.lit(0), move))
+        gaps = F.arrays_zip(F.split(html, EDGES, -1).alias("gap"), hidden.alias("hidden"))
+        return F.array_join(F.transform(F.filter(gaps, lambda g: g["hidden"] == 0), lambda g: g["gap"]), " ")
+
+    bare = F.when(html.rlike(EDGES), let(F.transform(F.regexp_extract_all(html, F.lit(EDGES), 0), F.lower), shown)).otherwise(html)
+    return F.regexp_replace(F.regexp_replace(bare, "<[^<>]*+>", " "), r"&#?\w{1,10};", " ")
 
 
 def declared_language(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})", 1), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
@@ -186,12 +215,11 @@ def fit_documents(docs: DataFrame) -> np.ndarray:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, by their markup and addresses, and all documents, by their declared language and source."""
-    usual_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit_documents(docs)
     pages = table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host"))
     pages = pages.withColumn("suffix", suffix_of(F.col("host"))).withColumn("doc_id", F.lit(None).cast("long"))
     rows = docs.select(F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("documents").alias("suffix"), "doc_id")
     rows = rows.unionByName(pages)
-    found = identify(rows, model, F.col("text"), F.col("declared"), F.col("host"), F.col("suffix"))
+    found = identify(rows, model, F.col("text"), F.col("declared"), F.col("host"), F.col("suffix"), keep=["doc_id", "page_id", "declared"])
     return found.select("doc_id", "page_id", "declared", "language", "posterior", "accepted", F.col("accepted").alias("kept"))
