@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.llm import textnum as tn
-from corpusmill.llm.common import small_side, table, usual_batches, written
+from corpusmill.llm.common import small_side, table, written
 from corpusmill.llm.components import components
 
 SHINGLE = 5
@@ -39,6 +38,8 @@ TILE = 512
 #: agree. At similarity 0.75 that is 120 on average with a deviation of 5.5 or, as smaller sets are nearly
 #: exhausted by the bins, less.
 SKETCHED, SKETCH_MATCHES = 64, 80
+#: Rows that Python takes at a time.
+PART = 1000
 #: Joined by broadcast up to so many ids (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -77,7 +78,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) to (doc_id, n, f1, f2, bands, bytes): f1 and f2 identify the set, null if it is empty."""
     powers, band = tn.Powers(), np.arange(BANDS, dtype=np.uint64) * tn.BASE
-    for batch in batches:
+    for batch in parts(batches):
         n, f1, f2, bands, marks = [], [], [], [], []
         for s in sets(batch["text"], powers):
             n.append(len(s))
@@ -89,40 +90,41 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f2.append(int(np.bitwise_xor.reduce(tn.mix(s + tn.PLACES[2])).view(np.int64)))
             keys = (values.reshape(BANDS, ROWS) * tn.PLACES[:ROWS]).sum(axis=1) + band
             bands.append(tn.mix(keys).view(np.int64))
-            marks.append((tn.mix(values) >> np.uint64(56)).astype(np.uint8).tobytes())
+            marks.append((tn.mix(values) >> np.uint64(56)).astype(np.uint8).view(np.int64))
+        longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+            [batch["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, longs), pa.array(marks, longs)],
             ["doc_id", "n", "f1", "f2", "bands", "bytes"],
         )
 
 
-def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) to (rep, set)."""
-    powers = tn.Powers()
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PART rows, as what is made of a text may be larger than it."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in sets(part["text"], powers)], pa.binary())], ["rep", "set"])
+        for k in range(0, batch.num_rows, PART):
+            yield batch.slice(k, PART)
 
 
-@F.arrow_udf(T.IntegerType())
-def agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many of two sketches' bytes are equal."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (a, b))
-    return pa.array((x == y).sum(axis=1), pa.int32())
+def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (rep, set)."""
+    powers = tn.Powers()
+    for batch in parts(batches):
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.view(np.int64) for s in sets(batch["text"], powers)], pa.list_(pa.int64()))], ["rep", "set"])
 
 
-@F.arrow_udf(T.LongType())
-def common(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The size of the intersection of two sets."""
-    of = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
-    return pa.array([len(np.intersect1d(of(x), of(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], pa.int64())
+def differing(a: Column, b: Column) -> Column:
+    """How many of two sketches' bytes differ: each byte's bits gather in its lowest one."""
+    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    gathered = lambda by: lambda p: p.bitwiseOR(F.shiftrightunsigned(p, by))
+    for by in (4, 2, 1):
+        x = F.transform(x, gathered(by))
+    return F.aggregate(x, F.lit(0), lambda many, p: many + F.bit_count(p.bitwiseAND(F.lit(0x0101010101010101))))
 
 
 def as_lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) to (rep, low): the upper halves of the set's least hashes."""
     powers = tn.Powers()
-    for batch in batches:
+    for batch in parts(batches):
         lows = [(s[: LOW + 1] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets(batch["text"], powers)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lows, pa.binary())], ["rep", "low"])
 
@@ -152,10 +154,10 @@ def likely_pairs(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def of_texts(docs: DataFrame, ids: DataFrame, function, name: str, repeated: bool) -> DataFrame:
+def of_texts(docs: DataFrame, ids: DataFrame, function, name: str, kind: str, repeated: bool) -> DataFrame:
     """(rep, name): what function makes of the texts of some ids, each only once; texts without a word are left out."""
-    made = docs.join(small_side(ids, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(function, f"rep long, {name} binary")
-    made = made.where(F.octet_length(name) > 0)
+    made = docs.join(small_side(ids, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(function, f"rep long, {name} {kind}")
+    made = made.where((F.size if kind == "array<long>" else F.octet_length)(F.col(name)) > 0)
     return made.groupBy("rep", F.xxhash64(name).alias("h")).agg(F.first(name).alias(name)).select("rep", name) if repeated else made
 
 
@@ -166,14 +168,13 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, repeated: boo
         about = nodes.select("rep", "n", "bytes")
         of = lambda name: about.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bytes").alias(f"bytes_{name}"))
         likely = pairs.join(of("b"), "b").join(of("a"), "a")
-        likely = likely.where((F.least("n_a", "n_b") < SKETCHED) | (agreeing("bytes_a", "bytes_b") >= SKETCH_MATCHES))
+        likely = likely.where((F.least("n_a", "n_b") < SKETCHED) | (differing(F.col("bytes_a"), F.col("bytes_b")) <= BINS - SKETCH_MATCHES))
     likely = written(likely.select("a", "b"), "dedup-likely")
     ids = likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct()
-    full = written(of_texts(docs, ids, as_sets, "set", repeated), "dedup-sets")
+    full = written(of_texts(docs, ids, as_sets, "set", "array<long>", repeated), "dedup-sets")
     of = lambda name: full.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
-    both = likely.join(of("b"), "b").join(of("a"), "a").withColumn("shared", common("set_a", "set_b"))
-    union = (F.octet_length("set_a") + F.octet_length("set_b")).cast("long") / 8 - F.col("shared")
-    return written(both.where(100 * F.col("shared") >= PERCENT * union).select("a", "b").distinct(), "dedup-links")
+    both = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    return written(both.where(100 * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct(), "dedup-links")
 
 
 def similar_sizes(x, y):
@@ -189,14 +190,20 @@ def open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def tiled(opened: DataFrame, lows: DataFrame) -> DataFrame:
-    """Rows of open buckets for each pair of tiles: documents outside the largest component ask all documents."""
-    tiles = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = opened.join(tiles, "key").join(lows, "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    """Rows of open buckets for each pair of tiles: documents outside the largest component ask all documents.
+
+    Those that ask are tiled apart from all, so a bucket of m documents of which few ask exchanges m rows for each of
+    few tiles, and each that asks once for each tile of all.
+    """
+    asks = F.col("component") != F.col("largest")
+    tiles = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.ceil(F.count_if(asks) / TILE).cast("int").alias("asking"))
+    rows = opened.join(tiles, "key").join(lows, "rep")
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
     pair = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
-    numbers, own = F.sequence(F.lit(0), F.col("tiles") - 1), F.col("tile")
-    asking = F.when(F.col("component") != F.col("largest"), F.transform(numbers, lambda j: pair(own, j, True)))
-    told = F.transform(numbers, lambda i: pair(i, own, False))
-    return rows.select("key", "rep", "component", "low", F.inline(F.concat(told, F.coalesce(asking, F.slice(told, 1, 0)))))
+    told = F.transform(numbers(F.col("asking")), lambda i: pair(i, place(F.col("tiles")), False))
+    asked = F.when(asks, F.transform(numbers(F.col("tiles")), lambda j: pair(place(F.col("asking")), j, True)))
+    return rows.select("key", "rep", "component", "low", F.inline(F.concat(told, F.coalesce(asked, F.slice(told, 1, 0)))))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -207,7 +214,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     component and is not kept. Other columns are dropped. An empty table gives no rows.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = written(docs.mapInArrow(sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, bytes binary"), "dedup-sketches")
+    rows = written(docs.mapInArrow(sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, bytes array<long>"), "dedup-sketches")
     sound = rows.where("f1 is not null and doc_id is not null")
     nodes = sound.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     nodes = written(nodes, "dedup-nodes")
@@ -228,7 +235,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     opened = open_buckets(crowded.select("key", "rep", "n"), classes)
     if not opened.isEmpty():
         ids = opened.select(F.col("rep").alias("doc_id")).distinct()
-        lows = written(of_texts(docs, ids, as_lows, "low", repeated), "dedup-lows")
+        lows = written(of_texts(docs, ids, as_lows, "low", "binary", repeated), "dedup-lows")
         likely = tiled(opened, lows).groupBy("key", "i", "j").applyInArrow(likely_pairs, "a long, b long")
         likely = written(likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-pairs")
         more = confirmed(docs, nodes, likely, repeated, sketched=False)
@@ -249,5 +256,4 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their classes of near copies."""
-    usual_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
