@@ -23,11 +23,12 @@ LOSS_ROLE = "assistant"
 
 
 def escape(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(\\*){CONTROL}", r"\\$1$2")
+    # A run of backslashes is tried from its start only.
+    return F.regexp_replace(x, rf"(?<!\\)(\\*+){CONTROL}", r"\\$1$2")
 
 
 def unescape(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\\(\\*){CONTROL}", "$1$2")
+    return F.regexp_replace(x, rf"(?<!\\)\\(\\*+){CONTROL}", "$1$2")
 
 
 def blocks(turns: Column) -> Column:
