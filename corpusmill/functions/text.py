@@ -15,12 +15,13 @@ TRAILING = r"(?d)[ \t\f\x0B]+(?=\n|$)"
 INNER_RUN = r"(?dU)(?<=\S)[ \t\f\x0B]{2,}(?=\S)"
 ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,8}|#x[0-9A-Fa-f]{1,8});"
 ESCAPED_NEWLINE = r"\\r\\n|\\n|\\r"
-SUSPICIOUS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: The same white space as characters.
+BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end, as Python's str.strip()."""
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def unescape(x: Column) -> Column:
@@ -42,11 +43,11 @@ def normalize(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """Words joined by single blanks."""
-    return F.regexp_replace(F.regexp_replace(strip(x), rf"(?U){SPACE}+", " "), "^ | $", "")
+    return F.regexp_replace(strip(x), rf"(?U){SPACE}+", " ")
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(x, F.lit(BLANKS))
 
 
 def excerpt(x: Column, limit: int = 180) -> Column:
@@ -66,7 +67,7 @@ def truncate(x: Column, limit: int = 160) -> Column:
 
 def suspicious(x: Column) -> Column:
     """Number of control characters other than tab and newlines."""
-    return F.regexp_count(x, F.lit(SUSPICIOUS))
+    return F.regexp_count(x, F.lit(CONTROL))
 
 
 def length_bucket(x: Column) -> Column:

@@ -7,10 +7,12 @@ wider scopes, so the corpus is exchanged once and only as counters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.arrow import canonical_json
+from corpusmill.sources import files
 
 SHORT, LONG = 20, 2000
 SAMPLES = VARIANTS = 10
@@ -110,8 +112,8 @@ def type_histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def empty_value(type_: Column, v: Column) -> Column:
     """Null, blank string, empty list or empty object."""
-    text = F.to_json(v)
-    return (type_ == "NoneType") | ((type_ == "str") & (T.strip(F.expr("try_variant_get(v, '$', 'string')")) == "")) | text.isin("[]", "{}")
+    text = F.try_variant_get(v, F.lit("$"), "string")
+    return (type_ == "NoneType") | ((type_ == "str") & (T.strip(text) == "")) | (type_.isin("list", "dict") & F.to_json(v).isin("[]", "{}"))
 
 
 def schema_variants(records: DataFrame, keys: list[str], limit: int = VARIANTS) -> DataFrame:
@@ -144,3 +146,106 @@ def malformed(lines: DataFrame, keys: list[str], limit: int = SAMPLES) -> tuple[
     place = Window.partitionBy(*keys).orderBy("source_file", "line")
     first = lines.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
     return counts, first.select(*keys, "source_file", "line", "reason", T.truncate(T.strip(F.col("text")), 120).alias("line_excerpt"))
+
+
+def observed(lines: DataFrame) -> DataFrame:
+    """Canonical lines (of files.canonical) that are kept, as records with their canonical JSON and keys."""
+    kept = lines.where("reason is null")
+    where = T.provenance(F.col("record.source"), F.col("record.source_file"), F.col("record.source_row"), F.col("path"), F.col("line"))
+    json_ = canonical_json(F.get_json_object("text", "$.fields"))
+    return kept.select(F.struct("path", "line").alias("ord"), "source", "source_file", where.alias("location"), "fields", json_.alias("json"))
+
+
+def empty_record(json_: Column) -> Column:
+    """Whether a record (canonical JSON) is an object all of whose values are empty, or itself an empty value."""
+    values = F.map_values(F.from_json(F.when(json_.startswith("{"), json_), "map<string,variant>"))
+    whole = F.parse_json(json_)
+    inside = F.forall(values, lambda v: F.coalesce(empty_value(python_type(F.schema_of_variant(v)), v), F.lit(True)))
+    return F.when(json_.startswith("{"), inside).otherwise(empty_value(python_type(F.schema_of_variant(whole)), whole))
+
+
+def record_counters(records: DataFrame, keys: list[str]) -> DataFrame:
+    """records (keys, json) to counts of all, of empty ones and of those that are no objects."""
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_records"), count(empty_record(F.col("json")), "empty_records"), count(~F.col("json").startswith("{"), "non_object_records"))
+
+
+def record_hashes(records: DataFrame) -> DataFrame:
+    """records with what duplicate_groups() asks for, of whole records."""
+    return records.withColumns({"sample": T.truncate(F.col("json")), "hash": T.stable_hash(F.col("json"))})
+
+
+def text_hashes(rows: DataFrame) -> DataFrame:
+    """Texts of fields that aren't blank with what duplicate_groups() asks for."""
+    some = rows.where((F.col("type") == "str") & (T.strip(F.col("text")) != ""))
+    return some.withColumns({"sample": T.truncate(F.col("text")), "hash": T.stable_hash(F.col("text"))})
+
+
+def likely_duplicates(rows: DataFrame, likely: DataFrame, keys: list[str]) -> DataFrame:
+    """Duplicate groups of the texts of likely fields (keys, field), by field."""
+    return duplicate_groups(text_hashes(rows).join(likely.select(*keys, "field"), [*keys, "field"], "left_semi"), [*keys, "field"])
+
+
+def run(spark: SparkSession, path: str) -> dict:
+    """The audit of canonical files, two levels of folders below path's glob: a summary of the corpus, of each source and of
+    each file. Only counters and the first samples of each scope come to the driver."""
+    lines = files.canonical(spark, path)
+    records, bad = observed(lines), lines.where("reason is not null").withColumn("corpus", F.lit("corpus"))
+    rows = field_rows(records).where("field is not null").withColumn("corpus", F.lit("corpus"))
+    records = records.withColumn("corpus", F.lit("corpus"))
+    scopes = [scope(rows, records, bad, keys) for keys in (["corpus"], ["source"], ["source", "source_file"])]
+    every = lines.select("source", "source_file").distinct().collect()  # one row for each file
+    whole, sources, by_file = ({k: reported(found, k) for k in found["all"]} for found in scopes)
+    for (source,), r in sources.items():
+        r["file_count"] = sum(x["source"] == source for x in every)
+    corpus = whole.get(("corpus",), {})
+    corpus |= {"total_sources": len({x["source"] for x in every}), "total_files": len(every), "per_source_record_counts": {s: r["total_records"] for (s,), r in sorted(sources.items())}}
+    thresholds = {"short_text_threshold": SHORT, "long_text_threshold": LONG, "max_duplicate_samples": SAMPLES, "max_malformed_line_samples": SAMPLES, "max_schema_variants": VARIANTS}
+    return {
+        "report_version": 2, "thresholds": thresholds, "corpus_summary": corpus, "source_summaries": {s: r for (s,), r in sorted(sources.items())},
+        "file_summaries": {f"{s}/{f}": {**r, "source_name": s} for (s, f), r in sorted(by_file.items())},
+    }
+
+
+def scope(rows: DataFrame, records: DataFrame, bad: DataFrame, keys: list[str]) -> dict:
+    """What each group of a scope is reported by, as rows by key."""
+    at = lambda r: tuple(r[k] for k in keys)
+
+    def by(df: DataFrame) -> dict:
+        found: dict[tuple, list] = {}
+        for r in df.collect():
+            found.setdefault(at(r), []).append({k: v for k, v in r.asDict(True).items() if k not in keys})
+        return found
+
+    totals = record_counters(records, keys).persist()
+    profiled = measured(rows).groupBy(*keys, "field").agg(*counters()).persist()
+    likely = likely_fields(profiled, totals, keys)
+    names = records.select(*keys, "ord", F.array_sort(F.json_object_keys("json")).alias("names"))
+    raw, texts = duplicate_groups(record_hashes(records), keys), likely_duplicates(rows, likely, keys)
+    counts, samples = malformed(bad, keys)
+    found = {
+        "totals": by(totals), "fields": by(report(profiled, totals, keys)), "types": by(type_histogram(rows, keys)), "likely": by(likely), "malformed": by(counts), "malformed_samples": by(samples),
+        "variants": by(schema_variants(names, keys)), "variant_count": by(names.groupBy(*keys).agg(F.count_distinct("names").alias("n"))), "raw": by(duplicate_summary(raw, keys)), "raw_samples": by(duplicate_samples(raw, keys)),
+        "texts": by(duplicate_summary(texts, [*keys, "field"])), "text_samples": by(duplicate_samples(texts, [*keys, "field"])),
+    }
+    totals.unpersist(), profiled.unpersist()
+    return found | {"all": sorted({*found["totals"], *found["malformed"]})}
+
+
+def reported(found: dict, key: tuple) -> dict:
+    """One group's part of the report."""
+    of = lambda name: found[name].get(key, [])
+    one = lambda name, default: (of(name) or [default])[0]
+    none = {"duplicate_groups": 0, "duplicate_occurrences": 0}
+    samples = lambda rows: [{"count": r["n"], "sample_text": r["sample"], "first_seen_at": r["first_seen_at"]} for r in sorted(rows, key=lambda r: (r["n"], r["first_seen_at"]), reverse=True)]
+    by_field = {t["field"]: {k: t[k] for k in none} | {"samples": samples([s for s in of("text_samples") if s["field"] == t["field"]])} for t in of("texts")}
+    variants = [{"fields": v["names"], "count": v["n"]} for v in sorted(of("variants"), key=lambda v: v["place"])]
+    types = {f: {t["type"]: t["n"] for t in of("types") if t["field"] == f} for f in sorted({t["field"] for t in of("types")})}
+    return {
+        **one("totals", {"total_records": 0, "empty_records": 0, "non_object_records": 0}),
+        "malformed_jsonl_lines": sum(r["n"] for r in of("malformed")), "malformed_line_samples": sorted(of("malformed_samples"), key=lambda r: (r["source_file"] if "source_file" in r else "", r["line"])) if of("malformed_samples") else [],
+        "likely_prompt_bearing_fields": of("likely"), "duplicate_raw_records": one("raw", none) | {"samples": samples(of("raw_samples"))},
+        "duplicate_likely_prompt_text": {k: sum(f[k] for f in by_field.values()) for k in none} | {"by_field": by_field},
+        "schema_variation": {"variant_count": one("variant_count", {"n": 0})["n"], "dominant_fields": variants[0]["fields"] if variants else [], "dominant_count": variants[0]["count"] if variants else 0, "variants": variants},
+        "fields": {r["field"]: {k: v for k, v in r.items() if k != "field"} | {"value_types": types.get(r["field"], {})} for r in sorted(of("fields"), key=lambda r: r["field"])},
+    }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -10,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import normalize
+from corpusmill.operators import normalize, retrieval
 from corpusmill.sources import publish, registry
 
 PREFIX, MOST_TOKENS = 1000, 8000
+METADATA, SUMMARY = "fetch_metadata.json", "fetch_run_summary.json"
+RESULT = "source_name string, source_type string, required boolean, status string, error_type string, error_message string"
 POINT = "id string, prompt_id string, source string, text string, dense array<float>, technique string"
 
 #: Words that the offline classifier takes as a sign of a technique.
@@ -91,10 +94,9 @@ class Overlap:
         return found.withColumn("score", F.round(F.size(F.array_intersect(asked, have)) / F.greatest(F.size(asked), F.lit(1)), 6))
 
 
-def extract_answer(cards: DataFrame, words: int = 300) -> str:
-    """An extractive stand-in for a written answer: the excerpts shown, cut to so many words. cards are a few rows."""
-    said = " ".join(r["prompt_excerpt"] for r in cards.select("prompt_excerpt").collect())
-    return " ".join(said.split()[:words])
+def extract_answer(excerpts: Iterable[str], words: int = 300) -> str:
+    """An extractive stand-in for a written answer: the excerpts shown, cut to so many words."""
+    return " ".join(" ".join(excerpts).split()[:words])
 
 
 def classify(records: DataFrame, provider=None) -> DataFrame:
@@ -133,6 +135,7 @@ def ingest(records: DataFrame, checkpoint: str, index: str, provider=None, embed
     everything = publish.checkpoint(spark, checkpoint, schema)
     kept = within_limit(everything)
     publish.upsert_index(points(kept, embedder).dropDuplicates(["id"]), index)
+    retrieval.Postings.build(spark.read.parquet(index).select("id", "text"), f"{index}-postings")
     counts = {"records": everything.count(), "kept": kept.count()}
     publish.remove(spark, checkpoint)
     return counts | {"skipped": counts["records"] - counts["kept"]}
@@ -153,7 +156,9 @@ def snapshot_totals(snapshots: DataFrame) -> DataFrame:
 def fetch_all(spark: SparkSession, landing: str, raw: str) -> DataFrame:
     """Takes each source's snapshots from a landing folder (there is no network here) and publishes them together.
 
-    A source that fails doesn't stop the others; the raw folder is replaced only if every required source succeeds.
+    A source that fails doesn't stop the others; the raw folder is replaced only if every required source succeeds. Each
+    source's folder gets its metadata. The summary of the run goes into the raw folder, or beside it if that stays as it
+    was; a run that succeeds takes such a summary away.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -166,18 +171,25 @@ def fetch_all(spark: SparkSession, landing: str, raw: str) -> DataFrame:
                 for shot in source.snapshots:
                     name = f"{source.source_name}/{shot.output_name}"
                     jvm.org.apache.hadoop.fs.FileUtil.copy(fs, place(f"{landing}/{name}"), fs, place(f"{staging}/{name}"), False, conf)
+                publish.report(spark, f"{staging}/{source.source_name}/{METADATA}", {"source_name": source.source_name, "source_type": source.source_type, "snapshots": [x.output_name for x in source.snapshots]})
                 rows.append((source.source_name, source.source_type, source.required, "success", None, None))
             except Exception as error:  # noqa: BLE001 - reported as the source's status
                 fs.delete(place(f"{staging}/{source.source_name}"), True)
                 rows.append((source.source_name, source.source_type, source.required, "failed", type(error).__name__, str(error).splitlines()[0]))
         if any(required and status == "failed" for _, _, required, status, _, _ in rows):
             raise RequiredSourceFailed
+        publish.report(spark, f"{staging}/{SUMMARY}", summary())
 
+    def summary() -> dict:
+        return {**run_summary(spark.createDataFrame(rows, RESULT)).first().asDict(), "sources": [dict(zip(("source_name", "source_type", "required", "status", "error_type", "error_message"), r, strict=True)) for r in rows]}
+
+    beside = f"{raw.rstrip('/')}-{SUMMARY}"
     try:
         publish.replace(spark, raw, write)
+        publish.remove(spark, beside)
     except RequiredSourceFailed:
-        pass
-    return spark.createDataFrame(rows, "source_name string, source_type string, required boolean, status string, error_type string, error_message string")
+        publish.report(spark, beside, summary())
+    return spark.createDataFrame(rows, RESULT)
 
 
 class RequiredSourceFailed(RuntimeError):

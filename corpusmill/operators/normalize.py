@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.audit import python_type
+from corpusmill.sources import files, publish
 
 REASONS = ["blank", "malformed", "invalid_canonical", "non_string", "empty_text"]
 
@@ -19,9 +20,13 @@ def unmapped(records: DataFrame, mapping: DataFrame) -> DataFrame:
 def classify(records: DataFrame, mapping: DataFrame) -> DataFrame:
     """records (source, source_file, source_row, fields, reason) with the text or why there is none.
 
+    A line that is no record, or whose source, file or row is missing or of a wrong type, is an invalid_canonical one.
     The mapping has a row for each source and file, so it is joined by Spark's own choice of strategy; a record
     whose file is missing fails the run.
     """
+    keyless = F.col("source").isNull() | F.col("source_file").isNull() | F.col("source_row").isNull()
+    odd = F.when(F.col("reason").isin("not_object", "fields_not_object") | (F.col("reason").isNull() & keyless), "invalid_canonical")
+    records = records.withColumn("reason", F.coalesce(odd, "reason"))
     joined = records.join(mapping, ["source", "source_file"], "left")
     checked = F.when(F.col("reason").isNull() & F.col("field").isNull(), F.raise_error(F.concat(F.lit("no field mapped for "), F.coalesce("source", F.lit("?")), F.lit("/"), F.coalesce("source_file", F.lit("?")))).cast("string")).otherwise(F.col("field"))
     # A path in quotes takes any field name but one with a quote, which the mapping has none of.
@@ -43,7 +48,19 @@ def normalized(classified: DataFrame) -> DataFrame:
 def accounting(classified: DataFrame) -> DataFrame:
     """Lines read, kept and rejected by reason, for each file and (source_file null) over all."""
     counts = [F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"skipped_{r}") for r in REASONS]
-    return classified.rollup("source", "source_file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reason").isNull()).alias("kept"), *counts).where("source_file is not null or grouping(source) = 1")
+    keys = ["source", "source_file"]
+    return classified.groupingSets([[], keys], *keys).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reason").isNull()).alias("kept"), *counts)
+
+
+def run(spark: SparkSession, path: str, output: str, mapping: DataFrame) -> DataFrame:
+    """Canonical files to normalized JSON lines at output, which are replaced as one. Returns the accounting by path of
+    file (null for all): lines = kept + all skipped, always. Files must be mapped; warnings are up to mapping_warnings."""
+    lines = files.canonical(spark, path)
+    records = lines.select("record.source", "record.source_file", "record.source_row", "fields", F.get_json_object("text", "$.fields").alias("fields_json"), "reason", "path")
+    classified = classify(records, mapping)
+    publish.jsonl(normalized(classified), output)
+    by_path = classified.select(F.lit("").alias("source"), F.col("path").alias("source_file"), "reason")
+    return accounting(by_path).select(F.col("source_file").alias("path"), "lines", "kept", *[f"skipped_{r}" for r in REASONS])
 
 
 def mapping_warnings(mapping: DataFrame, files: DataFrame, fields: DataFrame, likely: DataFrame) -> DataFrame:

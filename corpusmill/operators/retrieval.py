@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.sources import publish
 from corpusmill.sources.registry import UNKNOWN
 
 DEPTH, SHOWN = 20, 5
+#: Folders of stored postings, and tasks that write each.
+BUCKETS, SPREAD = 64, 4
 K1, B, RRF = 1.2, 0.75, 60
 
 
@@ -34,6 +40,44 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.select("id", F.size("terms").cast("long").alias("size"), F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
+@dataclass(frozen=True)
+class Postings:
+    """A stored sparse index: postings in folders by hash of the term, and the statistics of the corpus."""
+
+    path: str
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str) -> Postings:
+        """Stores the postings of docs (id, text), sorted by term within a folder, so a search reads its terms only. A
+        folder is written by SPREAD tasks, as one term may hold much of it."""
+        spark = docs.sparkSession
+        bucket, spread = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+        rows = postings(docs).withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+
+        def write(to: str) -> None:
+            rows.write.partitionBy("bucket").parquet(f"{to}/postings")
+            sizes = docs.select(F.size(terms(F.col("text"))).cast("long").alias("size"))
+            sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).write.parquet(f"{to}/stats")
+
+        publish.replace(spark, path, write)
+        return cls(path)
+
+    def top(self, spark: SparkSession, query: list[str], k: int = DEPTH, ids: DataFrame | None = None) -> DataFrame:
+        """id and BM25 score of the k best documents (among ids, if given) for the terms of a query."""
+        query = sorted(set(query))
+        asked = spark.createDataFrame([(q,) for q in query], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).collect()
+        stored = spark.read.parquet(f"{self.path}/postings")
+        found = stored.where(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("term").isin(query))
+        seen = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each asked term
+        stats = spark.read.parquet(f"{self.path}/stats").first()
+        idf = F.lit(0.0)
+        for term, df in seen.items():
+            idf = F.when(F.col("term") == term, math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))).otherwise(idf)
+        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (stats["mean"] or 1.0)))
+        found = found if ids is None else found.join(ids.select("id").distinct(), "id", "left_semi")
+        return found.groupBy("id").agg(F.round(F.sum(score), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+
 def sparse(docs: DataFrame, query: list[str], k: int = DEPTH) -> DataFrame:
     """id and BM25 score of the k best docs (id, text) for the terms of a query.
 
@@ -68,17 +112,19 @@ def fuse(*lists: DataFrame, k: int = DEPTH) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(index: DataFrame, query_text: str, query_vector: list[float], provider=None, category: str | None = None, k: int = DEPTH, n: int = SHOWN) -> DataFrame:
+def search(index: DataFrame, query_text: str, query_vector: list[float], provider=None, category: str | None = None, k: int = DEPTH, n: int = SHOWN, stored: Postings | None = None) -> DataFrame:
     """Result cards for a query over index (id, prompt_id, source, technique, text, dense).
 
-    The category is a predicate below both searches. provider.rerank(df, query) gives new scores; without one the
+    The category is a predicate below both searches. stored: the index's postings, without which its texts are read;
+    their statistics are those of the whole index, whatever the category. provider.rerank(df, query) gives new scores; without one the
     fused scores stay.
     """
     some = index.where(F.col("technique") == category) if category is not None else index
     words = [r for r in some.sparkSession.range(1).select(terms(F.lit(query_text))).first()[0]]
     lists = [ranked(dense(some, query_vector, k), "dense")]
     if words:
-        lists.append(ranked(sparse(some.select("id", "text"), words, k), "sparse"))
+        by_terms = stored.top(some.sparkSession, words, k, None if category is None else some) if stored else sparse(some.select("id", "text"), words, k)
+        lists.append(ranked(by_terms, "sparse"))
     fused = fuse(*lists, k=k)
     found = some.drop("dense").join(F.broadcast(fused), "id")  # at most k rows
     if provider is not None:

@@ -70,8 +70,3 @@ def select_round(records: DataFrame, analyzed: DataFrame | None, number: int, bu
         F.format_string(f"R{number:02d}S%03d", n).alias("sample_id"), "prompt_id", "source", "source_file", "source_row", F.col("bucket").alias("prompt_length_bucket"),
         T.excerpt(F.col("text")).alias("excerpt"), F.concat_ws("|", "source", "source_file", "bucket").alias("stratification_signature"),
     )
-
-
-def stratum_counts(records: DataFrame) -> DataFrame:
-    signature = F.concat_ws("|", "source", "source_file", T.length_bucket(F.col("text")))
-    return records.groupBy("source", signature.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import sampling
+from corpusmill.sources import publish
 
 ROUNDS, STREAK = 4, 2
 MOST_CATEGORIES, MOST_SUBTECHNIQUES, MOST_IDS, MOST_EXCERPTS = 8, 5, 8, 3
@@ -145,15 +146,23 @@ def payload(samples: list[dict], categories: list[Node]) -> str:
     return "\n".join(lines)
 
 
-def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: int = ROUNDS, budget: int = sampling.BUDGET) -> dict:
+def estimated_tokens(text_: str) -> int:
+    """A rough count of a model's tokens: one for four characters."""
+    return -(-len(text_) // 4)
+
+
+def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: int = ROUNDS, budget: int = sampling.BUDGET, debug: str | None = None) -> dict:
     """Rounds of sampling and proposals until nothing is unseen, or STREAK rounds in a row bring no new category.
 
+    A proposal may have `usage` with input_tokens and output_tokens, which are summed up, as are the estimates of what
+    is shown. One that is out of bounds fails the run, after a report of it below debug, if that is given.
+
     A round's sample, at most `budget` rows, is the only thing collected. Ids seen so far go back to Spark as a table.
     """
     spark = records.sparkSession
     samples: dict[str, dict] = {}
     tree: dict[str, Node] = {}
-    history, streak = [], 0
+    history, streak, tokens = [], 0, {"estimated_input": 0, "input": 0, "output": 0}
     for number in range(1, rounds + 1):
         seen = spark.createDataFrame([(s["prompt_id"],) for s in samples.values()], "prompt_id string") if samples else None
         shown = [r.asDict() for r in sampling.select_round(records, seen, number, budget).collect()]
@@ -161,7 +170,16 @@ def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: in
             break
         now = {s["sample_id"]: s for s in shown}
         samples |= now
-        proposal = check(propose(payload(shown, list(tree.values())), number))
+        asked = payload(shown, list(tree.values()))
+        raw = propose(asked, number)
+        used = raw.get("usage") or {}
+        tokens = {"estimated_input": tokens["estimated_input"] + estimated_tokens(asked), **{k: tokens[k] + int(used.get(f"{k}_tokens") or 0) for k in ("input", "output")}}
+        try:
+            proposal = check(raw)
+        except ProposalError as error:
+            if debug:
+                publish.report(spark, f"{debug}/round_{number:02d}.json", {"iteration": number, "error": str(error), "estimated_input_tokens": estimated_tokens(asked), "usage": used, "raw_response": raw})
+            raise
         growth = fresh = 0
         for p in proposal.get("existing_top_level_matches", []):
             if (k := key(text(p.get("top_level_name")))) in tree:
@@ -179,7 +197,7 @@ def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: in
             break
     if not tree:
         raise ProposalError("no category was found")
-    return {"version": 4, "rounds": history, "categories": [serialize(c, samples) for c in tree.values()]}
+    return {"version": 4, "rounds": history, "tokens": tokens, "categories": [serialize(c, samples) for c in tree.values()]}
 
 
 def saturation(rounds: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.arrow import canonical_json
 from corpusmill.operators import audit
 from corpusmill.plans.common import sql_strip, table
 
 STRIPPED = sql_strip("text")
+#: The patterns of functions.text, as DuckDB writes them.
 ODD = r"length(regexp_replace(text, '[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))"
 ENTITY = "'&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,8}|#x[0-9A-Fa-f]{1,8});'"
 SQL_COUNTERS = rf"""
@@ -73,6 +75,22 @@ def schema_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.schema_variants(rows, ["event_type"]).select("event_type", "names", "n", "first", F.col("place").cast("long"))
 
 
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events' properties as records, some of them replaced by empty ones and by what is no object."""
+    n = F.col("event_id")
+    odd = F.when(n % 7 == 0, "{}").when(n % 11 == 0, '{"a":null,"b":" \\t"}').when(n % 13 == 0, "[1]").when(n % 17 == 0, '{"a":0,"b":""}').when(n % 19 == 0, '{"a":[],"b":{}}').when(n % 23 == 0, '""').when(n % 29 == 0, '"[]"')
+    events = table(spark, sf_dir, "events").where("props is not null")
+    return events.select("event_type", n.alias("ord"), n.cast("string").alias("location"), canonical_json(F.coalesce(odd, "props")).alias("json"))
+
+
+def record_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.record_counters(raw_records(spark, sf_dir), ["event_type"])
+
+
+def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.duplicate_summary(audit.duplicate_groups(audit.record_hashes(raw_records(spark, sf_dir)), ["event_type"]), ["event_type"])
+
+
 def value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("props is not null")
     records = events.select(F.col("event_id").alias("ord"), F.col("event_type").alias("source"), F.lit("props").alias("source_file"), F.col("event_id").cast("string").alias("location"), F.try_parse_json("props").alias("fields"))
@@ -98,9 +116,12 @@ QUERIES = {
     "audit_likely_fields": likely_fields,
     "audit_schema_variants": schema_variants,
     "audit_value_types": value_types,
+    "audit_record_counters": record_counters,
+    "audit_duplicate_records": duplicate_records,
     "audit_entity_and_control_flags": entity_and_control_flags,
 }
 
+RAW = "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN '{n}'" for n in (7, 11, 13, 17, 19, 23, 29)) + " END"
 SAMPLE = "CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '...' ELSE text END"
 ORACLES = {
     "audit_text_profile_by_source": f"""
@@ -134,6 +155,13 @@ t AS (SELECT event_type, field, json_type(json_extract(props, '$."' || field ||
 SELECT event_type AS source, field, CASE j WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float'
   WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' ELSE 'dict' END AS type, count(*) AS n
 FROM t GROUP BY ALL""",
+    "audit_record_counters": f"""
+WITH r AS (SELECT event_type, {RAW} AS kind FROM events WHERE props IS NOT NULL)
+SELECT event_type, count(*) AS total_records, count(*) FILTER (kind IN ('7', '11', '19', '23')) AS empty_records, count(*) FILTER (kind IN ('13', '23', '29')) AS non_object_records
+FROM r GROUP BY event_type""",
+    "audit_duplicate_records": f"""
+SELECT event_type, count(*) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_occurrences
+FROM (SELECT event_type, {RAW} AS kind, CASE WHEN {RAW} IS NULL THEN props END AS own, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL HAVING n > 1) GROUP BY event_type""",
     "audit_entity_and_control_flags": rf"""
 SELECT page_id, regexp_matches(html, {ENTITY}) AS has_entity, regexp_matches(html, '\\r\\n|\\n|\\r') AS has_escaped_newline,
   {ODD.replace("text", "html")} AS control_characters, len(regexp_extract_all(html, {ENTITY})) AS entities

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import ingest, retrieval, sampling, taxonomy
 from corpusmill.plans.common import SQL_CORPUS, corpus, sql_bucket, sql_excerpt, sql_word_excerpt, table
-from corpusmill.sources import registry
+from corpusmill.sources import publish, registry
 
 #: Words of the synthetic texts, for sparse search.
 ASKED = ["the", "tion", "nicht"]
@@ -44,6 +46,20 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(docs, "id")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, *tables: str) -> retrieval.Postings:
+    """The postings of docs, as ingestion leaves them: built where there are none yet for these tables' files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in tables])
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string")).first()[0]
+    path = f"{publish.shared_dir(spark)}/corpusmill/postings-{name}-{hashlib.md5(f'{sf_dir} {state}'.encode()).hexdigest()}"
+    if publish.exists(spark, f"{path}/stats/_SUCCESS"):
+        return retrieval.Postings(path)
+    return retrieval.Postings.build(docs, path)
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> retrieval.Postings:
+    return stored(spark, sf_dir, "documents", table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "documents")
+
+
 def asked_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
 
@@ -63,7 +79,7 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_topk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sparse(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ASKED)
+    return documents_index(spark, sf_dir).top(spark, ASKED)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +87,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search(index(spark, sf_dir), " ".join(ASKED), asked_vector(spark, sf_dir))
+    both = index(spark, sf_dir)
+    return retrieval.search(both, " ".join(ASKED), asked_vector(spark, sf_dir), stored=stored(spark, sf_dir, "indexed", both.select("id", "text"), "documents", "embeddings"))
 
 
 def technique_breakdown_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +113,8 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored index read by term: documents and occurrences of each of the 50 commonest terms."""
-    built = retrieval.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return built.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").cast("long").alias("occurrences")).orderBy(F.desc("docs"), "term").limit(50)
+    """All postings: how often each term occurs in each document, and the document's size."""
+    return retrieval.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("term", "id", "tf", "size")
 
 
 def saturation_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,8 +225,9 @@ ORDER BY score DESC, id LIMIT 5""",
     "prompt_lookup": "SELECT '17' AS id, text AS full_prompt, 'Unknown' AS technique, source FROM documents WHERE doc_id = 17",
     "corpus_stats": "SELECT count(*) AS total_prompts, count(DISTINCT source) AS total_sources FROM documents",
     "postings_by_term": r"""
-WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents)
-SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM t GROUP BY term ORDER BY docs DESC, term LIMIT 50""",
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM documents),
+u AS (SELECT doc_id, unnest(terms) AS term, len(terms) AS size FROM t)
+SELECT term, doc_id AS id, count(*) AS tf, size FROM u GROUP BY term, doc_id, size""",
     "saturation_streak": f"""
 WITH r(round, samples, fresh) AS (VALUES {", ".join(map(str, ROUNDS))})
 SELECT CAST(round AS BIGINT) AS round, CAST(sum(samples) OVER w AS BIGINT) AS analyzed, CAST(round - coalesce(max(CASE WHEN fresh > 0 THEN round END) OVER w, 0) AS BIGINT) AS streak

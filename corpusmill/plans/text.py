@@ -85,7 +85,7 @@ DOCUMENT_RULES = [("Token Manipulation", ["###", "$$$"]), ("Social Engineering",
 
 def oversize_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ingest.within_limit(docs, 1000).select("doc_id", ingest.token_count(F.col("text")).alias("tokens"))
+    return ingest.within_limit(docs).select("doc_id", ingest.token_count(F.col("text")).alias("tokens"))
 
 
 def canonical_prompt_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,13 @@ def resume_left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records, one in five with a number for its text and one in seven with a blank one."""
+    """Documents as records, one in five with a number for its text, one in seven with a blank one, and lines that are no
+    records: malformed, blank, no objects, without a row number."""
     docs = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     value = F.when(n % 5 == 0, F.to_variant_object(F.named_struct(F.lit("text"), n))).when(n % 7 == 0, F.to_variant_object(F.named_struct(F.lit("text"), F.lit(" \n ")))).otherwise(F.to_variant_object(F.named_struct(F.lit("text"), F.col("text"))))
-    rows = docs.select("source", F.col("lang").alias("source_file"), n.alias("source_row"), F.when(n % 11 == 0, "malformed").alias("reason"), F.when(n % 11 != 0, value).alias("fields"))
+    rejected = F.when(n % 11 == 0, "malformed").when(n % 13 == 0, "not_object").when(n % 17 == 0, "fields_not_object").when(n % 23 == 0, "blank")
+    rows = docs.select("source", F.col("lang").alias("source_file"), F.when(n % 19 != 0, n).alias("source_row"), rejected.alias("reason"), F.when(rejected.isNull(), value).alias("fields"))
     mapping = docs.select("source", F.col("lang").alias("source_file")).distinct().withColumn("field", F.lit("text"))
     return normalize.accounting(normalize.classify(rows, mapping))
 
@@ -135,7 +137,7 @@ QUERIES = {
     "evidence_merge_arrays": evidence_merge_arrays,
 }
 
-KIND = "CASE WHEN doc_id % 11 = 0 THEN 'malformed' WHEN doc_id % 5 = 0 THEN 'non_string' WHEN doc_id % 7 = 0 THEN 'empty_text' WHEN " + sql_strip("text") + " = '' THEN 'empty_text' END"
+KIND = "CASE WHEN doc_id % 11 = 0 THEN 'malformed' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'invalid_canonical' WHEN doc_id % 23 = 0 THEN 'blank' WHEN doc_id % 19 = 0 THEN 'invalid_canonical' WHEN doc_id % 5 = 0 THEN 'non_string' WHEN doc_id % 7 = 0 THEN 'empty_text' WHEN " + sql_strip("text") + " = '' THEN 'empty_text' END"
 ORACLES = {
     "normalize_pages_text": f"SELECT page_id, {sql_clean(sql_unescape('html'))} AS text FROM pages",
     "normalize_edge_cases": f"SELECT CAST(n AS BIGINT) AS n, {sql_clean('raw')} AS text FROM (VALUES {', '.join(f'({n}, {sql_edge(e)})' for n, e in enumerate(EDGES))}) AS t(n, raw)",
@@ -154,7 +156,7 @@ FROM r GROUP BY GROUPING SETS ((), (source, source_file))""",
     "classify_rules": """
 SELECT doc_id, CASE WHEN contains(t, '###') OR contains(t, '$$$') THEN 'Token Manipulation' WHEN contains(t, 'nicht') THEN 'Social Engineering'
   WHEN contains(t, 'eau') THEN 'Fictional Framing' ELSE 'Unknown' END AS technique FROM (SELECT doc_id, lower(substr(text, 1, 1000)) AS t FROM documents)""",
-    "oversize_guard": r"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS tokens FROM documents) WHERE tokens <= 1000",
+    "oversize_guard": r"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS tokens FROM documents) WHERE tokens <= 8000",
     "resume_left_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "evidence_merge_arrays": """
 WITH c AS (SELECT DISTINCT quality || '/' || toxic AS category, d.doc_id, d.source, d.n_chars FROM labels JOIN documents d USING (doc_id)),

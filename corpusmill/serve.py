@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import collapse
+from corpusmill.functions.text import effective_query
 from corpusmill.operators import ingest, retrieval
 from corpusmill.sources import registry
 
@@ -20,6 +20,7 @@ class Service:
     """An index and the providers around it. Each query has its own filters, so calls don't affect each other."""
 
     index: DataFrame
+    postings: retrieval.Postings | None = None
     embedder: object = field(default_factory=ingest.HashedEmbedder)
     reranker: object | None = field(default_factory=ingest.Overlap)
     clock: object = time.monotonic
@@ -27,16 +28,17 @@ class Service:
 
     def query(self, query: str, category: str | None = None) -> dict:
         """The answer and result cards of a query; a blank query searches for the category, and without one is None."""
-        query = " ".join((query or "").split()) or category
+        spark = self.index.sparkSession
+        query = spark.range(1).select(effective_query(F.lit(query).cast("string"), F.lit(category).cast("string"))).first()[0]
         if not query:
             return {}
-        vector = self.embedder.one(self.index.sparkSession, query)
-        cards = retrieval.search(self.index, query, vector, self.reranker, category)
+        vector = self.embedder.one(spark, query)
+        cards = retrieval.search(self.index, query, vector, self.reranker, category, stored=self.postings)
         rows = [r.asDict() for r in cards.collect()]
         counts: dict[str, int] = {}
         for r in rows:
             counts[r["technique"]] = counts.get(r["technique"], 0) + 1
-        answer = " ".join(" ".join(r["prompt_excerpt"] for r in rows).split()[:300])
+        answer = ingest.extract_answer(r["prompt_excerpt"] for r in rows)
         return {"answer": answer, "results": rows, "technique_breakdown": counts, "result_count": len(rows), "query_type": "semantic"}
 
     def categories(self, hide_empty: bool = False) -> list[dict]:
@@ -55,8 +57,3 @@ class Service:
 
     def stats(self) -> dict:
         return retrieval.stats(self.index).first().asDict()
-
-
-def matching(index: DataFrame, words: str) -> DataFrame:
-    """Points whose collapsed text has the words in a row."""
-    return index.where(F.contains(F.lower(collapse(F.col("text"))), F.lit(words.lower())))

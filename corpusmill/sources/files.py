@@ -1,6 +1,7 @@
 """Reading raw, canonical and normalized files with the numbers of their lines.
 
-Line numbers need a whole file in one place, so a file is one task's row; many files are many tasks.
+Files of lines are read in splits, whose lines are counted and summed up before each. A CSV record may hold line breaks,
+so a CSV file is one task's row; many files are many tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrow
 
 CANONICAL = "source string, source_file string, source_row long, fields_json string"
-NORMALIZED = "prompt_id string, source string, source_file string, source_row bigint, text string, raw_fields variant"
 
 
 class DataError(ValueError):
@@ -27,7 +27,7 @@ class DataError(ValueError):
 def paths(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files two levels below root with source and source_file, in path order; metadata.json files are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/*/*").select("path", "length")
-    return with_origin(found).where("source_file <> 'metadata.json'").orderBy("source", "source_file")
+    return with_origin(found).where("source_file NOT IN ('metadata.json', 'fetch_metadata.json', 'fetch_run_summary.json')").orderBy("source", "source_file")
 
 
 def with_origin(df: DataFrame) -> DataFrame:
@@ -36,10 +36,18 @@ def with_origin(df: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines of text files: path, source, source_file, line (from 1) and text."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    pieces = F.split(F.regexp_replace("value", "(\r\n|\r|\n)\\z", ""), "\r\n|\r|\n", -1)
-    return with_origin(files).select("path", "source", "source_file", F.posexplode(pieces).alias("n", "text")).where("NOT (n = 0 AND text = '')").select("path", "source", "source_file", (F.col("n") + 1).cast("long").alias("line"), "text")
+    """Physical lines of text files: path, source, source_file, line (from 1) and text.
+
+    A task numbers the rows of its splits without a gap, so a line's number is its place after the first one of its split,
+    plus the lines of the file's splits before. Those are a row for each split; texts are not exchanged.
+    """
+    place, block = F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("block")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), block, place, F.col("value").alias("text"))
+    splits = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    numbered = rows.join(splits, ["path", "block"]).withColumn("line", F.col("place") + F.col("shift"))
+    return with_origin(numbered).select("path", "source", "source_file", "line", "text")
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -102,18 +110,54 @@ def convert(spark: SparkSession, root: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def of_type(value: Column, name: str, prefixes: tuple[str, ...], kind: str) -> Column:
+    """A field of a parsed object if it has one of these types, else null."""
+    field = F.try_variant_get(value, F.lit(f"$.{name}"), "variant")
+    is_ = F.lit(False)
+    for prefix in prefixes:
+        is_ = is_ | F.schema_of_variant(field).startswith(prefix)
+    return F.when(is_, F.try_variant_get(value, F.lit(f"$.{name}"), kind))
+
+
+def parsed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with the reason for which their line is no canonical record (null if it is one), record (source, source_file,
+    source_row, each null if it is missing or of another type) and fields."""
+    rows = rows.withColumn("reason", arrow.canonical_status(text)).withColumn("value_", F.when(F.col("reason").isNull(), F.try_parse_json(text)))
+    v = F.col("value_")
+    # As in Python, true and false are whole numbers.
+    keys = F.struct(of_type(v, "source", ("STRING",), "string").alias("source"), of_type(v, "source_file", ("STRING",), "string").alias("source_file"), of_type(v, "source_row", ("BIGINT", "BOOLEAN"), "bigint").alias("source_row"))
+    return rows.withColumn("record", F.when(F.col("reason").isNull(), keys)).withColumn("fields", F.try_variant_get(v, F.lit("$.fields"), "variant")).drop("value_")
+
+
+def conversion_totals(converted: DataFrame) -> DataFrame:
+    """Records by source and file, and (both null) over all with the number of files."""
+    by_file = converted.groupBy("source", "source_file").agg(F.count(F.lit(1)).alias("record_count"))
+    totals = by_file.agg(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("source_file"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.count(F.lit(1)).alias("file_count"))
+    return by_file.withColumn("file_count", F.lit(1).cast("long")).unionByName(totals)
+
+
 def canonical(spark: SparkSession, path: str) -> DataFrame:
     """Lines of canonical files with the reason of their rejection (null if kept) and their parsed parts."""
-    rows = lines(spark, path).withColumn("reason", arrow.canonical_status("text"))
-    return rows.withColumn("record", F.when(F.col("reason").isNull(), F.from_json("text", "source string, source_file string, source_row bigint"))).withColumn("fields", F.when(F.col("reason").isNull(), F.try_variant_get(F.try_parse_json("text"), F.lit("$.fields"), "variant")))
+    return parsed(lines(spark, path))
 
 
 def normalized(spark: SparkSession, path: str) -> DataFrame:
-    """Normalized records, strictly: any malformed line or wrong type fails, and so does an empty input."""
-    rows = spark.read.schema(NORMALIZED).option("mode", "FAILFAST").json(path)
+    """Normalized records, strictly: a malformed line, a missing key or a wrong type fails and is named, and so does an
+    empty input. Blank lines are passed over; raw_fields may be missing."""
+    rows = lines(spark, path).where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    value = F.when(arrow.is_json("text"), F.try_parse_json("text"))
+    text_keys = {c: of_type(F.col("value_"), c, ("STRING",), "string") for c in ("prompt_id", "source", "source_file", "text")}
+    rows = rows.withColumn("value_", value).withColumn("raw_", F.try_variant_get("value_", F.lit("$.raw_fields"), "variant"))
+    rows = rows.select("path", "line", "value_", "raw_", F.struct(*[x.alias(c) for c, x in text_keys.items()], of_type(F.col("value_"), "source_row", ("BIGINT", "BOOLEAN"), "bigint").alias("source_row")).alias("r"))
+    wrong = F.when(F.col("value_").isNull(), "malformed line")
+    for c in (*text_keys, "source_row"):
+        wrong = wrong.when(F.col("r")[c].isNull(), f"{c} missing or of a wrong type")
+    wrong = wrong.when(~F.coalesce(F.schema_of_variant("raw_"), F.lit("OBJECT")).startswith("OBJECT"), "raw_fields of a wrong type")
+    named = F.raise_error(F.concat(wrong, F.lit(" in "), "path", F.lit(" line "), F.col("line").cast("string"))).cast("string")
+    rows = rows.withColumn("prompt_id", F.when(wrong.isNotNull(), named).otherwise(F.col("r.prompt_id")))
     if rows.isEmpty():
         raise DataError(f"no records in {path}")
-    return rows
+    return rows.select("prompt_id", "r.source", "r.source_file", "r.source_row", "r.text", F.coalesce("raw_", F.parse_json(F.lit("{}"))).alias("raw_fields"))
 
 
 def optional_report(spark: SparkSession, path: str) -> DataFrame | None:
@@ -125,12 +169,15 @@ def optional_report(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("multiLine", True).json(path)
 
 
-def legacy(spark: SparkSession, parts: list[tuple[str, str, str]]) -> DataFrame:
-    """Direct loads in order: (source, path of JSON lines, field) as text and source; what can't be read is skipped."""
+def legacy(spark: SparkSession, parts: list[tuple]) -> DataFrame:
+    """Direct loads in order: (source, path of JSON lines, field) as text and source, or (source, path, field, key, value)
+    for the records whose key has that value; what can't be read is skipped."""
     out = spark.createDataFrame([], "ord bigint, text string, source string")
-    for n, (source, path, name) in enumerate(parts):
+    for n, (source, path, name, *only) in enumerate(parts):
         try:
-            rows = lines(spark, path).select((F.lit(n).cast("bigint") * (1 << 40) + F.col("line")).alias("ord"), F.get_json_object("text", f"$.{name}").alias("text"), F.lit(source).alias("source"))
+            rows = lines(spark, path)
+            rows = rows.where(F.get_json_object("text", f"$.{only[0]}") == only[1]) if only else rows
+            rows = rows.select((F.lit(n).cast("bigint") * (1 << 40) + F.col("line")).alias("ord"), F.get_json_object("text", f"$.{name}").alias("text"), F.lit(source).alias("source"))
             rows.limit(1).count()
         except Exception as error:  # noqa: BLE001 - a source that fails must not stop the others
             print(f"skipped {source}: {error}")

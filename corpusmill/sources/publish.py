@@ -34,17 +34,33 @@ def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
     try:
         write(staging)
         fs, place = _place(spark, path)
-        if fs.exists(place):
+        moved = fs.exists(place)
+        if moved:
             remove(spark, old)
-            fs.rename(place, _place(spark, old)[1])
+            if not fs.rename(place, _place(spark, old)[1]):
+                raise OSError(f"can't rename {path} to {old}")
         place.getParent() and fs.mkdirs(place.getParent())
-        if not fs.rename(_place(spark, staging)[1], place):
+        try:
+            done = fs.rename(_place(spark, staging)[1], place)
+        except Exception:
+            moved and fs.rename(_place(spark, old)[1], place)
+            raise
+        if not done:
+            moved and fs.rename(_place(spark, old)[1], place)
             raise OSError(f"can't rename {staging} to {path}")
         remove(spark, old)
     finally:
         remove(spark, staging)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; only a local session may lack it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
+
+
 def table(df: DataFrame, path: str, *by: str) -> None:
     """A Parquet table, in folders by the given columns."""
     replace(df.sparkSession, path, lambda to: df.write.partitionBy(*by).parquet(to))

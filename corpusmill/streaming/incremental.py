@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.functions import arrow
 from corpusmill.operators import normalize
+from corpusmill.sources import files, publish
+
+
+#: Folders of the output, by hash of the id.
+PARTS = 64
 
 
 def canonical_lines(lines: DataFrame) -> DataFrame:
     """Lines (value) as canonical records with the reason of their rejection."""
-    rows = lines.withColumn("reason", arrow.canonical_status("value"))
-    rows = rows.withColumn("r", F.when(F.col("reason").isNull(), F.from_json("value", "source string, source_file string, source_row bigint")))
-    fields = F.when(F.col("reason").isNull(), F.try_variant_get(F.try_parse_json("value"), F.lit("$.fields"), "variant"))
-    return rows.select("r.source", "r.source_file", "r.source_row", "reason", fields.alias("fields"), F.get_json_object("value", "$.fields").alias("fields_json"))
+    return files.parsed(lines, "value").select("record.source", "record.source_file", "record.source_row", "reason", "fields", F.get_json_object("value", "$.fields").alias("fields_json"))
 
 
 def start(spark: SparkSession, arrivals: str, output: str, checkpoint: str, mapping: list[tuple[str, str, str]]) -> StreamingQuery:
@@ -28,13 +29,13 @@ def start(spark: SparkSession, arrivals: str, output: str, checkpoint: str, mapp
         session = batch.sparkSession
         kept = normalize.normalized(normalize.classify(canonical_lines(batch), session.createDataFrame(mapping, "source string, source_file string, field string")))
         kept = kept.withColumn("raw_fields", F.to_json("raw_fields")).dropDuplicates(["prompt_id"])
-        try:
-            seen = session.read.parquet(output).select("prompt_id")
-        except Exception as error:  # noqa: BLE001 - only a missing output is expected
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            seen = kept.limit(0).select("prompt_id")
-        kept.join(seen, "prompt_id", "left_anti").write.mode("append").parquet(output)
+        kept = kept.withColumn("part", F.pmod(F.xxhash64("prompt_id"), F.lit(PARTS)).cast("int"))
+        if publish.exists(session, output):
+            # Only ids are read, and only from folders that the batch's ids fall into.
+            touched = [r["part"] for r in kept.select("part").distinct().collect()]  # at most PARTS numbers
+            seen = session.read.parquet(output).where(F.col("part").isin(touched)).select("part", "prompt_id")
+            kept = kept.join(seen, ["part", "prompt_id"], "left_anti")
+        kept.write.mode("append").partitionBy("part").parquet(output)
 
     lines = spark.readStream.format("text").schema("value string").option("recursiveFileLookup", True).load(arrivals)
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
