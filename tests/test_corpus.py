@@ -129,10 +129,13 @@ def test_fetch_replaces_only_if_required_sources_succeed(spark, tmp_path):
             put(landing, f"{s.source_name}/{x.output_name}", "{}")
     first = ingest.run_summary(ingest.fetch_all(spark, str(landing), str(raw))).first()
     assert (first.failed_count, first.all_required_succeeded, raw.exists()) == (1, False, False)
+    assert json.loads((tmp_path / "raw-fetch_run_summary.json").read_text())["required_failed_count"] == 1
     for x in registry.SOURCES[0].snapshots:
         put(landing, f"{registry.SOURCES[0].source_name}/{x.output_name}", "{}")
     assert ingest.run_summary(ingest.fetch_all(spark, str(landing), str(raw))).first().all_required_succeeded
     assert registry.snapshots(spark).count() == 12 and len(list(raw.rglob("*.jsonl"))) == 11
+    assert json.loads((raw / "fetch_run_summary.json").read_text())["failed_count"] == 0 and not (tmp_path / "raw-fetch_run_summary.json").exists()
+    assert len(list(raw.rglob("fetch_metadata.json"))) == len(registry.SOURCES)
 
 
 def test_duplicate_samples_are_the_first_ten_then_sorted(spark):
@@ -148,3 +151,88 @@ def test_mapping_warnings(spark):
     seen = spark.createDataFrame([("b", "f", "y"), ("c", "f", "x"), ("d", "f", "x")], "source string, source_file string, field string")
     got = {r.source: r.warning for r in normalize.mapping_warnings(mapping, seen.select("source", "source_file"), seen, seen.where("source = 'd'")).collect()}
     assert got == {"a": "file missing", "b": "field unseen", "c": "field not likely"}
+
+
+def test_lines_are_numbered_across_splits_as_in_whole_files(spark, tmp_path):
+    contents = {"s/a.txt": "".join(f"line {k} {'x' * (k % 37)}" + ("\n", "\r\n")[k % 2] for k in range(400)), "s/b.txt": "\n\nthird\n\nfifth", "t/c.txt": "", "t/d.txt": "é\n" * 300}
+    for name, text in contents.items():
+        put(tmp_path, name, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = files.lines(spark, f"{tmp_path}/*/*.txt")
+        assert got.select("path").count() == sum(len(t.splitlines()) for t in contents.values())
+        rows = {(r.source, r.source_file, r.line): r.text for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {(*name.split("/"), n): x for name, text in contents.items() for n, x in enumerate(text.splitlines(), 1)}
+
+
+LINES = [
+    {"source": "s", "source_file": "f", "source_row": 1, "fields": {"t": "A long enough text to be found likely here, by more than twenty characters", "n": 1}},
+    {"source": "s", "source_file": "f", "source_row": 2, "fields": {"t": "A long enough text to be found likely here, by more than twenty characters", "n": 1}},
+    {"source": 5, "source_file": "f", "source_row": 3, "fields": {"t": "x"}},
+    {"source": "s", "source_file": "f", "source_row": 3.5, "fields": {"t": "x"}},
+    {"source": "s", "source_file": "f", "fields": {}},
+    {"source": "s", "source_file": "f", "source_row": 6, "fields": {"t": " \n "}},
+    {"source": "s", "source_file": "f", "source_row": 7, "fields": {"t": 7}},
+    [1],
+    {"fields": 1},
+]
+
+
+def test_normalize_counts_every_line_once(spark, tmp_path):
+    put(tmp_path, "c/s/f.jsonl", "\n".join([*map(json.dumps, LINES), "", "{bad"]))
+    got = {r.path and r.path.rsplit("/", 1)[1]: r.asDict() for r in normalize.run(spark, f"{tmp_path}/c/*/*.jsonl", f"{tmp_path}/out", registry.field_mapping(spark, [("s", "f", "t")])).collect()}
+    for name in ("f.jsonl", None):
+        r = got[name]
+        assert (r["lines"], r["kept"]) == (11, 2) and r["lines"] == r["kept"] + sum(v for k, v in r.items() if k.startswith("skipped_"))
+        assert [r[f"skipped_{k}"] for k in normalize.REASONS] == [1, 1, 5, 1, 1]
+    kept = files.normalized(spark, f"{tmp_path}/out/*.json").collect()
+    assert [r.text for r in kept] == [LINES[0]["fields"]["t"]] * 2 and len({r.prompt_id for r in kept}) == 2
+
+
+@pytest.mark.parametrize("broken", ['{"prompt_id": "p"}', '{"prompt_id": "p", "source": "s", "source_file": "f", "source_row": "1", "text": "t"}', "{bad", '{"prompt_id": "p", "source": "s", "source_file": "f", "source_row": 1, "text": "t", "raw_fields": 3}'])
+def test_strict_scan_names_the_line(spark, tmp_path, broken):
+    sound = '{"prompt_id": "p", "source": "s", "source_file": "f", "source_row": 1, "text": "t"}'
+    put(tmp_path, "n.jsonl", f"{sound}\n\n{sound}\n")
+    assert files.normalized(spark, f"{tmp_path}/n.jsonl").count() == 2
+    put(tmp_path, "b.jsonl", f"{sound}\n{broken}\n")
+    with pytest.raises(Exception, match=r"b\.jsonl line 2"):
+        files.normalized(spark, f"{tmp_path}/b.jsonl").collect()
+
+
+def test_audit_report_equals_one_made_by_hand(spark, tmp_path):
+    put(tmp_path, "c/s/f.jsonl", "\n".join([*map(json.dumps, LINES), "", "{bad"]))
+    put(tmp_path, "c/u/g.jsonl", json.dumps({"source": "u", "source_file": "g", "source_row": 1, "fields": {"q": None}}))
+    report = audit.run(spark, f"{tmp_path}/c/*/*.jsonl")
+    whole, one = report["corpus_summary"], report["file_summaries"]["s/f.jsonl"]
+    assert (whole["total_sources"], whole["total_files"], whole["per_source_record_counts"]) == (2, 2, {"s": 7, "u": 1})
+    assert (whole["total_records"], whole["empty_records"], whole["non_object_records"], whole["malformed_jsonl_lines"]) == (8, 3, 0, 4)
+    assert (one["total_records"], one["empty_records"], one["source_name"]) == (7, 2, "s") and report["source_summaries"]["s"]["file_count"] == 1
+    assert [m["reason"] for m in one["malformed_line_samples"]] == ["not_object", "fields_not_object", "blank", "malformed"]
+    raw = one["duplicate_raw_records"]
+    assert (raw["duplicate_groups"], raw["duplicate_occurrences"]) == (2, 2) and {s["sample_text"] for s in raw["samples"]} == {json.dumps(LINES[0]["fields"], sort_keys=True, separators=(",", ":")), '{"t":"x"}'}
+    assert [c["field"] for c in one["likely_prompt_bearing_fields"]] == ["t"]
+    text = one["duplicate_likely_prompt_text"]
+    assert (text["duplicate_groups"], text["duplicate_occurrences"], list(text["by_field"])) == (2, 2, ["t"])
+    assert one["schema_variation"]["variant_count"] == 3 and one["schema_variation"]["dominant_fields"] == ["t"] and one["schema_variation"]["dominant_count"] == 4
+    assert one["fields"]["t"]["value_types"] == {"str": 5, "int": 1} and one["fields"]["n"]["present_count"] == 2
+    publish.report(spark, f"{tmp_path}/audit.json", report)
+    assert json.loads((tmp_path / "audit.json").read_text())["corpus_summary"]["total_records"] == 8
+
+
+def test_a_failed_rename_restores_what_was_there(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    publish.table(spark.range(3), path)
+    with pytest.raises(Exception):
+        publish.replace(spark, path, lambda to: None)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_legacy_type_filter_and_conversion_totals(spark, tmp_path):
+    a = put(tmp_path, "a.jsonl", '{"t":"x","type":"bad"}\n{"t":"y","type":"good"}\n')
+    assert [r.text for r in files.legacy(spark, [("one", a, "t", "type", "bad")]).collect()] == ["x"]
+    raw, _ = corpus(tmp_path)
+    totals = {(r.source, r.source_file): (r.record_count, r.file_count) for r in files.conversion_totals(files.convert(spark, raw)).collect()}
+    assert totals == {("one", "a.jsonl"): (5, 1), ("two", "b.csv"): (2, 1), (None, None): (7, 2)}

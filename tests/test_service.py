@@ -47,21 +47,24 @@ def test_discovery_merges_checks_and_stops(spark):
             {"name": "Alpha", "description": "d", "distinguishing_traits": [" t ", "t"], "supporting_sample_ids": [*ids(1), "nope"], "subtechniques": [{"name": "Sub", "description": "d", "supporting_sample_ids": [ids(1)[0]]}, {"name": "Empty", "description": "d", "supporting_sample_ids": ["nope"]}]},
             {"name": "No support", "description": "d", "supporting_sample_ids": []}]},
         {"existing_top_level_matches": [{"top_level_name": " ALPHA ", "supporting_sample_ids": ids(2), "refined_traits": ["u"], "subtechniques": [{"name": "sub", "description": "d", "supporting_sample_ids": ids(2)}]}]},
-        {}, {},
+        {"usage": {"input_tokens": 7, "output_tokens": 3}}, {},
     ]
     report = taxonomy.discover(records(spark), taxonomy.replay(rounds), budget=8)
     (alpha,) = report["categories"]
+    assert (report["tokens"]["input"], report["tokens"]["output"]) == (7, 3)
     assert alpha["distinguishing_traits"] == ["t", "u"] and alpha["supporting_sample_ids"] == [*ids(1), *ids(2)]
     assert [s["name"] for s in alpha["subtechniques"]] == ["Sub"] and alpha["subtechniques"][0]["support_count"] == 4
     assert [r["new_categories"] for r in report["rounds"]] == [1, 0, 0] and report["rounds"][1]["evidence_growth"] == 3
     assert sum(alpha["source_distribution"].values()) == alpha["support_count"] == 6
 
 
-def test_discovery_refuses_proposals_out_of_bounds(spark):
+def test_discovery_refuses_proposals_out_of_bounds(spark, tmp_path):
     too_many = {"new_top_level_categories": [{"name": f"n{k}"} for k in range(3)]}
     try:
-        taxonomy.discover(records(spark), lambda shown, n: too_many, budget=5)
+        taxonomy.discover(records(spark), lambda shown, n: too_many, budget=5, debug=f"{tmp_path}/debug")
     except taxonomy.ProposalError:
+        left = json.loads((tmp_path / "debug" / "round_01.json").read_text())
+        assert left["raw_response"] == too_many and left["estimated_input_tokens"] > 0
         return
     raise AssertionError
 
@@ -79,7 +82,7 @@ def test_ingest_resumes_and_serves(spark, tmp_path):
     index = spark.read.parquet(f"{tmp_path}/index")
     assert index.count() == 3
 
-    service = Service(index)
+    service = Service(index, retrieval.Postings(f"{tmp_path}/index-postings"))
     found = service.query("ignore instructions")
     assert found["results"][0]["id"] == "p1" and found["result_count"] == 3 and sum(found["technique_breakdown"].values()) == 3
     only = service.query("  ", "Instruction Injection")
@@ -94,10 +97,15 @@ def test_ingest_resumes_and_serves(spark, tmp_path):
     raise AssertionError
 
 
-def test_postings_agree_with_direct_bm25(spark, small):
+def test_postings_agree_with_direct_bm25(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as id", "text")
     built = retrieval.postings(docs).where("term = 'the'")
     assert built.count() == retrieval.sparse(docs, ["the"], 10_000).count()
+    words = ["the", "nicht", "no-such-term"]
+    stored = retrieval.Postings.build(docs, f"{tmp_path}/postings")
+    assert stored.top(spark, words).collect() == retrieval.sparse(docs, words).collect()
+    some = docs.where("id < 50")
+    assert {r.id for r in stored.top(spark, words, ids=some).collect()} <= set(range(50))
 
 
 def test_stream_normalizes_each_record_once(spark, tmp_path):
