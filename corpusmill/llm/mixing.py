@@ -19,10 +19,12 @@ EPOCHS = 3
 QUALITY = {1: 1.0, 0: 0.25, None: 0.5}
 #: Weights are joined by broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_WEIGHTS = 300_000
+#: So are sources, up to so many (200 bytes each).
+BROADCAST_SOURCES = 50_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size) with target: shares by weight 1, 2, 3, 1, ... in code-point order, null last;
+    """sizes (source, source_size), a row for each source of which a task can hold all, with target: shares by weight 1, 2, 3, 1, ... in code-point order, null last;
     no target is above EPOCHS times its size, and what exceeds that is shared again by weight.
 
     Sharing again and again ends at one level per unit of weight, with the sources of least size per weight full;
@@ -54,13 +56,21 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return best.select("doc_id", F.when(F.col("quality") >= 1, QUALITY[1]).when(F.col("quality") < 1, QUALITY[0]).otherwise(QUALITY[None]).alias("weight"))
 
 
+def ranged(rows: DataFrame, shares: DataFrame, ranges: int) -> DataFrame:
+    """rows with the range that their key falls into: of the chance that a document of the source has a smaller key, which
+    is the sum over its weights w of their shares times 1 - exp(-w key). So each range of a source holds as many rows."""
+    joined = rows.join(small_side(shares, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    below = F.aggregate("shares", F.lit(0.0), lambda sum_, s: sum_ + s["n"] / F.col("all") * (1 - F.exp(-s["weight"] * F.col("key"))))
+    return joined.withColumn("range", F.least(F.floor(below * ranges), F.lit(ranges - 1))).drop("of", "all", "shares", "weight")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None = None, seed: str = SEED, rows_per_task: int = 100_000) -> DataFrame:
     """docs (doc_id, source, size) with source_size, target, taken (words), copies (whole) and tail (words beyond).
 
-    weights: doc_id and weight > 0, one row per id. A source of any size is cut into ranges of keys, and a prefix
-    sum is that of the ranges before plus that within a range. A null source is a source of its own. Documents
-    without words get 0. Rows alike in every column are interchangeable. Of other columns only payload is kept, and
-    carried through one exchange.
+    weights: doc_id and weight > 0, one row per id. A source of any size is cut into ranges of keys that hold about as
+    many documents each, and a prefix sum is that of the ranges before plus that within a range. A null source is a
+    source of its own. Documents without words get 0. Rows alike in every column are interchangeable. Of other columns
+    only payload is kept, and carried through one exchange. An empty table gives no rows.
     """
     carried = [payload] if payload else []
     rows = docs.select("doc_id", "source", "size", *carried)
@@ -68,13 +78,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None =
         rows = rows.join(small_side(weights, BROADCAST_WEIGHTS), "doc_id", "left")
     else:
         rows = rows.withColumn("weight", F.lit(None).cast("double"))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(F.col("weight"), F.lit(QUALITY[None]))
-    rows = rows.select("doc_id", "source", "size", key.alias("key"), *carried)
+    weight = F.coalesce(F.col("weight"), F.lit(QUALITY[None]))
+    key = -F.log(uniform(F.col("doc_id"), seed)) / weight
+    # Weights between two powers of two count as the lower one for the ranges.
+    rows = rows.select("doc_id", "source", "size", key.alias("key"), F.pow(F.lit(2.0), F.floor(F.log2(weight))).alias("weight"), *carried)
     keys = written(rows.drop(*carried), "mix-keys")
-    ranges = max(32, -(-keys.count() // rows_per_task))
-    in_range = F.floor((1 - F.exp(-F.col("key"))) * ranges)
-    keys = keys.withColumn("range", in_range)
-    rows = rows.withColumn("range", in_range) if payload else keys
+    shares = keys.groupBy("source", "weight").agg(F.count(F.lit(1)).alias("n"))
+    # A row for each source, which holds a pair for each power of two.
+    shares = written(shares.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("all"), F.collect_list(F.struct("weight", "n")).alias("shares")), "mix-shares")
+    total = shares.agg(F.sum("all")).first()[0] or 0
+    keys, rows = (ranged(x, shares, max(32, -(-total // rows_per_task))) for x in (keys, rows))
+    rows = rows if payload else keys
     summed = keys.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     summed = summed.withColumn("ahead", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
