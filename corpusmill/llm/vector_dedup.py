@@ -22,7 +22,9 @@ from corpusmill.llm.vectors import matrix, usable
 
 THRESHOLD = 0.93
 #: Vectors in a tile, on average.
-TILE = 2048
+TILE = 8192
+#: Rows of a tile that are compared at a time, which bounds the products held.
+ROWS = 512
 #: Dimensions summed between two rounds of pruning.
 DIMENSIONS = 16
 #: While more than this share of a tile pair is alive, products are taken of whole tiles.
@@ -30,8 +32,11 @@ DENSE = 0.02
 #: Pairs whose remaining products are taken at once.
 PAIRS = 1 << 18
 ROUNDING = 1e-12
+#: Turned vectors find pairs down to so much below the threshold, and where a product is so near to it, the vectors as they
+#: came decide.
+NEAR = 1e-9
 #: What goes with a vector: two hashes that identify it, its least id, how often it occurs, its label and length.
-CARRIED = ["f1", "f2", "rep", "copies", "label", "length"]
+CARRIED = ["f1", "f2", "rep", "copies", "label", "length", "own"]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -74,8 +79,27 @@ def turned(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], width
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in CARRIED), pa.array(slab), pa.array(out, pa.list_(pa.float64()))], [*CARRIED, "slab", "vector"])
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of rows whose product is at least the threshold."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows with rows. Scaling by a power of two first keeps squares finite and changes no digit."""
+    a, b = (x * np.exp2(-np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True)))) for x in (a, b))
+    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, of_a: np.ndarray | None = None, of_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of rows whose product is at least the threshold; of_a and of_b, the vectors that a and b were
+    turned from, decide near it."""
+    parts = [near_pairs(a[k : k + ROWS], b, threshold) for k in range(0, len(a), ROWS)]
+    i, j, values = (np.concatenate([p[n] + (k * ROWS if n == 0 else 0) for k, p in enumerate(parts)]) for n in range(3))
+    close = np.flatnonzero(np.abs(values - threshold) <= NEAR)
+    if of_a is not None and len(close):
+        values[close] = cosines(of_a[i[close]], of_b[j[close]])
+    keep = values >= threshold
+    return i[keep], j[keep]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in a, in b) and products of rows whose product is at least the threshold less NEAR."""
+    threshold = threshold - NEAR
     cuts = [*range(0, a.shape[1], DIMENSIONS), a.shape[1]]
     rest = lambda x, c: np.sqrt((x[:, c:] ** 2).sum(axis=1))
     sums, alive, step = np.zeros((len(a), len(b))), None, 0
@@ -92,7 +116,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
         values = values + np.concatenate(parts or [values])
         keep = values >= threshold - ROUNDING * (d < a.shape[1]) - rest(a, d)[i] * rest(b, d)[j]
         i, j, values = i[keep], j[keep], values[keep]
-    return i, j
+    return i, j, values
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -117,7 +141,7 @@ def compare(group: pa.Table, threshold: float) -> pa.Table:
     out = {"f1": [], "f2": [], "links": [], "a": [], "b": []}
     if len(first) and len(second):
         same = bool(first["second"][0].as_py())
-        i, j = linked_pairs(matrix(first["vector"]), matrix(second["vector"]), threshold)
+        i, j = linked_pairs(matrix(first["vector"]), matrix(second["vector"]), threshold, matrix(first["own"]), matrix(second["own"]))
         if same:
             i, j = i[i < j], j[i < j]
         else:
@@ -163,8 +187,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     copies = written(copies.withColumn("length", F.size("vector")), "dedup-vectors")
 
     axes, width = principal_axes(copies), float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    copies = copies.withColumn("own", F.col("vector"))
+    kinds = dict(copies.dtypes)
     slabs = copies.select(*CARRIED, "vector").mapInArrow(
-        lambda batches: turned(batches, axes, width), f"f1 long, f2 long, rep long, copies long, label {dict(copies.dtypes)['label']}, length int, slab int, vector array<double>"
+        lambda batches: turned(batches, axes, width), f"f1 long, f2 long, rep long, copies long, label {kinds['label']}, length int, own {kinds['own']}, slab int, vector array<double>"
     )
     pairs = tiled(written(slabs, "dedup-turned"), tile).groupBy("label", "length", "pair_slab", "kind", "i", "j")
     found = written(pairs.applyInArrow(lambda group: compare(group, threshold), "f1 long, f2 long, links long, a long, b long"), "dedup-links")
