@@ -69,12 +69,12 @@ def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All training rows, in order, to one row: the weights and, last, the bias."""
-    rows = [(y, i.values.to_numpy(), v.values.to_numpy()) for b in batches for y, i, v in zip(b["label"].to_pylist(), b["index"], b["value"], strict=True)]
-    z, n, w = (np.zeros((1 << BITS) + 1) for _ in range(3))
-    for _ in range(EPOCHS):
-        for y, i, v in rows:
-            i, v = np.append(i, 1 << BITS), np.append(v, 1.0)
+    """All training rows, once for each epoch and in order, to one row: the weights and, last, the bias. Rows are taken as
+    they come, so only the weights are held."""
+    z, n = (np.zeros((1 << BITS) + 1) for _ in range(2))
+    for b in batches:
+        for y, i, v in zip(b["label"].to_pylist(), b["index"], b["value"], strict=True):
+            i, v = np.append(i.values.to_numpy(), 1 << BITS), np.append(v.values.to_numpy(), 1.0)
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             g = (1 / (1 + np.exp(-np.clip(wi @ v, -35, 35))) - y) * v
@@ -105,12 +105,16 @@ def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     ids = ids.withColumn("ord", F.xxhash64("doc_id")).orderBy("ord").limit(rows)
     texts = docs.join(F.broadcast(ids), "doc_id").select("ord", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     sparse = texts.mapInArrow(featurize, "ord long, label int, index array<int>, value array<float>")
-    model = sparse.repartition(1).sortWithinPartitions("ord").mapInArrow(train, "weights binary").first()
+    sparse = sparse.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    order = ["epoch", "ord", "label", F.hash("index"), F.hash("value")]
+    model = sparse.repartition(1).sortWithinPartitions(*order).select("label", "index", "value").mapInArrow(train, "weights binary").first()
     return np.frombuffer(model[0], dtype=np.float32) if model else np.zeros((1 << BITS) + 1, dtype=np.float32)
 
 
 def score(df: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:
-    """df with the probability that a text is good. Null and empty texts get that of the bias alone."""
+    """df with the probability that a text is good. Null and empty texts get that of the bias alone. Rows are scored one by
+    one: repeated rows alike, nulls in other columns change nothing, an empty table stays empty; of other columns only
+    one of the score's name is replaced."""
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(scores(texts, weights, tn.Powers()))
