@@ -54,12 +54,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, ids: n
 
 
 def search_large(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """As search(), for numbers whose products a double can't hold: in Python's integers, kept within 64 bits."""
+    """As search(), for numbers whose products a double can't hold: in Python's integers. A score beyond 64 bits fails the
+    run, as there is no such long."""
     whole = lambda m: [[int(x) for x in row] for row in m]
     out, rows = [], whole(found)
     for q, own in zip(whole(queries), query_ids, strict=True):
         scored = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), i) for r, i in zip(rows, ids, strict=True) if i != own)[:k]
-        out.append((np.array([i for _, i in scored], dtype=np.int64), np.array([max(-(2**63), min(2**63 - 1, -s)) for s, _ in scored], dtype=np.int64)))
+        out.append((np.array([i for _, i in scored], dtype=np.int64), np.array([-s for s, _ in scored], dtype=np.int64)))
     return out
 
 
