@@ -114,8 +114,8 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc
 
     Bytes per shard differ from an equal share by the tolerance, or by one row where single rows are larger than
     that. Equal texts stay together where the tolerance allows it; a larger group is cut by its ids. Rows with the
-    same text and id always stay together. A null text has no bytes and a null id is an id of its own. An empty
-    table gives an empty result.
+    same text and id always stay together. A null text has no bytes (its text_crc32 in the query is 0, that of no bytes) and a
+    null id is an id of its own. An empty table gives an empty result.
     """
     k1, k2 = text_key(F.col(text)), id_key(F.col(doc_id))
     keys = written(df.select(k1.alias("k1"), k2.alias("k2"), row_bytes(F.col(text)).alias("size")), "shard-keys")
@@ -137,5 +137,5 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", row_bytes(F.col("text")).alias("size"), F.crc32(F.col("text")).alias("text_crc32"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", row_bytes(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text")), F.lit(0)).alias("text_crc32"), "text")
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
