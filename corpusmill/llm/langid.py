@@ -30,9 +30,9 @@ MOST_TRIGRAMS = 40
 GRAM_COUNT, PRIOR_COUNT, DECLARED_COUNT = 0.5, 8.0, 2.0
 #: A document is rejected if it has no letters or if no language has at least this posterior.
 LEAST_POSTERIOR = 0.5
-#: Of the background: its prior, and its log likelihood of a trigram, a nat below an even chance, so that texts which
-#: a language explains hardly better than that stay.
-OTHER_PRIOR, OTHER_TRIGRAM = 1e-6, -BITS * math.log(2) - 1
+#: Of the background: its prior, and how far its log likelihood of a trigram lies on the way from what a language's own
+#: trigrams have on average to what one has that the model never saw.
+OTHER_PRIOR, OTHER_WAY = 1e-6, 0.6
 #: Joined by broadcast up to so many hosts (100 bytes each), else by a shuffle.
 BROADCAST_HOSTS = 50_000
 #: Letters of any script keep their bytes; all else is a blank.
@@ -86,17 +86,23 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     return np.log(totals / totals.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def background(model: np.ndarray) -> float:
+    """The background's log likelihood of a trigram. It depends on the model, as one fitted on little knows little."""
+    own = (np.exp(model.astype(np.float64)) * model).sum(axis=1).mean()
+    return float(own + OTHER_WAY * (model.min(axis=1).mean() - own))
+
+
 def likelihoods(texts: pa.Array, model: np.ndarray) -> pa.Array:
     """For each text the tempered log likelihoods of each language and of the background and, last, the number of its
     trigrams."""
-    out = np.zeros((len(texts), len(model) + 2))
+    out, other = np.zeros((len(texts), len(model) + 2)), background(model)
     for data, off, first in tn.chunks(texts):
         code, use = trigrams(data, off)
         last = first + len(off) - 1
         many = np.concatenate([[0], np.cumsum(use)])
         many = many[off[1:]] - many[off[:-1]]
         out[first:last, -1] = many
-        out[first:last, -2] = np.minimum(many, MOST_TRIGRAMS) * OTHER_TRIGRAM
+        out[first:last, -2] = np.minimum(many, MOST_TRIGRAMS) * other
         for n, row in enumerate(model):
             sums = np.concatenate([[0.0], np.cumsum(np.where(use, row[code], 0), dtype=np.float64)])
             out[first:last, n] = (sums[off[1:]] - sums[off[:-1]]) / np.maximum(many, 1) * np.minimum(many, MOST_TRIGRAMS)
