@@ -52,8 +52,8 @@ def let(value: Column, body) -> Column:
 
 def slices(items: Column) -> Column:
     """An array as an array of slices of RUN items, the last of what is left."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN)), lambda k: k <= F.size(items))
-    return F.transform(starts, lambda k: F.slice(items, k, F.lit(RUN)))
+    starts = lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(RUN)), lambda k: k <= F.size(x))
+    return let(items, lambda x: F.transform(starts(x), lambda k: F.slice(x, k, F.lit(RUN))))
 
 
 def running(items: Column, zero: Column, step) -> Column:

@@ -185,7 +185,9 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
     ints = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
 
     def clean(all_: Column) -> Column:
-        ends = running(all_, F.lit(-1), lambda most, s: F.greatest(most, s["end"]))
+        return let(running(all_, F.lit(-1), lambda most, s: F.greatest(most, s["end"])), lambda ends: between(all_, ends))
+
+    def between(all_: Column, ends: Column) -> Column:
         # What lies before each span that begins beyond all earlier ones, and what follows the last.
         before = F.transform(all_, lambda s, k: F.struct(F.when(k == 0, -1).otherwise(F.get(ends, k - 1)).alias("most"), s["start"].alias("to")))
         gaps = F.transform(F.filter(before, lambda g: g["to"] > g["most"]), lambda g: F.struct(F.greatest(g["most"], F.lit(0)).alias("at"), g["to"].alias("to")))
