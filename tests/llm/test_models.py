@@ -342,12 +342,17 @@ def test_stages_do_what_they_say(spark, small):
     words = Counter()
     for r in stage["mix_sources"](spark, docs, small).collect():
         words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-        assert texts[r.doc_id].startswith(r.text)
+        assert texts[r.doc_id] == r.text
     from corpusmill.llm import mixing
     from corpusmill.llm.common import n_words
 
     sizes = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
-    assert words == Counter({r.source: int(r.target) for r in mixing.targets(sizes).collect()})
+    longest: dict[str, int] = {}
+    for r in docs.collect():
+        longest[r.source] = max(longest.get(r.source, 0), len(re.findall(r"[^\x20\x09-\x0D]+", r.text)))
+    # Documents are taken whole, so a source is off its target by half of one at most.
+    for r in mixing.targets(sizes).collect():
+        assert abs(words[r.source] - r.target) <= longest[r.source] / 2
 
 
 def test_near_dedup_drops_only_texts_with_a_copy_that_stays(spark, small, make_docs):
