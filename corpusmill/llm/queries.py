@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.alignment import op11_alignment
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
 from corpusmill.llm.langid import op2_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES = {
