@@ -13,6 +13,7 @@ from corpusmill.llm.secrets import op5_secret_scans
 from corpusmill.llm.sharding import op7_sharding
 from corpusmill.llm.text_dedup import op4_minhash_dedup
 from corpusmill.llm.topk import OP3_SQL, op3_exact_topk
+from corpusmill.llm.url_filter import OP13_SQL, op13_url_filters
 from corpusmill.llm.vector_dedup import op8_embedding_dedup
 
 QUERIES = {
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLES = {
     "op3_exact_topk": OP3_SQL,
     "op6_mixing": OP6_SQL,
     "op10_chat_formatting": OP10_SQL,
+    "op13_url_filters": OP13_SQL,
 }
