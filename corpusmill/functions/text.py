@@ -101,13 +101,14 @@ def legacy_id(source: Column, text: Column) -> Column:
 
 def prompt_id(source: Column, source_file: Column, source_row: Column, raw_fields_json: Column) -> Column:
     """source, underscore and 20 hex digits of the hash of the record's canonical JSON."""
-    quoted = lambda c: canonical_json(F.to_json(F.struct(c.alias("v"))))
-    inner = lambda c: F.regexp_extract(quoted(c), r"(?s)^\{\"v\":(.*)\}$", 1)
-    whole = F.concat(
-        F.lit('{"raw_fields":'), canonical_json(raw_fields_json), F.lit(',"source":'), inner(source), F.lit(',"source_file":'), inner(source_file),
-        F.lit(',"source_row":'), source_row.cast("string"), F.lit("}"),
-    )
-    return F.concat(source, F.lit("_"), F.substring(stable_hash(whole), 1, 20))
+    quoted = lambda c: F.regexp_extract(canonical_json(F.to_json(F.struct(c.alias("v")))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return prompt_id_of(source, quoted(source), quoted(source_file), source_row, canonical_json(raw_fields_json))
+
+
+def prompt_id_of(source: Column, source_json: Column, source_file_json: Column, source_row: Column, fields_json: Column) -> Column:
+    """The same from values that are canonical JSON already."""
+    parts = [F.lit('{"raw_fields":'), fields_json, F.lit(',"source":'), source_json, F.lit(',"source_file":'), source_file_json, F.lit(',"source_row":'), source_row.cast("string"), F.lit("}")]
+    return F.concat(source, F.lit("_"), F.substring(stable_hash(F.concat(*parts)), 1, 20))
 
 
 def provenance(source: Column, source_file: Column, source_row: Column, path: Column, line: Column) -> Column:

@@ -1,18 +1,20 @@
 """Audit of a corpus: field profiles, schema variants, duplicates and likely text fields, in three scopes.
 
 A record is (ord, source, source_file, location, fields), fields a VARIANT object; ord gives first-seen order.
-Scopes are the corpus, each source and each file. Counters are first aggregated by file and then merged for the
-wider scopes, so the corpus is exchanged once and only as counters.
+Scopes are the corpus, each source and each file. run() reads the corpus once into facts: hashes, lengths, flags and the
+beginnings of texts. From these come states by file that merge into those of sources and the corpus: counters, how often
+each hash, key set and type occurs and where first, and the first rejected lines.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.arrow import canonical_json
-from corpusmill.sources import files
+from corpusmill.sources import files, publish
 
 SHORT, LONG = 20, 2000
 SAMPLES = VARIANTS = 10
@@ -148,14 +150,6 @@ def malformed(lines: DataFrame, keys: list[str], limit: int = SAMPLES) -> tuple[
     return counts, first.select(*keys, "source_file", "line", "reason", T.truncate(T.strip(F.col("text")), 120).alias("line_excerpt"))
 
 
-def observed(lines: DataFrame) -> DataFrame:
-    """Canonical lines (of files.canonical) that are kept, as records with their canonical JSON and keys."""
-    kept = lines.where("reason is null")
-    where = T.provenance(F.col("record.source"), F.col("record.source_file"), F.col("record.source_row"), F.col("path"), F.col("line"))
-    json_ = canonical_json(F.get_json_object("text", "$.fields"))
-    return kept.select(F.struct("path", "line").alias("ord"), "source", "source_file", where.alias("location"), "fields", json_.alias("json"))
-
-
 def empty_record(json_: Column) -> Column:
     """Whether a record (canonical JSON) is an object all of whose values are empty, or itself an empty value."""
     values = F.map_values(F.from_json(F.when(json_.startswith("{"), json_), "map<string,variant>"))
@@ -186,66 +180,180 @@ def likely_duplicates(rows: DataFrame, likely: DataFrame, keys: list[str]) -> Da
     return duplicate_groups(text_hashes(rows).join(likely.select(*keys, "field"), [*keys, "field"], "left_semi"), [*keys, "field"])
 
 
-def run(spark: SparkSession, path: str) -> dict:
-    """The audit of canonical files, two levels of folders below path's glob: a summary of the corpus, of each source and of
-    each file. Only counters and the first samples of each scope come to the driver."""
-    lines = files.canonical(spark, path)
-    records, bad = observed(lines), lines.where("reason is not null").withColumn("corpus", F.lit("corpus"))
-    rows = field_rows(records).where("field is not null").withColumn("corpus", F.lit("corpus"))
-    records = records.withColumn("corpus", F.lit("corpus"))
-    scopes = [scope(rows, records, bad, keys) for keys in (["corpus"], ["source"], ["source", "source_file"])]
-    every = lines.select("source", "source_file").distinct().collect()  # one row for each file
-    whole, sources, by_file = ({k: reported(found, k) for k in found["all"]} for found in scopes)
-    for (source,), r in sources.items():
-        r["file_count"] = sum(x["source"] == source for x in every)
-    corpus = whole.get(("corpus",), {})
-    corpus |= {"total_sources": len({x["source"] for x in every}), "total_files": len(every), "per_source_record_counts": {s: r["total_records"] for (s,), r in sorted(sources.items())}}
-    thresholds = {"short_text_threshold": SHORT, "long_text_threshold": LONG, "max_duplicate_samples": SAMPLES, "max_malformed_line_samples": SAMPLES, "max_schema_variants": VARIANTS}
+FILE = ["source", "source_file"]
+SCOPE = ["scope", *FILE]
+HASH = {"n": F.sum, "first": F.min}
+
+
+def facts(lines: DataFrame) -> DataFrame:
+    """Lines (source, source_file, line, text: a file's folder and name) as what the audit takes from them, in one parse:
+    error and excerpt of rejected ones; of records their location, hash and beginning, names of fields, whether they are
+    empty, and by field type, measures, hash and beginning of the text."""
+    rows = files.parsed(lines, entries=True)
+    own, text = F.col("parsed.own"), F.col("text")
+    where = F.coalesce(own, F.concat_ws(":", F.concat_ws("/", *FILE), F.col("line").cast("string")))
+
+    def measure(e: Column) -> Column:
+        t = e["text"]
+        some = F.when(F.length(T.strip(t)) > 0, t)
+        return F.struct(
+            e["field"].alias("field"), e["type"].alias("type"), F.length(t).alias("length"), F.length(T.strip(t)).alias("stripped"), t.rlike(T.ENTITY).alias("entity"),
+            t.rlike(T.ESCAPED_NEWLINE).alias("escaped"), T.suspicious(t).alias("odd"), F.unhex(T.stable_hash(some)).alias("hash"), T.truncate(some).alias("sample"),
+        )
+
+    return rows.select(
+        *FILE, "line", F.col("parsed.error").alias("error"), F.when(F.col("reason").isNotNull(), T.truncate(T.strip(text), 120)).alias("excerpt"), where.alias("location"),
+        F.unhex(T.stable_hash(F.col("fields_json"))).alias("hash"), T.truncate(F.col("fields_json")).alias("sample"), F.col("parsed.names").alias("names"), F.col("parsed.empty").alias("empty"),
+        F.transform("parsed.entries", measure).alias("entries"),
+    )
+
+
+def merged(states: DataFrame, keys: list[str], **how) -> DataFrame:
+    """States by file and keys as states of every scope: scope (0 corpus, 1 source, 2 file), with an empty source and
+    file for the wider ones, keys, and each column merged as told. States that come from one file merge to themselves."""
+    wide = widen(states, keys, [f(c).alias(c) for c, f in how.items()])
+    return wide.withColumns({c: F.coalesce(c, F.lit("")) for c in FILE})
+
+
+def seen_first() -> Column:
+    """The sample and place of the first occurrence of a hash, over facts."""
+    return F.min(F.struct(*FILE, "line", "sample", "location")).alias("first")
+
+
+def repeated(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Hashes by file (n, first) to groups of at least two in a scope. A hash that occurs once in the corpus is no
+    group anywhere, so only the others are merged."""
+    often = states.groupBy(*keys, "hash").agg(F.sum("n").alias("n")).where("n > 1").select(*keys, "hash")
+    return merged(states.join(often, [*keys, "hash"], "left_semi"), [*keys, "hash"], **HASH).where("n > 1")
+
+
+def first_groups(groups: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups and surplus occurrences by scope and keys, and the groups that were seen first."""
+    place = Window.partitionBy(*SCOPE, *keys).orderBy("first")
+    shown = groups.withColumn("place", F.row_number().over(place)).where(F.col("place") <= SAMPLES)
+    shown = shown.select(*SCOPE, *keys, F.col("n").alias("count"), F.col("first.location").alias("first_seen_at"), F.col("first.sample").alias("sample"))
+    return groups.groupBy(*SCOPE, *keys).agg(F.count(F.lit(1)).alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("duplicate_occurrences")), shown
+
+
+def states(seen: DataFrame) -> dict[str, DataFrame]:
+    """Facts as rows by scope: records, rejected, fields, types, variants, raw (duplicate records) and texts (duplicate
+    texts of the fields that are likely to hold the text in that scope), each with what is shown of them."""
+    good, bad = seen.where("error is null"), seen.where("error is not null")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    total = {"total_records": F.sum, "empty_records": F.sum}
+    records = merged(good.groupBy(*FILE).agg(F.count(F.lit(1)).alias("total_records"), count(F.col("empty")).alias("empty_records")), [], **total)
+    entries = good.select(*FILE, "line", "location", F.explode("entries").alias("e")).select(*FILE, "line", "location", "e.*")
+    measures = entries.select(*FILE, "field", "type", "length", "stripped", "entity", "escaped", "odd")
+    fields = merged(measures.groupBy(*FILE, "field").agg(*sums(measures)), ["field"], **{c: F.sum for c in COUNTERS}, min_string_length=F.min, max_string_length=F.max)
+    types = merged(measures.groupBy(*FILE, "field", "type").agg(F.count(F.lit(1)).alias("n")), ["field", "type"], n=F.sum)
+    fields = publish.kept(fields, "audit-fields")
+    # Which fields may hold the text is known from the counters of their scope.
+    records = publish.kept(records, "audit-records")
+    coverage, average = F.col("non_empty_string_count") / F.col("total_records"), F.col("total_string_length") / F.col("string_count")
+    likely = fields.join(records, SCOPE).where((F.col("non_empty_string_count") > 0) & (coverage >= MIN_COVERAGE) & (average >= SHORT)).select(*SCOPE, "field")
+    by_hash = lambda rows, *keys: rows.where("hash is not null").groupBy(*FILE, *keys, "hash").agg(F.count(F.lit(1)).alias("n"), seen_first())
+    raw, raw_shown = first_groups(repeated(by_hash(good), []), [])
+    probable = publish.small_side(likely.select("field").distinct(), 100_000)
+    texts = repeated(by_hash(entries.join(probable, "field", "left_semi"), "field"), ["field"]).join(likely, [*SCOPE, "field"], "left_semi")
+    texts, texts_shown = first_groups(texts, ["field"])
+    variants = good.groupBy(*FILE, "names").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*FILE, "line")).alias("first"))
+    variants = merged(variants, ["names"], **HASH)
+    dominant = variants.withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("n"), "first"))).where(F.col("place") <= VARIANTS)
+    # The first rejected lines of a scope are among the first ones of its files.
+    head = Window.partitionBy(*FILE).orderBy("line")
+    lines = bad.select(*FILE, "line", "error", "excerpt").withColumn("place", F.row_number().over(head)).where(F.col("place") <= SAMPLES)
     return {
-        "report_version": 2, "thresholds": thresholds, "corpus_summary": corpus, "source_summaries": {s: r for (s,), r in sorted(sources.items())},
-        "file_summaries": {f"{s}/{f}": {**r, "source_name": s} for (s, f), r in sorted(by_file.items())},
+        "records": records, "rejected": merged(bad.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n")), [], n=F.sum), "rejected_shown": first_lines(lines), "fields": fields, "types": types,
+        "raw": raw, "raw_shown": raw_shown, "texts": texts, "texts_shown": texts_shown, "variants": variants.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")), "variants_shown": dominant,
+    }
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first rejected lines of files as those of every scope."""
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), (F.col("source") if k > 0 else F.lit("")).alias("of_source"), (F.col("source_file") if k > 1 else F.lit("")).alias("of_file")) for k in range(3)])
+    each = lines.select(*FILE, "line", "error", "excerpt", F.explode(scopes).alias("s"))
+    place = Window.partitionBy("s").orderBy(*FILE, "line")
+    shown = each.withColumn("place", F.row_number().over(place)).where(F.col("place") <= SAMPLES)
+    return shown.select("s.scope", F.col("s.of_source").alias("source"), F.col("s.of_file").alias("source_file"), "place", F.concat_ws("/", *FILE).alias("file"), F.col("line").alias("line_number"), "error", F.col("excerpt").alias("line_excerpt"))
+
+
+def sums(rows: DataFrame) -> list[Column]:
+    """counters() over facts, whose texts are measured already."""
+    type_, count = F.col("type"), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    of = {
+        "present_count": F.count(F.lit(1)), "null_count": count(type_ == "NoneType"), "non_string_count": count(~type_.isin("NoneType", "str")), "string_count": count(type_ == "str"),
+        "non_empty_string_count": count(F.col("stripped") > 0), "total_string_length": F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)),
+        "short_text_count": count((F.col("stripped") > 0) & (F.col("stripped") <= SHORT)), "long_text_count": count(F.col("length") >= LONG), "html_entity_count": count(F.col("entity")),
+        "escaped_newline_count": count(F.col("escaped")), "suspicious_control_character_count": count(F.col("odd") > 0), "suspicious_control_character_instances": F.coalesce(F.sum(F.col("odd").cast("long")), F.lit(0)),
+        "min_string_length": F.min("length").cast("long"), "max_string_length": F.max("length").cast("long"),
     }
+    return [c.alias(name) for name, c in of.items()]
 
 
-def scope(rows: DataFrame, records: DataFrame, bad: DataFrame, keys: list[str]) -> dict:
-    """What each group of a scope is reported by, as rows by key."""
-    at = lambda r: tuple(r[k] for k in keys)
-
-    def by(df: DataFrame) -> dict:
-        found: dict[tuple, list] = {}
-        for r in df.collect():
-            found.setdefault(at(r), []).append({k: v for k, v in r.asDict(True).items() if k not in keys})
-        return found
-
-    totals = record_counters(records, keys).persist()
-    profiled = measured(rows).groupBy(*keys, "field").agg(*counters()).persist()
-    likely = likely_fields(profiled, totals, keys)
-    names = records.select(*keys, "ord", F.array_sort(F.json_object_keys("json")).alias("names"))
-    raw, texts = duplicate_groups(record_hashes(records), keys), likely_duplicates(rows, likely, keys)
-    counts, samples = malformed(bad, keys)
-    found = {
-        "totals": by(totals), "fields": by(report(profiled, totals, keys)), "types": by(type_histogram(rows, keys)), "likely": by(likely), "malformed": by(counts), "malformed_samples": by(samples),
-        "variants": by(schema_variants(names, keys)), "variant_count": by(names.groupBy(*keys).agg(F.count_distinct("names").alias("n"))), "raw": by(duplicate_summary(raw, keys)), "raw_samples": by(duplicate_samples(raw, keys)),
-        "texts": by(duplicate_summary(texts, [*keys, "field"])), "text_samples": by(duplicate_samples(texts, [*keys, "field"])),
+def run(spark: SparkSession, path: str) -> dict:
+    """The audit of canonical files (a glob whose files are each in their source's folder): a summary of the corpus, of each
+    source and of each file, files without a line among them.
+
+    The corpus is read twice: lines are counted, then parsed once into facts, from which all else comes. Only counters
+    and the first samples of each scope come to the driver.
+    """
+    seen = publish.kept(facts(files.lines(spark, path)), "audit-facts")
+    found = {name: by_scope(df) for name, df in states(seen).items()}
+    listed = sorted((r["source"], r["source_file"]) for r in files.listing(spark, path).select(*FILE).collect())
+    names = sorted({s for s, _ in listed})
+    per_file = {f"{s}/{f}": reported(found, (2, s, f)) | {"source_name": s} for s, f in listed}
+    per_source = {s: reported(found, (1, s, "")) | {"file_count": sum(x == s for x, _ in listed)} for s in names}
+    corpus = reported(found, (0, "", "")) | {"total_sources": len(names), "total_files": len(listed), "per_source_record_counts": {s: r["total_records"] for s, r in per_source.items()}}
+    return {
+        "generated_at": datetime.now(UTC).isoformat(), "canonical_root": path, "report_version": 2,
+        "analysis_constraints": {"raw_data_modified": False, "canonical_data_modified": False, "normalized_artifacts_created": False},
+        "thresholds": {"short_text_threshold": SHORT, "long_text_threshold": LONG, "max_duplicate_samples": SAMPLES, "max_malformed_line_samples": SAMPLES, "max_schema_variants": VARIANTS},
+        "corpus_summary": corpus, "source_summaries": per_source, "file_summaries": per_file,
     }
-    totals.unpersist(), profiled.unpersist()
-    return found | {"all": sorted({*found["totals"], *found["malformed"]})}
+
+
+def by_scope(df: DataFrame) -> dict[tuple, list[dict]]:
+    """Rows of a state by scope, source and file."""
+    found: dict[tuple, list] = {}
+    for r in df.toLocalIterator():
+        row = r.asDict(True)
+        found.setdefault(tuple(row.pop(k) for k in SCOPE), []).append(row)
+    return found
+
+
+def candidates(fields: list[dict], total: int) -> list[dict]:
+    """The fields of a scope that may hold the text, with their scores, best first."""
+    kept = []
+    for f in fields:
+        coverage, average = f["non_empty_string_count"] / total, f["total_string_length"] / (f["string_count"] or 1)
+        if f["non_empty_string_count"] and coverage >= MIN_COVERAGE and average >= SHORT:
+            score = coverage * 0.65 + min(average / 500, 1.0) * 0.35
+            kept.append({"field_name": f["field"], "coverage_ratio": round(coverage, 4), "non_empty_string_count": f["non_empty_string_count"], "average_string_length": round(average, 2), "candidate_score": round(score, 4)})
+    return sorted(kept, key=lambda c: (c["candidate_score"], c["average_string_length"], c["non_empty_string_count"], c["field_name"]), reverse=True)
 
 
 def reported(found: dict, key: tuple) -> dict:
-    """One group's part of the report."""
+    """One scope's part of the report."""
     of = lambda name: found[name].get(key, [])
     one = lambda name, default: (of(name) or [default])[0]
     none = {"duplicate_groups": 0, "duplicate_occurrences": 0}
-    samples = lambda rows: [{"count": r["n"], "sample_text": r["sample"], "first_seen_at": r["first_seen_at"]} for r in sorted(rows, key=lambda r: (r["n"], r["first_seen_at"]), reverse=True)]
-    by_field = {t["field"]: {k: t[k] for k in none} | {"samples": samples([s for s in of("text_samples") if s["field"] == t["field"]])} for t in of("texts")}
-    variants = [{"fields": v["names"], "count": v["n"]} for v in sorted(of("variants"), key=lambda v: v["place"])]
-    types = {f: {t["type"]: t["n"] for t in of("types") if t["field"] == f} for f in sorted({t["field"] for t in of("types")})}
+    shown = lambda rows: [{k: r[k] for k in ("count", "first_seen_at", "sample")} for r in sorted(rows, key=lambda r: (r["count"], r["first_seen_at"]), reverse=True)]
+    totals = one("records", {"total_records": 0, "empty_records": 0})
+    total, fields = totals["total_records"], sorted(of("fields"), key=lambda f: f["field"])
+    likely, texts = candidates(fields, total), {t["field"]: t for t in of("texts")}
+    by_field = {c["field_name"]: {k: texts[c["field_name"]][k] for k in none} | {"samples": shown([s for s in of("texts_shown") if s["field"] == c["field_name"]])} for c in likely if c["field_name"] in texts}
+    variants = [{"fields": v["names"], "count": v["n"]} for v in sorted(of("variants_shown"), key=lambda v: v["place"])]
+    types: dict[str, dict] = {}
+    for t in sorted(of("types"), key=lambda t: t["type"]):
+        types.setdefault(t["field"], {})[t["type"]] = t["n"]
+    lines = [{k: r[k] for k in ("file", "line_number", "error", "line_excerpt")} for r in sorted(of("rejected_shown"), key=lambda r: r["place"])]
+    more = lambda f: {
+        "missing_count": max(total - f["present_count"], 0), "non_empty_string_ratio": round(f["non_empty_string_count"] / total, 4),
+        "average_string_length": round(f["total_string_length"] / f["string_count"], 2) if f["string_count"] else 0.0, "value_type_counts": types[f["field"]],
+    }
     return {
-        **one("totals", {"total_records": 0, "empty_records": 0, "non_object_records": 0}),
-        "malformed_jsonl_lines": sum(r["n"] for r in of("malformed")), "malformed_line_samples": sorted(of("malformed_samples"), key=lambda r: (r["source_file"] if "source_file" in r else "", r["line"])) if of("malformed_samples") else [],
-        "likely_prompt_bearing_fields": of("likely"), "duplicate_raw_records": one("raw", none) | {"samples": samples(of("raw_samples"))},
-        "duplicate_likely_prompt_text": {k: sum(f[k] for f in by_field.values()) for k in none} | {"by_field": by_field},
-        "schema_variation": {"variant_count": one("variant_count", {"n": 0})["n"], "dominant_fields": variants[0]["fields"] if variants else [], "dominant_count": variants[0]["count"] if variants else 0, "variants": variants},
-        "fields": {r["field"]: {k: v for k, v in r.items() if k != "field"} | {"value_types": types.get(r["field"], {})} for r in sorted(of("fields"), key=lambda r: r["field"])},
+        **totals, "non_object_records": 0, "malformed_jsonl_lines": one("rejected", {"n": 0})["n"], "malformed_line_samples": lines, "likely_prompt_bearing_fields": likely,
+        "duplicate_raw_records": one("raw", none) | {"samples": shown(of("raw_shown"))}, "duplicate_likely_prompt_text": {k: sum(f[k] for f in by_field.values()) for k in none} | {"by_field": by_field},
+        "schema_variation": {"variant_count": one("variants", {"n": 0})["n"], "dominant_fields": variants[0]["fields"] if variants else [], "dominant_count": variants[0]["count"] if variants else 0, "variants": variants},
+        "fields": {f["field"]: {k: v for k, v in f.items() if k != "field"} | more(f) for f in fields},
     }

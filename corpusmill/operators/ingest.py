@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import normalize, retrieval
 from corpusmill.sources import publish, registry
+from corpusmill.sources.index import Index
 
 PREFIX, MOST_TOKENS = 1000, 8000
 METADATA, SUMMARY = "fetch_metadata.json", "fetch_run_summary.json"
@@ -134,8 +135,10 @@ def ingest(records: DataFrame, checkpoint: str, index: str, provider=None, embed
     publish.append_checkpoint(classify(normalize.resume(records, done), provider).select("prompt_id", "source", "text", "technique"), checkpoint)
     everything = publish.checkpoint(spark, checkpoint, schema)
     kept = within_limit(everything)
-    publish.upsert_index(points(kept, embedder).dropDuplicates(["id"]), index)
-    retrieval.Postings.build(spark.read.parquet(index).select("id", "text"), f"{index}-postings")
+    whole = Index(spark, index)
+    whole.upsert(points(kept, embedder))
+    if (stored := whole.points()) is not None:
+        retrieval.Postings.build(stored.select("id", "text"), f"{index}-postings")
     counts = {"records": everything.count(), "kept": kept.count()}
     publish.remove(spark, checkpoint)
     return counts | {"skipped": counts["records"] - counts["kept"]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators.audit import python_type
 from corpusmill.sources import files, publish
 
+logger = logging.getLogger(__name__)
 REASONS = ["blank", "malformed", "invalid_canonical", "non_string", "empty_text"]
 
 
@@ -41,7 +44,10 @@ def classify(records: DataFrame, mapping: DataFrame) -> DataFrame:
 def normalized(classified: DataFrame) -> DataFrame:
     """The kept records as prompt_id, source, source_file, source_row, text, raw_fields."""
     kept = classified.where("reason is null")
-    ids = T.prompt_id(F.col("source"), F.col("source_file"), F.col("source_row"), F.col("fields_json"))
+    if "source_json" in kept.columns:
+        ids = T.prompt_id_of(F.col("source"), F.col("source_json"), F.col("source_file_json"), F.col("source_row"), F.col("fields_json"))
+    else:
+        ids = T.prompt_id(F.col("source"), F.col("source_file"), F.col("source_row"), F.col("fields_json"))
     return kept.select(ids.alias("prompt_id"), "source", "source_file", "source_row", "text", F.col("fields").alias("raw_fields"))
 
 
@@ -52,15 +58,44 @@ def accounting(classified: DataFrame) -> DataFrame:
     return classified.groupingSets([[], keys], *keys).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reason").isNull()).alias("kept"), *counts)
 
 
-def run(spark: SparkSession, path: str, output: str, mapping: DataFrame) -> DataFrame:
-    """Canonical files to normalized JSON lines at output, which are replaced as one. Returns the accounting by path of
-    file (null for all): lines = kept + all skipped, always. Files must be mapped; warnings are up to mapping_warnings."""
-    lines = files.canonical(spark, path)
-    records = lines.select("record.source", "record.source_file", "record.source_row", "fields", F.get_json_object("text", "$.fields").alias("fields_json"), "reason", "path")
-    classified = classify(records, mapping)
+def records_of(lines: DataFrame, *keep: str) -> DataFrame:
+    """Parsed lines (of files.parsed) as what classify() takes, with what ids are made of."""
+    keys = ("source", "source_file", "source_row")
+    return lines.select(*[F.col("record")[c].alias(c) for c in keys], "fields", "fields_json", "reason", "parsed.source_json", "parsed.source_file_json", *keep)
+
+
+def run(spark: SparkSession, path: str, output: str, mapping: DataFrame, audit: dict | None = None) -> DataFrame:
+    """Canonical files to normalized JSON lines at output, which are replaced as one. Returns the accounting of each file
+    (key: source and name, by folder; null for all, with the number of files): lines = kept + all skipped, always.
+
+    Files of the mapping are checked against an audit's report, if given: what it lacks is logged. A record whose file
+    is not mapped fails the run; a file without lines has zeros.
+    """
+    own = files.canonical(spark, path).withColumnsRenamed({"source": "folder", "source_file": "file"})
+    classified = classify(records_of(own, "folder", "file"), mapping)
     publish.jsonl(normalized(classified), output)
-    by_path = classified.select(F.lit("").alias("source"), F.col("path").alias("source_file"), "reason")
-    return accounting(by_path).select(F.col("source_file").alias("path"), "lines", "kept", *[f"skipped_{r}" for r in REASONS])
+    by_file = classified.select(F.col("folder").alias("source"), F.col("file").alias("source_file"), "source_file", "reason").toDF("source", "source_file", "named", "reason")
+    counted = accounting(by_file)
+    names = ["lines", "kept", *[f"skipped_{r}" for r in REASONS]]
+    listed = files.listing(spark, path).select("source", "source_file")
+    each = listed.join(counted.where("source is not null"), ["source", "source_file"], "left").na.fill(0, names)
+    key = F.concat_ws("/", "source", "source_file").alias("key")
+    whole = each.agg(F.lit(None).cast("string").alias("key"), F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    if audit:
+        pairs = by_file.where("named is not null").select("source", "source_file", "named").distinct()
+        for r in warned(spark, mapping.join(pairs.select("source", F.col("source_file").alias("file"), F.col("named").alias("source_file")), ["source", "source_file"]), audit).collect():
+            logger.warning("%s/%s: %s (%s)", r["source"], r["source_file"], r["warning"], r["field"])
+    return each.select(key, F.lit(1).cast("long").alias("files"), *names).unionByName(whole)
+
+
+def warned(spark: SparkSession, mapped: DataFrame, audit: dict) -> DataFrame:
+    """mapping_warnings() of canonical files (source, file, field) by an audit's report."""
+    of = [(*key.split("/", 1), r) for key, r in audit["file_summaries"].items()]
+    keys = "source string, source_file string"
+    listed = spark.createDataFrame([(s, f) for s, f, _ in of], keys)
+    fields = spark.createDataFrame([(s, f, name) for s, f, r in of for name in r["fields"]], f"{keys}, field string")
+    likely = spark.createDataFrame([(s, f, c["field_name"]) for s, f, r in of for c in r["likely_prompt_bearing_fields"]], f"{keys}, field string")
+    return mapping_warnings(mapped.select("source", F.col("file").alias("source_file"), "field"), listed, fields, likely)
 
 
 def mapping_warnings(mapping: DataFrame, files: DataFrame, fields: DataFrame, likely: DataFrame) -> DataFrame:

@@ -1,22 +1,18 @@
 """Reading raw, canonical and normalized files with the numbers of their lines.
 
-Files of lines are read in splits, whose lines are counted and summed up before each. A CSV record may hold line breaks,
-so a CSV file is one task's row; many files are many tasks.
+Files are read in splits, whose lines are counted and summed up before each.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrow
+from corpusmill.sources import csv_splits, publish
 
+#: Splits whose line counts every task may hold (some 60 bytes each).
+MOST_SPLITS = 1_000_000
 CANONICAL = "source string, source_file string, source_row long, fields_json string"
 
 
@@ -24,10 +20,17 @@ class DataError(ValueError):
     """A file that breaks the rules of its format; the message names file and line."""
 
 
-def paths(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a glob: path, source, source_file and length; none of them is read. The driver lists them, as Spark's own
+    sources do, which leave out files without a byte."""
+    fs, place = publish.place(spark, path)
+    found = [(s.getPath().toString(), s.getLen()) for s in fs.globStatus(place) or [] if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    return with_origin(spark.createDataFrame(found, "path string, length long"))
+
+
+def paths(spark: SparkSession, root: str) -> DataFrame:
     """Files two levels below root with source and source_file, in path order; metadata.json files are left out."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/*/*").select("path", "length")
-    return with_origin(found).where("source_file NOT IN ('metadata.json', 'fetch_metadata.json', 'fetch_run_summary.json')").orderBy("source", "source_file")
+    return listing(spark, f"{root}/*/*").where("source_file NOT IN ('metadata.json', 'fetch_metadata.json', 'fetch_run_summary.json')").orderBy("source", "source_file")
 
 
 def with_origin(df: DataFrame) -> DataFrame:
@@ -35,21 +38,36 @@ def with_origin(df: DataFrame) -> DataFrame:
     return df.withColumn("source", F.element_at(parts, -2)).withColumn("source_file", F.element_at(parts, -1))
 
 
+def splits_of(rows: DataFrame, *sums: Column) -> DataFrame:
+    """The splits of lines (path, block, place) with the first place and the number of lines, and more sums."""
+    return rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *sums)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines of text files: path, source, source_file, line (from 1) and text.
 
     A task numbers the rows of its splits without a gap, so a line's number is its place after the first one of its split,
-    plus the lines of the file's splits before. Those are a row for each split; texts are not exchanged.
+    plus the lines of the file's splits before. Counting them is a first pass, which reads lines and keeps a row for each
+    split; these go to all tasks (beyond MOST_SPLITS, the join is a shuffled one), so no text is exchanged.
     """
-    place, block = F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("block")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), block, place, F.col("value").alias("text"))
-    splits = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = raw_lines(spark, path)
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
-    numbered = rows.join(splits, ["path", "block"]).withColumn("line", F.col("place") + F.col("shift"))
+    shifts = splits_of(rows).select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    shifts = publish.kept(shifts, "line-splits")
+    numbered = rows.join(publish.small_side(shifts, MOST_SPLITS), ["path", "block"]).withColumn("line", F.col("place") + F.col("shift"))
     return with_origin(numbered).select("path", "source", "source_file", "line", "text")
 
 
+def raw_lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """Lines with the file and split that they are in, and a number that rises by one from line to line of a task."""
+    place, block = F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("block")
+    reader = spark.read.option("lineSep", end) if end else spark.read
+    # Spark tells paths as URIs.
+    file = F.col("_metadata.file_path")
+    file = F.when(F.contains(file, F.lit("%")), F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))).otherwise(file)
+    return reader.text(path).select(file.alias("path"), block, place, F.col("value").alias("text"))
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSONL files as canonical records. Blank lines count but give no record; a malformed line fails the read."""
     rows = lines(spark, path).where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
@@ -64,23 +82,10 @@ def wrapped(value: Column) -> Column:
     return F.when(value.startswith("{"), value).otherwise(F.concat(F.lit('{"_value":'), value, F.lit("}")))
 
 
-def _csv_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for source, name, content in zip(batch["source"].to_pylist(), batch["source_file"].to_pylist(), batch["content"].to_pylist(), strict=True):
-            reader = csv.DictReader(io.StringIO(content.decode("utf-8-sig"), newline=""))
-            numbers, records = [], []
-            for row in reader:
-                if None in row:
-                    raise DataError(f"{source}/{name} line {reader.line_num}: more cells than the header has")
-                numbers.append(reader.line_num)
-                records.append(json.dumps(row, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([pa.array([source] * len(numbers), pa.string()), pa.array([name] * len(numbers), pa.string()), pa.array(numbers, pa.int64()), pa.array(records, pa.string())], ["source", "source_file", "source_row", "fields_json"])
-
-
 def csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files as canonical records of strings; source_row is the last physical line of a record."""
-    files = with_origin(spark.read.format("binaryFile").load(path))
-    return files.select("source", "source_file", "content").mapInArrow(_csv_records, CANONICAL)
+    """CSV files as canonical records of strings; source_row is the last physical line of a record. Files are read in
+    splits, whatever line breaks are inside quotes; absent cells are null, and too many fail the read."""
+    return with_origin(csv_splits.read(spark, path)).select("source", "source_file", "source_row", "fields_json")
 
 
 def csv_row_count(spark: SparkSession, path: str) -> DataFrame:
@@ -101,15 +106,20 @@ def canonical_name(raw_name: Column) -> Column:
 
 def convert(spark: SparkSession, root: str) -> DataFrame:
     """All raw files below root as canonical records."""
-    names = [r["source_file"].lower() for r in paths(spark, root).select("source_file").distinct().collect()]
-    if odd := [n for n in names if not n.endswith((".jsonl", ".csv"))]:
+    names = [r[0] for r in paths(spark, root).select(F.lower(F.element_at(F.split("source_file", r"\."), -1))).distinct().collect()]
+    if odd := [n for n in names if n not in READERS]:
         raise DataError(f"unsupported suffix: {odd[0]}")
-    parts = [read(spark, f"{root}/*/*.{suffix}") for suffix, read in (("jsonl", jsonl), ("csv", csv_files)) if any(n.endswith(suffix) for n in names)]
+    parts = [READERS[n](spark, f"{root}/*/*.{suffix_glob(n)}") for n in ("jsonl", "csv") if n in names]
     if not parts:
         return spark.createDataFrame([], CANONICAL)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def suffix_glob(suffix: str) -> str:
+    """A suffix in either case."""
+    return "".join(f"[{c}{c.upper()}]" for c in suffix)
+
+
 def of_type(value: Column, name: str, prefixes: tuple[str, ...], kind: str) -> Column:
     """A field of a parsed object if it has one of these types, else null."""
     field = F.try_variant_get(value, F.lit(f"$.{name}"), "variant")
@@ -119,19 +129,22 @@ def of_type(value: Column, name: str, prefixes: tuple[str, ...], kind: str) -> C
     return F.when(is_, F.try_variant_get(value, F.lit(f"$.{name}"), kind))
 
 
-def parsed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with the reason for which their line is no canonical record (null if it is one), record (source, source_file,
-    source_row, each null if it is missing or of another type) and fields."""
-    rows = rows.withColumn("reason", arrow.canonical_status(text)).withColumn("value_", F.when(F.col("reason").isNull(), F.try_parse_json(text)))
-    v = F.col("value_")
-    # As in Python, true and false are whole numbers.
-    keys = F.struct(of_type(v, "source", ("STRING",), "string").alias("source"), of_type(v, "source_file", ("STRING",), "string").alias("source_file"), of_type(v, "source_row", ("BIGINT", "BOOLEAN"), "bigint").alias("source_row"))
-    return rows.withColumn("record", F.when(F.col("reason").isNull(), keys)).withColumn("fields", F.try_variant_get(v, F.lit("$.fields"), "variant")).drop("value_")
+def parsed(rows: DataFrame, text: str = "text", entries: bool = False) -> DataFrame:
+    """rows with what one parse of their line gives: the reason for which it is no canonical record (null if it is one)
+    and an error's message, record (source, source_file, source_row, each null if it is missing or of another type), its
+    fields as a variant and as canonical JSON, and `line` of all that (with its entries, if asked)."""
+    one = arrow.canonical_entries if entries else arrow.canonical_line
+    rows = rows.withColumn("parsed", one(text))
+    keys = F.struct("parsed.source", "parsed.source_file", "parsed.source_row")
+    return rows.withColumns({"reason": F.col("parsed.reason"), "record": F.when(F.col("parsed.reason").isNull(), keys), "fields_json": F.col("parsed.fields_json"), "fields": F.try_parse_json("parsed.fields_json")})
 
 
-def conversion_totals(converted: DataFrame) -> DataFrame:
-    """Records by source and file, and (both null) over all with the number of files."""
+def conversion_totals(converted: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Records by source and file, and (both null) over all with the number of files: of those listed, if given, which
+    may have no records."""
     by_file = converted.groupBy("source", "source_file").agg(F.count(F.lit(1)).alias("record_count"))
+    if listed:
+        by_file = listed.select("source", "source_file").join(by_file, ["source", "source_file"], "left").na.fill(0, ["record_count"])
     totals = by_file.agg(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("source_file"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.count(F.lit(1)).alias("file_count"))
     return by_file.withColumn("file_count", F.lit(1).cast("long")).unionByName(totals)
 

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.operators import normalize
-from corpusmill.sources import files, publish
-
-
-#: Folders of the output, by hash of the id.
-PARTS = 64
+from corpusmill.sources import files
+from corpusmill.sources.index import Index
 
 
 def canonical_lines(lines: DataFrame) -> DataFrame:
     """Lines (value) as canonical records with the reason of their rejection."""
-    return files.parsed(lines, "value").select("record.source", "record.source_file", "record.source_row", "reason", "fields", F.get_json_object("value", "$.fields").alias("fields_json"))
+    return normalize.records_of(files.parsed(lines, "value"))
 
 
 def start(spark: SparkSession, arrivals: str, output: str, checkpoint: str, mapping: list[tuple[str, str, str]]) -> StreamingQuery:
-    """Every new file below arrivals is normalized and added to output; a prompt_id that is there already is not added.
+    """Every new file below arrivals is normalized and added to the index at output, with prompt_id as id; one that is there
+    already is not added. Of what is there, a batch of new ids reads filters only.
 
     A batch that is tried again finds its own rows in the output, so nothing is written twice.
     """
@@ -28,14 +26,7 @@ def start(spark: SparkSession, arrivals: str, output: str, checkpoint: str, mapp
     def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         kept = normalize.normalized(normalize.classify(canonical_lines(batch), session.createDataFrame(mapping, "source string, source_file string, field string")))
-        kept = kept.withColumn("raw_fields", F.to_json("raw_fields")).dropDuplicates(["prompt_id"])
-        kept = kept.withColumn("part", F.pmod(F.xxhash64("prompt_id"), F.lit(PARTS)).cast("int"))
-        if publish.exists(session, output):
-            # Only ids are read, and only from folders that the batch's ids fall into.
-            touched = [r["part"] for r in kept.select("part").distinct().collect()]  # at most PARTS numbers
-            seen = session.read.parquet(output).where(F.col("part").isin(touched)).select("part", "prompt_id")
-            kept = kept.join(seen, ["part", "prompt_id"], "left_anti")
-        kept.write.mode("append").partitionBy("part").parquet(output)
+        Index(session, output).append(kept.select(F.col("prompt_id").alias("id"), "source", "source_file", "source_row", "text", F.to_json("raw_fields").alias("raw_fields")))
 
     lines = spark.readStream.format("text").schema("value string").option("recursiveFileLookup", True).load(arrivals)
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -58,11 +58,12 @@ def corpus(tmp_path):
 
 def test_convert_publish_audit_and_normalize(spark, tmp_path):
     raw, mapping = corpus(tmp_path)
-    converted = files.convert(spark, raw).withColumn("source_file", files.canonical_name(F.col("source_file")))
+    converted = files.convert(spark, raw)
     assert converted.count() == 7
     publish.canonical(converted, f"{tmp_path}/canonical")
-    lines = [json.loads(x) for p in sorted((tmp_path / "canonical").rglob("*.txt")) for x in p.read_text().splitlines()]
-    assert sorted((x["source"], x["source_file"], x["source_row"]) for x in lines) == [("one", "a.jsonl", k) for k in (1, 2, 3, 4, 5)] + [("two", "b.jsonl", k) for k in (2, 3)]
+    lines = {p.relative_to(tmp_path / "canonical").as_posix(): [json.loads(x) for x in p.read_text().splitlines()] for p in (tmp_path / "canonical").rglob("*.jsonl")}
+    assert {k: [(x["source"], x["source_file"], x["source_row"]) for x in v] for k, v in lines.items()} == {"one/a.jsonl": [("one", "a.jsonl", k) for k in (1, 2, 3, 4, 5)], "two/b.jsonl": [("two", "b.csv", k) for k in (2, 3)]}
+    converted = converted.withColumn("source_file", files.canonical_name(F.col("source_file")))
 
     records = converted.select("source", "source_file", "source_row", "fields_json", F.try_parse_json("fields_json").alias("fields"), F.lit(None).cast("string").alias("reason"))
     assert normalize.unmapped(records, registry.field_mapping(spark, mapping[:1])).collect()[0]["source"] == "two"
@@ -183,11 +184,13 @@ LINES = [
 
 def test_normalize_counts_every_line_once(spark, tmp_path):
     put(tmp_path, "c/s/f.jsonl", "\n".join([*map(json.dumps, LINES), "", "{bad"]))
-    got = {r.path and r.path.rsplit("/", 1)[1]: r.asDict() for r in normalize.run(spark, f"{tmp_path}/c/*/*.jsonl", f"{tmp_path}/out", registry.field_mapping(spark, [("s", "f", "t")])).collect()}
-    for name in ("f.jsonl", None):
+    put(tmp_path, "c/s/none.jsonl", "")
+    got = {r.key: r.asDict() for r in normalize.run(spark, f"{tmp_path}/c/*/*.jsonl", f"{tmp_path}/out", registry.field_mapping(spark, [("s", "f", "t")])).collect()}
+    for name, n in (("s/f.jsonl", 1), (None, 2)):
         r = got[name]
-        assert (r["lines"], r["kept"]) == (11, 2) and r["lines"] == r["kept"] + sum(v for k, v in r.items() if k.startswith("skipped_"))
+        assert (r["lines"], r["kept"], r["files"]) == (11, 2, n) and r["lines"] == r["kept"] + sum(v for k, v in r.items() if k.startswith("skipped_"))
         assert [r[f"skipped_{k}"] for k in normalize.REASONS] == [1, 1, 5, 1, 1]
+    assert set(got) == {"s/f.jsonl", "s/none.jsonl", None} and got["s/none.jsonl"]["lines"] == 0
     kept = files.normalized(spark, f"{tmp_path}/out/*.json").collect()
     assert [r.text for r in kept] == [LINES[0]["fields"]["t"]] * 2 and len({r.prompt_id for r in kept}) == 2
 
@@ -210,14 +213,16 @@ def test_audit_report_equals_one_made_by_hand(spark, tmp_path):
     assert (whole["total_sources"], whole["total_files"], whole["per_source_record_counts"]) == (2, 2, {"s": 7, "u": 1})
     assert (whole["total_records"], whole["empty_records"], whole["non_object_records"], whole["malformed_jsonl_lines"]) == (8, 3, 0, 4)
     assert (one["total_records"], one["empty_records"], one["source_name"]) == (7, 2, "s") and report["source_summaries"]["s"]["file_count"] == 1
-    assert [m["reason"] for m in one["malformed_line_samples"]] == ["not_object", "fields_not_object", "blank", "malformed"]
+    assert [(m["file"], m["line_number"], m["error"]) for m in one["malformed_line_samples"]] == [
+        ("s/f.jsonl", 8, "Canonical record is not a JSON object"), ("s/f.jsonl", 9, "Canonical record fields payload is not a JSON object"), ("s/f.jsonl", 10, "Blank line"), ("s/f.jsonl", 11, "Expecting property name enclosed in double quotes")]
     raw = one["duplicate_raw_records"]
-    assert (raw["duplicate_groups"], raw["duplicate_occurrences"]) == (2, 2) and {s["sample_text"] for s in raw["samples"]} == {json.dumps(LINES[0]["fields"], sort_keys=True, separators=(",", ":")), '{"t":"x"}'}
-    assert [c["field"] for c in one["likely_prompt_bearing_fields"]] == ["t"]
+    assert (raw["duplicate_groups"], raw["duplicate_occurrences"]) == (2, 2) and [(s["count"], s["first_seen_at"], s["sample"]) for s in raw["samples"]] == [
+        (2, "s/f:1", json.dumps(LINES[0]["fields"], sort_keys=True, separators=(",", ":"))), (2, "5/f:3", '{"t":"x"}')]
+    assert [c["field_name"] for c in one["likely_prompt_bearing_fields"]] == ["t"]
     text = one["duplicate_likely_prompt_text"]
     assert (text["duplicate_groups"], text["duplicate_occurrences"], list(text["by_field"])) == (2, 2, ["t"])
     assert one["schema_variation"]["variant_count"] == 3 and one["schema_variation"]["dominant_fields"] == ["t"] and one["schema_variation"]["dominant_count"] == 4
-    assert one["fields"]["t"]["value_types"] == {"str": 5, "int": 1} and one["fields"]["n"]["present_count"] == 2
+    assert one["fields"]["t"]["value_type_counts"] == {"int": 1, "str": 5} and one["fields"]["n"]["present_count"] == 2 and one["fields"]["n"]["missing_count"] == 5
     publish.report(spark, f"{tmp_path}/audit.json", report)
     assert json.loads((tmp_path / "audit.json").read_text())["corpus_summary"]["total_records"] == 8
 

@@ -8,6 +8,7 @@ from corpusmill.operators import ingest, retrieval, sampling, taxonomy
 from corpusmill.plans.common import corpus
 from corpusmill.serve import Service
 from corpusmill.sources import files
+from corpusmill.sources.index import Index
 from corpusmill.streaming import incremental
 
 
@@ -79,7 +80,7 @@ def test_ingest_resumes_and_serves(spark, tmp_path):
     counts = ingest.ingest(rows, f"{tmp_path}/ck", f"{tmp_path}/index")
     assert counts == {"records": 4, "kept": 3, "skipped": 1}
     ingest.ingest(rows, f"{tmp_path}/ck", f"{tmp_path}/index")
-    index = spark.read.parquet(f"{tmp_path}/index")
+    index = Index(spark, f"{tmp_path}/index").points()
     assert index.count() == 3
 
     service = Service(index, retrieval.Postings(f"{tmp_path}/index-postings"))
@@ -114,7 +115,7 @@ def test_stream_normalizes_each_record_once(spark, tmp_path):
     for batch in (["bad", line(1), line(2)], [line(2), line(3)]):
         (tmp_path / "in" / f"{len(list((tmp_path / 'in').iterdir()))}.jsonl").write_text("\n".join(batch))
         incremental.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck", [("s", "f.jsonl", "t")]).awaitTermination()
-    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["x1 & y", "x2 & y", "x3 & y"]
+    assert sorted(r.text for r in Index(spark, f"{tmp_path}/out").points().collect()) == ["x1 & y", "x2 & y", "x3 & y"]
 
 
 def test_reader_dispatch(spark):
