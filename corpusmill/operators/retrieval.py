@@ -16,6 +16,11 @@ DEPTH, SHOWN = 20, 5
 #: Folders of stored postings, and tasks that write each.
 BUCKETS, SPREAD = 64, 4
 K1, B, RRF = 1.2, 0.75, 60
+#: Documents of a range are 2 to this; ranges that are read first, how many times more each time, and up to which number
+#: all tasks may know them. Scores are rounded to 6 digits, so bounds are compared with some slack.
+RANGE_BITS, FIRST, GROWTH, BROADCAST_RANGES, SLACK = 6, 8, 4, 1_000_000, 2e-6
+#: Goes into the key of stored postings: another layout, or other terms, are another index.
+LAYOUT = 2
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,40 +47,100 @@ def postings(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Postings:
-    """A stored sparse index: postings in folders by hash of the term, and the statistics of the corpus."""
+    """A stored sparse index. Documents are numbered by size and cut into ranges of RANGE; a term has a row for each range
+    that it is in, with its documents there and the greatest weight it has in any of them. So a query knows from a few
+    numbers what a range can score at most, and reads the ranges that may have one of the k best."""
 
     path: str
 
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> Postings:
-        """Stores the postings of docs (id, text), sorted by term within a folder, so a search reads its terms only. A
-        folder is written by SPREAD tasks, as one term may hold much of it."""
+        """Stores the postings of docs (id, text) in folders by hash of the term, sorted by term and range, and the
+        statistics of the corpus. A folder is written by SPREAD tasks, as one term may hold much of it."""
         spark = docs.sparkSession
-        bucket, spread = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))
-        rows = postings(docs).withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term")
 
         def write(to: str) -> None:
-            rows.write.partitionBy("bucket").parquet(f"{to}/postings")
-            sizes = docs.select(F.size(terms(F.col("text"))).cast("long").alias("size"))
-            sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).write.parquet(f"{to}/stats")
+            # Documents of one size, whose weights are alike, are in ranges of their own.
+            docs.limit(0).select("id").write.parquet(f"{to}/shape")
+            sized = docs.select("id", terms(F.col("text")).alias("terms")).withColumn("size", F.size("terms").cast("long"))
+            sized.select("id", "size").repartitionByRange("size", "id").sortWithinPartitions("size", "id").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)).write.parquet(f"{to}/ranges")
+            ranges = spark.read.parquet(f"{to}/ranges")
+            ranges.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), F.count_distinct("range").alias("ranges")).write.parquet(f"{to}/stats")
+            mean = spark.read.parquet(f"{to}/stats").first()["mean"] or 1.0
+            rows = postings(docs).join(ranges.select("id", "range"), "id")
+            tf, size = F.col("tf"), F.col("size")
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+            held = rows.groupBy("term", "range").agg(F.max(weight).alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", weight.alias("weight"))).alias("docs"))
+            bucket, spread = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64("range"), F.lit(SPREAD))
+            held.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{to}/postings")
 
         publish.replace(spark, path, write)
         return cls(path)
 
     def top(self, spark: SparkSession, query: list[str], k: int = DEPTH, ids: DataFrame | None = None) -> DataFrame:
         """id and BM25 score of the k best documents (among ids, if given) for the terms of a query."""
-        query = sorted(set(query))
+        return self.search(spark, query, k, ids)[0]
+
+    def search(self, spark: SparkSession, query: list[str], k: int = DEPTH, ids: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """The same, with the number of ranges that have a term of the query, and of those whose documents were read.
+
+        Ranges are read from the greatest bound on, ever more at a time, until no other can reach the kth score so far.
+        """
+        query, out = sorted(set(query)), stored_shape(spark, self.path)
+        stats = spark.read.parquet(f"{self.path}/stats").first()
+        if not stats["n"]:
+            return spark.createDataFrame([], out), {"ranges": 0, "read": 0}
         asked = spark.createDataFrame([(q,) for q in query], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).collect()
         stored = spark.read.parquet(f"{self.path}/postings")
         found = stored.where(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("term").isin(query))
-        seen = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each asked term
-        stats = spark.read.parquet(f"{self.path}/stats").first()
+        seen = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each asked term
         idf = F.lit(0.0)
         for term, df in seen.items():
             idf = F.when(F.col("term") == term, math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))).otherwise(idf)
-        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (stats["mean"] or 1.0)))
-        found = found if ids is None else found.join(ids.select("id").distinct(), "id", "left_semi")
-        return found.groupBy("id").agg(F.round(F.sum(score), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+        bounds = publish.kept(found.groupBy("range").agg(F.sum(idf * F.col("most")).alias("bound")), "ranges-bounds")
+        allowed = None if ids is None else ids.select("id").distinct()
+
+        def scores(ranges: DataFrame) -> DataFrame:
+            each = found.join(ranges, "range", "left_semi").select(idf.alias("idf"), F.explode("docs").alias("d")).select("d.id", (F.col("idf") * F.col("d.weight")).alias("part"))
+            each = each if allowed is None else each.join(allowed, "id", "left_semi")
+            return each.groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+
+        best, read = best_first(spark, bounds, scores, k, out)
+        return best, {"ranges": bounds.count(), "read": read}
+
+
+def shape_of(kind) -> str:
+    return f"id {kind.simpleString()}, score double"
+
+
+def stored_shape(spark: SparkSession, path: str) -> str:
+    """The columns of a search of a stored index, of which there is an empty table."""
+    return shape_of(spark.read.parquet(f"{path}/shape").schema["id"].dataType)
+
+
+def best_first(spark: SparkSession, bounds: DataFrame, scores, k: int, shape: str) -> tuple[DataFrame, int]:
+    """The k best of what scores(parts) gives (id, score rounded to 6 digits) over all parts, and how many parts were read.
+
+    bounds: (range, bound), a score that no point of the range exceeds. Parts are taken in order of their bounds, FIRST of
+    them and then GROWTH times as many each time; when the kth score is above all bounds left, the rest goes unread.
+    Only the k best and, of parts, the last bound come to the driver.
+    """
+    best: list[tuple] = []
+    step, read, last = FIRST, 0, None
+    while True:
+        left = bounds if last is None else bounds.where((F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & (F.col("range") > last["range"])))
+        if len(best) == k:
+            left = left.where(F.col("bound") >= best[-1][1] - SLACK)
+        taken = publish.kept(left.orderBy(F.desc("bound"), "range").limit(step), "ranges-taken")
+        n = taken.count()
+        if n:
+            rows = scores(F.broadcast(taken.select("range")) if n <= BROADCAST_RANGES else taken.select("range")).orderBy(F.desc("score"), "id").limit(k).collect()
+            best = sorted([*best, *map(tuple, rows)], key=lambda r: (-r[1], r[0]))[:k]
+            last = taken.orderBy("bound", F.desc("range")).first()
+        read += n
+        if n < step:
+            return spark.createDataFrame(best, shape), read
+        step *= GROWTH
 
 
 def sparse(docs: DataFrame, query: list[str], k: int = DEPTH) -> DataFrame:
@@ -112,21 +177,25 @@ def fuse(*lists: DataFrame, k: int = DEPTH) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(index: DataFrame, query_text: str, query_vector: list[float], provider=None, category: str | None = None, k: int = DEPTH, n: int = SHOWN, stored: Postings | None = None) -> DataFrame:
+def search(index: DataFrame, query_text: str, query_vector: list[float], provider=None, category: str | None = None, k: int = DEPTH, n: int = SHOWN, stored: Postings | None = None, clusters=None) -> DataFrame:
     """Result cards for a query over index (id, prompt_id, source, technique, text, dense).
 
     The category is a predicate below both searches. stored: the index's postings, without which its texts are read;
-    their statistics are those of the whole index, whatever the category. provider.rerank(df, query) gives new scores; without one the
+    their statistics are those of the whole index, whatever the category. clusters: its stored dense index, without which all
+    vectors are compared. provider.rerank(df, query) gives new scores; without one the
     fused scores stay.
     """
     some = index.where(F.col("technique") == category) if category is not None else index
     words = [r for r in some.sparkSession.range(1).select(terms(F.lit(query_text))).first()[0]]
-    lists = [ranked(dense(some, query_vector, k), "dense")]
+    nearest = clusters.top(some.sparkSession, query_vector, k, category) if clusters else dense(some, query_vector, k)
+    lists = [ranked(nearest, "dense")]
     if words:
         by_terms = stored.top(some.sparkSession, words, k, None if category is None else some) if stored else sparse(some.select("id", "text"), words, k)
         lists.append(ranked(by_terms, "sparse"))
-    fused = fuse(*lists, k=k)
-    found = some.drop("dense").join(F.broadcast(fused), "id")  # at most k rows
+    # At most k rows; their ids go down into the index as a filter.
+    rows = fuse(*lists, k=k).collect()
+    fused = some.sparkSession.createDataFrame(rows, shape_of(some.schema["id"].dataType))
+    found = some.drop("dense").where(F.col("id").isin([r["id"] for r in rows])).join(F.broadcast(fused), "id")
     if provider is not None:
         found = provider.rerank(found, query_text)
     return cards(found.orderBy(F.desc("score"), "id").limit(n))

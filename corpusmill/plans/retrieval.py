@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import ingest, retrieval, sampling, taxonomy
+from corpusmill.operators import clusters, ingest, retrieval, sampling, taxonomy
 from corpusmill.plans.common import SQL_CORPUS, corpus, sql_bucket, sql_excerpt, sql_word_excerpt, table
 from corpusmill.sources import publish, registry
 
@@ -31,7 +31,7 @@ def round1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    return sampling.select_round(docs, sampling.select_round(docs, None, 1), 2)
+    return sampling.select_round(docs, publish.kept(sampling.select_round(docs, None, 1).select("prompt_id"), "round1"), 2)
 
 
 def category_counts_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +46,12 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(docs, "id")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, *tables: str) -> retrieval.Postings:
-    """The postings of docs, as ingestion leaves them: built where there are none yet for these tables' files."""
+def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, *tables: str, kind: type = retrieval.Postings):
+    """The index of docs, as ingestion leaves it: built where there is none yet for these tables' files and this layout."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in tables])
     state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string")).first()[0]
-    path = f"{publish.shared_dir(spark)}/corpusmill/postings-{name}-{hashlib.md5(f'{sf_dir} {state}'.encode()).hexdigest()}"
-    if publish.exists(spark, f"{path}/stats/_SUCCESS"):
-        return retrieval.Postings(path)
-    return retrieval.Postings.build(docs, path)
+    path = f"{publish.shared_dir(spark)}/corpusmill/{kind.__name__.lower()}-{name}-{hashlib.md5(f'{retrieval.LAYOUT} {sf_dir} {state}'.encode()).hexdigest()}"
+    return kind(path) if publish.exists(spark, path) else kind.build(docs, path)
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> retrieval.Postings:
@@ -78,6 +76,20 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_of(spark, sf_dir, "3")
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> clusters.Clusters:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("technique"), F.col("embedding").alias("dense"))
+    return stored(spark, sf_dir, "embeddings", vectors, "embeddings", kind=clusters.Clusters)
+
+
+def dense_topk_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest points by the stored index."""
+    return stored_vectors(spark, sf_dir).top(spark, asked_vector(spark, sf_dir))
+
+
+def dense_topk_clusters_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_vectors(spark, sf_dir).top(spark, asked_vector(spark, sf_dir), technique="3")
+
+
 def sparse_topk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_index(spark, sf_dir).top(spark, ASKED)
 
@@ -140,6 +152,8 @@ QUERIES = {
     "technique_breakdown_topk": technique_breakdown_topk,
     "dense_topk_cosine": dense_topk_cosine,
     "dense_topk_filtered": dense_topk_filtered,
+    "dense_topk_clusters": dense_topk_clusters,
+    "dense_topk_clusters_filtered": dense_topk_clusters_filtered,
     "sparse_topk_bm25": sparse_topk_bm25,
     "rrf_fusion": rrf_fusion,
     "hybrid_search_cards": hybrid_search_cards,
@@ -215,6 +229,8 @@ ORACLES = {
     "technique_breakdown_topk": f"SELECT label AS technique, count(*) AS n FROM ({SQL_DENSE}) JOIN embeddings ON id = vec_id GROUP BY label",
     "dense_topk_cosine": SQL_DENSE,
     "dense_topk_filtered": SQL_DENSE.replace("WHERE TRUE", "WHERE label = 3"),
+    "dense_topk_clusters": SQL_DENSE,
+    "dense_topk_clusters_filtered": SQL_DENSE.replace("WHERE TRUE", "WHERE label = 3"),
     "sparse_topk_bm25": sql_sparse(),
     "rrf_fusion": sql_fused(),
     "hybrid_search_cards": f"""

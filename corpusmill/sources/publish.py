@@ -34,14 +34,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Writes next to path and renames: a failed write leaves what was there, and always clears its staging."""
-    staging, old = f"{path}.staging", f"{path}.old"
-    remove(spark, staging)
+    mark = uuid.uuid4().hex
+    staging, old = f"{path}.staging-{mark}", f"{path}.old-{mark}"
     try:
         write(staging)
         fs, at = place(spark, path)
         moved = fs.exists(at)
         if moved:
-            remove(spark, old)
             if not fs.rename(at, place(spark, old)[1]):
                 raise OSError(f"can't rename {path} to {old}")
         at.getParent() and fs.mkdirs(at.getParent())
