@@ -21,10 +21,12 @@ QUALITY = {1: 1.0, 0: 0.25, None: 0.5}
 BROADCAST_WEIGHTS = 300_000
 #: So are sources, up to so many (200 bytes each).
 BROADCAST_SOURCES = 50_000
+#: Targets are worked out by one task, over a row for each source.
+MOST_SOURCES = 5_000_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size), a row for each source of which a task can hold all, with target: shares by weight 1, 2, 3, 1, ... in code-point order, null last;
+    """sizes (source, source_size), a row for each of MOST_SOURCES sources at most, with target: shares by weight 1, 2, 3, 1, ... in code-point order, null last;
     no target is above EPOCHS times its size, and what exceeds that is shared again by weight.
 
     Sharing again and again ends at one level per unit of weight, with the sources of least size per weight full;
@@ -69,8 +71,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None =
 
     weights: doc_id and weight > 0, one row per id. A source of any size is cut into ranges of keys that hold about as
     many documents each, and a prefix sum is that of the ranges before plus that within a range. A null source is a
-    source of its own. Documents without words get 0. Rows alike in every column are interchangeable. Of other columns
-    only payload is kept, and carried through one exchange. An empty table gives no rows.
+    source of its own. Documents without words get 0. Of rows of one id and size that of the least hash of its payload comes
+    first, so reruns agree; rows alike in every column are interchangeable. Of other columns only payload is kept, and
+    carried through one exchange. An empty table gives no rows; more than MOST_SOURCES sources fail.
     """
     carried = [payload] if payload else []
     rows = docs.select("doc_id", "source", "size", *carried)
@@ -86,7 +89,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None =
     shares = keys.groupBy("source", "weight").agg(F.count(F.lit(1)).alias("n"))
     # A row for each source, which holds a pair for each power of two.
     shares = written(shares.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("all"), F.collect_list(F.struct("weight", "n")).alias("shares")), "mix-shares")
-    total = shares.agg(F.sum("all")).first()[0] or 0
+    total, sources = (x or 0 for x in shares.agg(F.sum("all"), F.count(F.lit(1))).first())
+    if sources > MOST_SOURCES:
+        raise ValueError(f"{sources} sources; targets are shared out among {MOST_SOURCES} at most")
     keys, rows = (ranged(x, shares, max(32, -(-total // rows_per_task))) for x in (keys, rows))
     rows = rows if payload else keys
     summed = keys.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -96,7 +101,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, payload: str | None =
     goals = goals.withColumn("words", F.floor("target")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)))
     plan = summed.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     plan = plan.select(F.col("a.source").alias("s"), F.col("range").alias("r"), "ahead", "source_size", "target", "epochs", (F.col("words") - F.col("epochs") * F.col("source_size")).alias("rest"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *[F.xxhash64(c) for c in carried]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("ahead") - F.col("before")))

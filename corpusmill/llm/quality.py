@@ -99,11 +99,14 @@ def scores(texts: pa.Array, weights: np.ndarray, powers: tn.Powers) -> np.ndarra
 def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights from at most that many rows of labelled (doc_id, label), whose texts are in docs (doc_id, text).
 
-    Of several labels of an id the greatest counts. Without labelled rows all weights are 0 and all scores 0.5.
+    Of several labels of an id the greatest counts; of several texts that of the least hash (null texts are empty), so an
+    id is one row however often it stands. Without labelled rows all weights are 0 and all scores 0.5.
     """
     ids = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.withColumn("ord", F.xxhash64("doc_id")).orderBy("ord").limit(rows)
-    texts = docs.join(F.broadcast(ids), "doc_id").select("ord", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "ord", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    once = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    texts = texts.groupBy("doc_id", "ord", "label").agg(once).select("ord", "label", "text")
     sparse = texts.mapInArrow(featurize, "ord long, label int, index array<int>, value array<float>")
     sparse = sparse.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     order = ["epoch", "ord", "label", F.hash("index"), F.hash("value")]

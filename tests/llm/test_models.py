@@ -309,6 +309,16 @@ def test_training_and_scores_equal_plain_ones(spark, make_docs):
         assert got[k] == pytest.approx(1 / (1 + np.exp(-sum(float(weights[i]) * v for i, v in x.items()))), abs=1e-5)
 
 
+def test_an_id_trains_once_however_often_it_stands(spark):
+    once = spark.createDataFrame([(k, f"text {k} of words", k % 2) for k in range(40)], "doc_id long, text string, label int")
+    labels = once.select("doc_id", "label")
+    others = spark.range(100_000).selectExpr("7L as doc_id", "concat('text 7 of words', if(id % 2 = 0, '', ' again')) as text")
+    hashes = others.distinct().orderBy(F.xxhash64("text")).first()["text"]
+    kept = once.select("doc_id", "text").where("doc_id <> 7").unionByName(spark.createDataFrame([(7, hashes)], "doc_id long, text string"))
+    many = kept.where("doc_id <> 7").unionByName(others)
+    assert (quality.fit(labels, many) == quality.fit(labels, kept)).all()
+
+
 def test_quality_without_labels_is_even(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows, clashes=True)
     weights = quality.fit(spark.createDataFrame([], "doc_id long, label int"), docs)
@@ -390,6 +400,23 @@ def test_mix_takes_documents_whole(spark, small, make_docs):
         assert abs(taken[1000 + k] * (20 + k) - targets[f"alone{k}"]) <= (20 + k) / 2
 
 
+def test_mix_of_equal_ids_and_sizes_depends_on_texts_only(spark, small, make_docs):
+    """Rows of one id and size that differ in text only: which of them is taken is the same however they lie."""
+    rows = [(1, f"w{k} a b c d e f g", "en", "hot") for k in range(300)] + [(2, "x " * 900, "en", "other"), (3, "y " * 3000, "en", "third")]
+    docs = make_docs(rows)
+    runs = [Counter(r.text for r in corpus_pipeline.mix_sources(spark, df, small).collect()) for df in (docs, docs.repartition(7, "text"), docs.orderBy(F.desc("text")))]
+    assert runs[0] == runs[1] == runs[2] and len(set(runs[0][t] for _, t, _, s in rows if s == "hot")) == 2
+
+
+def test_too_many_sources_fail(spark, make_docs, monkeypatch):
+    from corpusmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    docs = make_docs([(k, "a b", "en", f"s{k}") for k in range(4)]).selectExpr("doc_id", "source", "2L as size")
+    with pytest.raises(ValueError, match="4 sources"):
+        mixing.mix(docs)
+
+
 def test_pipeline_runs(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and all(len(r.ids) == 4 * r.n_tokens for r in rows)
