@@ -9,6 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions.arrow import canonical_json
 from corpusmill.operators import audit
 from corpusmill.plans.common import sql_strip, table
+from corpusmill.sources import publish
 
 STRIPPED = sql_strip("text")
 #: The patterns of functions.text, as DuckDB writes them.
@@ -108,6 +109,36 @@ def entity_and_control_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as lines of canonical files, one for each source and language: with the text, the language and, on every
+    third, a note; some lines are no records."""
+    n = F.col("doc_id")
+    note = F.when(n % 3 == 0, F.concat(F.lit("a note that stands on many records of "), "lang"))
+    fields = F.struct(F.col("text").alias("body"), F.col("lang").alias("tag"), note.alias("note"))
+    line = F.to_json(F.struct("source", F.col("lang").alias("source_file"), n.alias("source_row"), fields.alias("fields")), {"ignoreNullFields": "false"})
+    odd = F.when(n % 11 == 0, "{bad").when(n % 13 == 0, "  ").when(n % 17 == 0, "[1]")
+    return table(spark, sf_dir, "documents").select("source", F.concat("lang", F.lit(".jsonl")).alias("source_file"), n.alias("line"), F.coalesce(odd, line).alias("text"))
+
+
+def merged_states(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return audit.states(publish.kept(audit.facts(canonical_lines(spark, sf_dir)), "facts"))[name]
+
+
+def merged_likely_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate texts of likely fields in every scope, from states by file."""
+    return merged_states(spark, sf_dir, "texts")
+
+
+def merged_duplicate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of repeated records that were seen first, in every scope."""
+    return merged_states(spark, sf_dir, "raw_shown").select(*audit.SCOPE, "count", "first_seen_at")
+
+
+def merged_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rejected lines of every scope."""
+    return merged_states(spark, sf_dir, "rejected_shown").select(*audit.SCOPE, F.col("place").cast("long").alias("place"), "file", "line_number", "error", "line_excerpt")
+
+
 QUERIES = {
     "audit_text_profile_by_source": text_profile_by_source,
     "audit_scopes_grouping_sets": scopes_grouping_sets,
@@ -119,11 +150,39 @@ QUERIES = {
     "audit_record_counters": record_counters,
     "audit_duplicate_records": duplicate_records,
     "audit_entity_and_control_flags": entity_and_control_flags,
+    "audit_merged_likely_duplicates": merged_likely_duplicates,
+    "audit_merged_duplicate_samples": merged_duplicate_samples,
+    "audit_merged_rejected_lines": merged_rejected_lines,
 }
 
 RAW = "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN '{n}'" for n in (7, 11, 13, 17, 19, 23, 29)) + " END"
 SAMPLE = "CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '...' ELSE text END"
+#: Lines of documents as records, and each row once for every scope that it belongs to.
+SCOPED = """
+l AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'bad' WHEN doc_id % 13 = 0 THEN 'blank' WHEN doc_id % 17 = 0 THEN 'list' END AS odd,
+  CASE WHEN doc_id % 3 = 0 THEN 'a note that stands on many records of ' || lang END AS note FROM documents),
+s AS (SELECT l.*, scope, CASE WHEN scope > 0 THEN source ELSE '' END AS of_source, CASE WHEN scope > 1 THEN lang || '.jsonl' ELSE '' END AS of_file FROM l, (VALUES (0), (1), (2)) AS k(scope))"""
 ORACLES = {
+    "audit_merged_likely_duplicates": f"""
+WITH {SCOPED},
+f AS (SELECT scope, of_source, of_file, unnest(['body', 'tag', 'note']) AS field, unnest([text, lang, note]) AS text FROM s WHERE odd IS NULL),
+n AS (SELECT scope, of_source, of_file, count(*) AS total FROM s WHERE odd IS NULL GROUP BY ALL),
+p AS (SELECT scope, of_source, of_file, field FROM (SELECT scope, of_source, of_file, field, count(*) FILTER ({STRIPPED} <> '') AS ne, sum(length(text)) AS size, count(text) AS c FROM f GROUP BY ALL)
+  JOIN n USING (scope, of_source, of_file) WHERE ne > 0 AND ne / total >= 0.05 AND size / c >= 20),
+g AS (SELECT scope, of_source, of_file, field, text, count(*) AS c FROM f WHERE {STRIPPED} <> '' GROUP BY ALL HAVING c > 1)
+SELECT scope, of_source AS source, of_file AS source_file, field, count(*) AS duplicate_groups, CAST(sum(c - 1) AS BIGINT) AS duplicate_occurrences
+FROM g JOIN p USING (scope, of_source, of_file, field) GROUP BY ALL""",
+    "audit_merged_duplicate_samples": f"""
+WITH {SCOPED},
+g AS (SELECT scope, of_source, of_file, text, lang, note, count(*) AS count, min((source, lang || '.jsonl', doc_id)) AS first, arg_min(source || '/' || lang || ':' || doc_id, (source, lang || '.jsonl', doc_id)) AS first_seen_at
+  FROM s WHERE odd IS NULL GROUP BY ALL HAVING count > 1)
+SELECT scope, of_source AS source, of_file AS source_file, count, first_seen_at FROM (SELECT *, row_number() OVER (PARTITION BY scope, of_source, of_file ORDER BY first) AS place FROM g) WHERE place <= 10""",
+    "audit_merged_rejected_lines": f"""
+WITH {SCOPED}
+SELECT scope, of_source AS source, of_file AS source_file, place, r.source || '/' || lang || '.jsonl' AS file, doc_id AS line_number,
+  CASE odd WHEN 'bad' THEN 'Expecting property name enclosed in double quotes' WHEN 'blank' THEN 'Blank line' ELSE 'Canonical record is not a JSON object' END AS error,
+  CASE odd WHEN 'bad' THEN '{{bad' WHEN 'blank' THEN '' ELSE '[1]' END AS line_excerpt
+FROM (SELECT *, row_number() OVER (PARTITION BY scope, of_source, of_file ORDER BY source, lang || '.jsonl', doc_id) AS place FROM s WHERE odd IS NOT NULL) r WHERE place <= 10""",
     "audit_text_profile_by_source": f"""
 SELECT source, {SQL_COUNTERS}, CAST(0 AS BIGINT) AS missing_count,
   round(count(*) FILTER ({STRIPPED} <> '') / count(*), 4) AS non_empty_string_ratio,

@@ -15,8 +15,6 @@ from corpusmill.sources import publish, registry
 #: Words of the synthetic texts, for sparse search.
 ASKED = ["the", "tion", "nicht"]
 DIMENSION = [("view", "v"), ("click", "c"), ("purchase", "p"), ("no_such_type", "n")]
-ROUNDS = [(1, 500, 2), (2, 500, 0), (3, 480, 1), (4, 20, 0), (5, 10, 0)]
-RESULTS = [("a", True, "success"), ("b", True, "failed"), ("c", False, "failed"), ("d", False, "success"), ("e", True, "success")]
 SCORES = [0.7, 0.4, 0.39, None, 1.0, 0.0]
 
 
@@ -130,11 +128,19 @@ def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saturation_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.saturation(spark.createDataFrame(ROUNDS, "round bigint, samples bigint, new_categories bigint"))
+    """Days of events as rounds, with users that were not seen before as news."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    fresh = events.groupBy("user_id").agg(F.min("day").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("new_categories"))
+    days = events.groupBy("day").agg(F.count(F.lit(1)).alias("samples")).join(fresh, "day", "left")
+    rounds = days.select(F.datediff("day", F.lit("2024-01-01")).cast("long").alias("round"), "samples", F.coalesce("new_categories", F.lit(0)).alias("new_categories"))
+    return taxonomy.saturation(rounds)
 
 
 def run_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.run_summary(spark.createDataFrame(RESULTS, "source_name string, required boolean, status string"))
+    """Orders as runs: filled ones have succeeded, urgent ones were required."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed")
+    return ingest.run_summary(orders.select(F.col("o_orderkey").cast("string").alias("source_name"), F.col("o_orderpriority").startswith("1").alias("required"), status.alias("status")))
 
 
 def snapshot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,15 +250,17 @@ ORDER BY score DESC, id LIMIT 5""",
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM documents),
 u AS (SELECT doc_id, unnest(terms) AS term, len(terms) AS size FROM t)
 SELECT term, doc_id AS id, count(*) AS tf, size FROM u GROUP BY term, doc_id, size""",
-    "saturation_streak": f"""
-WITH r(round, samples, fresh) AS (VALUES {", ".join(map(str, ROUNDS))})
-SELECT CAST(round AS BIGINT) AS round, CAST(sum(samples) OVER w AS BIGINT) AS analyzed, CAST(round - coalesce(max(CASE WHEN fresh > 0 THEN round END) OVER w, 0) AS BIGINT) AS streak
+    "saturation_streak": """
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events),
+f AS (SELECT day, count(*) AS fresh FROM (SELECT user_id, min(day) AS day FROM e GROUP BY user_id) GROUP BY day),
+r AS (SELECT CAST(day - DATE '2024-01-01' AS BIGINT) AS round, samples, coalesce(fresh, 0) AS fresh FROM (SELECT day, count(*) AS samples FROM e GROUP BY day) LEFT JOIN f USING (day))
+SELECT round, CAST(sum(samples) OVER w AS BIGINT) AS analyzed, CAST(round - coalesce(max(CASE WHEN fresh > 0 THEN round END) OVER w, 0) AS BIGINT) AS streak
 FROM r WINDOW w AS (ORDER BY round ROWS UNBOUNDED PRECEDING)""",
-    "run_status_summary": f"""
-SELECT count(*) AS source_count, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status <> 'success') AS failed_count,
-  count(*) FILTER (status <> 'success' AND required) AS required_failed_count, count(*) FILTER (status <> 'success' AND NOT required) AS optional_failed_count,
+    "run_status_summary": """
+SELECT count(*) AS source_count, count(*) FILTER (good) AS success_count, count(*) FILTER (NOT good) AS failed_count,
+  count(*) FILTER (NOT good AND required) AS required_failed_count, count(*) FILTER (NOT good AND NOT required) AS optional_failed_count,
   required_failed_count = 0 AS all_required_succeeded
-FROM (VALUES {", ".join(map(str, RESULTS))}) AS t(source_name, required, status)""",
+FROM (SELECT o_orderstatus = 'F' AS good, starts_with(o_orderpriority, '1') AS required FROM orders)""",
     "snapshot_totals": """
 SELECT o_orderpriority AS source_name, count(*) AS snapshot_count, CAST(sum(o_custkey) AS BIGINT) AS total_bytes, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) AS BIGINT) AS total_records
 FROM orders GROUP BY o_orderpriority""",

@@ -28,6 +28,10 @@ def sql_unescape(x: str) -> str:
     return x
 
 
+#: Documents that make one long text.
+TOGETHER = 20
+#: Characters of a page between two edges.
+PIECE = 40
 #: Texts for the branches of the normalizer that no table has, with code points in braces.
 EDGES = ["  a  b{A0}{A0}c ", "a{D}{A}b{D}c", "x{1}y{7F}z", "a  {A}b {9} {A}", "a   b    c", "p{A}{A}{A}{A}{A}q", "{3000}full{3000}", "", "{1C}{1F}x{85}", "tab{9}{9}tab"]
 
@@ -46,8 +50,10 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, edge_text(e)) for n, e in enumerate(EDGES)], "n bigint, raw string")
-    return rows.select("n", T.clean(F.col("raw")).alias("text"))
+    """Every edge on both sides of a piece of every page."""
+    edges = F.posexplode(F.array(*[F.lit(edge_text(e)) for e in EDGES])).alias("n", "edge")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, PIECE).alias("piece"), edges)
+    return rows.select("page_id", F.col("n").cast("long").alias("n"), T.clean(F.concat("edge", "piece", "edge")).alias("text"))
 
 
 def legacy_prompt_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +90,11 @@ DOCUMENT_RULES = [("Token Manipulation", ["###", "$$$"]), ("Social Engineering",
 
 
 def oversize_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ingest.within_limit(docs).select("doc_id", ingest.token_count(F.col("text")).alias("tokens"))
+    """Documents, and runs of TOGETHER documents as one text, many of which go beyond the limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).cast("long").alias("parts"), "text")
+    run = docs.groupBy(F.expr(f"doc_id div {TOGETHER}").alias("run")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("parts"), F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("all"))
+    long = run.select("doc_id", "parts", F.array_join("all.text", " ").alias("text"))
+    return ingest.within_limit(docs.unionByName(long)).select("doc_id", "parts", ingest.token_count(F.col("text")).alias("tokens"))
 
 
 def canonical_prompt_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +149,7 @@ QUERIES = {
 KIND = "CASE WHEN doc_id % 11 = 0 THEN 'malformed' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'invalid_canonical' WHEN doc_id % 23 = 0 THEN 'blank' WHEN doc_id % 19 = 0 THEN 'invalid_canonical' WHEN doc_id % 5 = 0 THEN 'non_string' WHEN doc_id % 7 = 0 THEN 'empty_text' WHEN " + sql_strip("text") + " = '' THEN 'empty_text' END"
 ORACLES = {
     "normalize_pages_text": f"SELECT page_id, {sql_clean(sql_unescape('html'))} AS text FROM pages",
-    "normalize_edge_cases": f"SELECT CAST(n AS BIGINT) AS n, {sql_clean('raw')} AS text FROM (VALUES {', '.join(f'({n}, {sql_edge(e)})' for n, e in enumerate(EDGES))}) AS t(n, raw)",
+    "normalize_edge_cases": f"SELECT page_id, n, {sql_clean('raw')} AS text FROM (SELECT page_id, CAST(n AS BIGINT) AS n, edge || substr(html, 1, {PIECE}) || edge AS raw FROM pages, (VALUES {', '.join(f'({n}, {sql_edge(e)})' for n, e in enumerate(EDGES))}) AS t(n, edge))",
     "normalize_skip_accounting": f"""
 WITH r AS (SELECT source, lang AS source_file, {KIND} AS reason FROM documents)
 SELECT source, source_file, count(*) AS lines, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'blank') AS skipped_blank,
@@ -156,7 +165,15 @@ FROM r GROUP BY GROUPING SETS ((), (source, source_file))""",
     "classify_rules": """
 SELECT doc_id, CASE WHEN contains(t, '###') OR contains(t, '$$$') THEN 'Token Manipulation' WHEN contains(t, 'nicht') THEN 'Social Engineering'
   WHEN contains(t, 'eau') THEN 'Fictional Framing' ELSE 'Unknown' END AS technique FROM (SELECT doc_id, lower(substr(text, 1, 1000)) AS t FROM documents)""",
-    "oversize_guard": r"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS tokens FROM documents) WHERE tokens <= 8000",
+    "oversize_guard": rf"""
+WITH t AS (SELECT doc_id, CAST(1 AS BIGINT) AS parts, text FROM documents UNION ALL
+  SELECT min(doc_id), count(*), string_agg(text, ' ' ORDER BY doc_id) FROM documents GROUP BY doc_id // {TOGETHER})
+SELECT * FROM (SELECT doc_id, parts, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS tokens FROM t) WHERE tokens <= 8000""",
+    "canonical_prompt_id": """
+WITH k AS (SELECT event_id, event_type, unnest(list_sort(json_keys(props))) AS key, props FROM events WHERE props IS NOT NULL),
+f AS (SELECT event_id, event_type, '{' || string_agg(json_quote(key) || ':' || json_extract(props, '$."' || key || '"'), ',' ORDER BY key) || '}' AS fields FROM k GROUP BY ALL)
+SELECT event_id, event_type || '_' || substr(sha256('{"raw_fields":' || fields || ',"source":"' || event_type || '","source_file":"events.jsonl","source_row":' || event_id || '}'), 1, 20) AS prompt_id, sha256(fields) AS fields_hash
+FROM f""",
     "resume_left_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "evidence_merge_arrays": """
 WITH c AS (SELECT DISTINCT quality || '/' || toxic AS category, d.doc_id, d.source, d.n_chars FROM labels JOIN documents d USING (doc_id)),
