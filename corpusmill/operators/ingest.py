@@ -16,8 +16,6 @@ from corpusmill.sources import publish, registry
 from corpusmill.sources.index import Index
 
 PREFIX, MOST_TOKENS = 1000, 8000
-METADATA, SUMMARY = "fetch_metadata.json", "fetch_run_summary.json"
-RESULT = "source_name string, source_type string, required boolean, status string, error_type string, error_message string"
 POINT = "id string, prompt_id string, source string, text string, dense array<float>, technique string"
 
 #: Words that the offline classifier takes as a sign of a technique.
@@ -154,46 +152,3 @@ def run_summary(results: DataFrame) -> DataFrame:
 def snapshot_totals(snapshots: DataFrame) -> DataFrame:
     """Bytes and records of each source's snapshots; records is null if none could be counted."""
     return snapshots.groupBy("source_name").agg(F.count(F.lit(1)).alias("snapshot_count"), F.sum("byte_count").alias("total_bytes"), F.sum("record_count").alias("total_records"))
-
-
-def fetch_all(spark: SparkSession, landing: str, raw: str) -> DataFrame:
-    """Takes each source's snapshots from a landing folder (there is no network here) and publishes them together.
-
-    A source that fails doesn't stop the others; the raw folder is replaced only if every required source succeeds. Each
-    source's folder gets its metadata. The summary of the run goes into the raw folder, or beside it if that stays as it
-    was; a run that succeeds takes such a summary away.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = place(raw).getFileSystem(conf)
-    rows = []
-
-    def write(staging: str) -> None:
-        for source in registry.SOURCES:
-            try:
-                for shot in source.snapshots:
-                    name = f"{source.source_name}/{shot.output_name}"
-                    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, place(f"{landing}/{name}"), fs, place(f"{staging}/{name}"), False, conf)
-                publish.report(spark, f"{staging}/{source.source_name}/{METADATA}", {"source_name": source.source_name, "source_type": source.source_type, "snapshots": [x.output_name for x in source.snapshots]})
-                rows.append((source.source_name, source.source_type, source.required, "success", None, None))
-            except Exception as error:  # noqa: BLE001 - reported as the source's status
-                fs.delete(place(f"{staging}/{source.source_name}"), True)
-                rows.append((source.source_name, source.source_type, source.required, "failed", type(error).__name__, str(error).splitlines()[0]))
-        if any(required and status == "failed" for _, _, required, status, _, _ in rows):
-            raise RequiredSourceFailed
-        publish.report(spark, f"{staging}/{SUMMARY}", summary())
-
-    def summary() -> dict:
-        return {**run_summary(spark.createDataFrame(rows, RESULT)).first().asDict(), "sources": [dict(zip(("source_name", "source_type", "required", "status", "error_type", "error_message"), r, strict=True)) for r in rows]}
-
-    beside = f"{raw.rstrip('/')}-{SUMMARY}"
-    try:
-        publish.replace(spark, raw, write)
-        publish.remove(spark, beside)
-    except RequiredSourceFailed:
-        publish.report(spark, beside, summary())
-    return spark.createDataFrame(rows, RESULT)
-
-
-class RequiredSourceFailed(RuntimeError):
-    """A required source couldn't be fetched."""

@@ -5,12 +5,15 @@ Files are read in splits, whose lines are counted and summed up before each.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrow
-from corpusmill.sources import csv_splits, publish
+from corpusmill.sources import csv_splits, publish, registry
 
+logger = logging.getLogger(__name__)
 #: Splits whose line counts every task may hold (some 60 bytes each).
 MOST_SPLITS = 1_000_000
 CANONICAL = "source string, source_file string, source_row long, fields_json string"
@@ -184,21 +187,25 @@ def optional_report(spark: SparkSession, path: str) -> DataFrame | None:
 
 def legacy(spark: SparkSession, parts: list[tuple]) -> DataFrame:
     """Direct loads in order: (source, path of JSON lines, field) as text and source, or (source, path, field, key, value)
-    for the records whose key has that value; what can't be read is skipped."""
+    for the records whose key has that value. What isn't there is logged and doesn't stop the others."""
     out = spark.createDataFrame([], "ord bigint, text string, source string")
     for n, (source, path, name, *only) in enumerate(parts):
-        try:
-            rows = lines(spark, path)
-            rows = rows.where(F.get_json_object("text", f"$.{only[0]}") == only[1]) if only else rows
-            rows = rows.select((F.lit(n).cast("bigint") * (1 << 40) + F.col("line")).alias("ord"), F.get_json_object("text", f"$.{name}").alias("text"), F.lit(source).alias("source"))
-            rows.limit(1).count()
-        except Exception as error:  # noqa: BLE001 - a source that fails must not stop the others
-            print(f"skipped {source}: {error}")
+        if listing(spark, path).isEmpty():
+            logger.error("nothing to load for %s at %s", source, path)
             continue
-        out = out.unionByName(rows)
+        rows = lines(spark, path)
+        rows = rows.where(F.get_json_object("text", f"$.{only[0]}") == only[1]) if only else rows
+        out = out.unionByName(rows.select((F.lit(n).cast("bigint") * (1 << 40) + F.col("line")).alias("ord"), F.get_json_object("text", f"$.{name}").alias("text"), F.lit(source).alias("source")))
     return out
 
 
+def legacy_all(spark: SparkSession, raw: str) -> DataFrame:
+    """The registry's direct loads from a raw folder, without texts that came before: text and source."""
+    rows = legacy(spark, [(source, f"{raw}/{source}/{name}", *more) for source, name, *more in registry.LOADS]).where("text is not null")
+    first = rows.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min_by(F.struct("text", "source"), "ord").alias("row"))
+    return first.select("row.*")
+
+
 READERS = {"jsonl": jsonl, "csv": csv_files, "canonical": canonical, "normalized": normalized, "lines": lines}
 
 

@@ -61,6 +61,17 @@ FIELDS = [
     ("wildjailbreak", "eval.jsonl", "adversarial"),
 ]
 
+#: Direct loads, in order: source, file and field, and the key and value that records must have, if any.
+LOADS = [
+    ("trustairlab", "jailbreak_2023_05_07_train.jsonl", "prompt"),
+    ("trustairlab", "jailbreak_2023_12_25_train.jsonl", "prompt"),
+    ("rubend18", "train.jsonl", "Prompt"),
+    ("jackhhao", "train.jsonl", "prompt", "type", "jailbreak"),
+    ("jackhhao", "test.jsonl", "prompt", "type", "jailbreak"),
+    ("harmbench", "HumanJailbreaks_val.jsonl", "Behavior"),
+    ("harmbench", "HumanJailbreaks_test.jsonl", "Behavior"),
+]
+
 UNKNOWN = "Unknown"
 TECHNIQUES = [
     ("Persona Hijacking", "psychology_alt"),

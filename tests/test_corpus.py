@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import audit, ingest, normalize
+from corpusmill.operators import audit, fetch, ingest, normalize
 from corpusmill.sources import files, publish, registry
 
 
@@ -127,16 +127,35 @@ def test_fetch_replaces_only_if_required_sources_succeed(spark, tmp_path):
     landing, raw = tmp_path / "landing", tmp_path / "raw"
     for s in registry.SOURCES[1:]:
         for x in s.snapshots:
-            put(landing, f"{s.source_name}/{x.output_name}", "{}")
-    first = ingest.run_summary(ingest.fetch_all(spark, str(landing), str(raw))).first()
+            if x.options:
+                put(landing, f"{s.source_name}/{x.output_name.replace('.jsonl', '.tsv')}", 'vanilla\tadversarial\nNA\t"two\twords"\n\té\n')
+            else:
+                put(landing, f"{s.source_name}/{x.output_name}", "a,b\n1,2\n\n3,4\n" if x.format_label == "csv" else '{"n":1}\n{"n":2}\n')
+    first = ingest.run_summary(fetch.fetch_all(spark, str(landing), str(raw))).first()
     assert (first.failed_count, first.all_required_succeeded, raw.exists()) == (1, False, False)
-    assert json.loads((tmp_path / "raw-fetch_run_summary.json").read_text())["required_failed_count"] == 1
+    beside = json.loads((tmp_path / "raw-fetch_run_summary.json").read_text())
+    assert beside["required_failure_count"] == 1 and beside["source_results"][0]["error_type"] == "FileNotFoundError"
     for x in registry.SOURCES[0].snapshots:
-        put(landing, f"{registry.SOURCES[0].source_name}/{x.output_name}", "{}")
-    assert ingest.run_summary(ingest.fetch_all(spark, str(landing), str(raw))).first().all_required_succeeded
-    assert registry.snapshots(spark).count() == 12 and len(list(raw.rglob("*.jsonl"))) == 11
-    assert json.loads((raw / "fetch_run_summary.json").read_text())["failed_count"] == 0 and not (tmp_path / "raw-fetch_run_summary.json").exists()
-    assert len(list(raw.rglob("fetch_metadata.json"))) == len(registry.SOURCES)
+        put(landing, f"{registry.SOURCES[0].source_name}/{x.output_name}", '{"prompt":"x"}')
+    assert ingest.run_summary(fetch.fetch_all(spark, str(landing), str(raw))).first().all_required_succeeded
+    assert registry.snapshots(spark).count() == 12 and len(list(raw.rglob("*.jsonl"))) == 11 and not (tmp_path / "raw-fetch_run_summary.json").exists()
+    assert json.loads((raw / "fetch_run_summary.json").read_text())["failed_source_count"] == 0
+    told = {p.parent.name: json.loads(p.read_text()) for p in raw.rglob("fetch_metadata.json")}
+    assert len(told) == len(registry.SOURCES) and told["advbench"]["total_record_count"] == 3 and told["trustairlab"]["total_record_count"] == 2
+    for name, report in told.items():
+        assert report["total_byte_count"] == sum((raw / name / x["output_file"]).stat().st_size for x in report["snapshots"]) and report["snapshot_count"] == len(report["snapshots"])
+    assert [json.loads(x) for x in (raw / "wildjailbreak/train.jsonl").read_text().splitlines()] == [{"vanilla": "NA", "adversarial": "two\twords"}, {"vanilla": "", "adversarial": "é"}]
+    totals = {r.source_name: (r.snapshot_count, r.total_records) for r in ingest.snapshot_totals(fetch.totals(spark, str(raw))).collect()}
+    assert totals["wildjailbreak"] == (2, 4) and totals["advbench"] == (1, 3)
+
+
+def test_direct_loads_of_a_raw_folder(spark, tmp_path):
+    put(tmp_path, "trustairlab/jailbreak_2023_05_07_train.jsonl", '{"prompt":"one"}\n{"prompt":"two"}\n')
+    put(tmp_path, "rubend18/train.jsonl", '{"Prompt":"two"}\n{"Prompt":"three"}\n{"other":1}\n')
+    put(tmp_path, "jackhhao/train.jsonl", '{"prompt":"four","type":"jailbreak"}\n{"prompt":"five","type":"benign"}\n')
+    put(tmp_path, "harmbench/HumanJailbreaks_test.jsonl", '{"Behavior":"six"}\n')
+    got = {(r.text, r.source) for r in files.legacy_all(spark, str(tmp_path)).collect()}
+    assert got == {("one", "trustairlab"), ("two", "trustairlab"), ("three", "rubend18"), ("four", "jackhhao"), ("six", "harmbench")}
 
 
 def test_duplicate_samples_are_the_first_ten_then_sorted(spark):
