@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,7 +163,7 @@ def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: in
     spark = records.sparkSession
     samples: dict[str, dict] = {}
     tree: dict[str, Node] = {}
-    history, streak, tokens = [], 0, {"estimated_input": 0, "input": 0, "output": 0}
+    history, questions, streak, tokens = [], [], 0, {"estimated_input": 0, "input": 0, "output": 0}
     for number in range(1, rounds + 1):
         seen = spark.createDataFrame([(s["prompt_id"],) for s in samples.values()], "prompt_id string") if samples else None
         shown = [r.asDict() for r in sampling.select_round(records, seen, number, budget).collect()]
@@ -180,24 +181,63 @@ def discover(records: DataFrame, propose: Callable[[str, int], dict], rounds: in
             if debug:
                 publish.report(spark, f"{debug}/round_{number:02d}.json", {"iteration": number, "error": str(error), "estimated_input_tokens": estimated_tokens(asked), "usage": used, "raw_response": raw})
             raise
-        growth = fresh = 0
+        questions += texts(proposal.get("open_questions"))
+        growth, before, matched, names = 0, len(tree), [], []
         for p in proposal.get("existing_top_level_matches", []):
             if (k := key(text(p.get("top_level_name")))) in tree:
                 tree[k], more = match(tree[k], p, samples)
                 growth += more
+                matched.append(tree[k].name)
         for p in proposal.get("new_top_level_categories", []):
             if node := category(p, now):
                 k = key(node.name)
-                fresh += k not in tree
+                names += [node.name] if k not in tree else []
                 tree[k] = merge(tree[k], node.own, node.traits, node.children) if k in tree else node
         tree = {key(c.name): c for c in sorted(tree.values(), key=lambda c: c.weight, reverse=True)[:MOST_CATEGORIES]}
-        streak = 0 if fresh else streak + 1
-        history.append({"round": number, "samples": len(shown), "analyzed": len(samples), "new_categories": fresh, "evidence_growth": growth, "streak": streak})
+        streak = 0 if names else streak + 1
+        count = lambda of: dict(sorted(Counter(map(of, shown)).items()))
+        history.append({
+            "round": number, "requested": budget, "samples": len(shown), "analyzed": len(samples), "sources": count(lambda x: x["source"]), "strata": count(lambda x: x["stratification_signature"]),
+            "categories_before": before, "matched": distinct(matched), "new_names": names, "new_categories": len(names), "evidence_growth": growth, "streak": streak,
+            "tokens": {"estimated_input": estimated_tokens(asked), **{k: int(used.get(f"{k}_tokens") or 0) for k in ("input", "output")}, "stop_reason": used.get("stop_reason")},
+        })
         if streak >= STREAK:
             break
     if not tree:
         raise ProposalError("no category was found")
-    return {"version": 4, "rounds": history, "tokens": tokens, "categories": [serialize(c, samples) for c in tree.values()]}
+    return {"version": 4, "rounds": history, "most_rounds": rounds, "open_questions": distinct(questions), "tokens": tokens, "categories": [serialize(c, samples) for c in tree.values()]}
+
+
+def report(records: DataFrame, found: dict, path: str, to: str) -> dict:
+    """The report, version 4, of what discover() has found in the records of a path; it replaces the one at `to`."""
+    counts = {r["source"]: r["count"] for r in records.groupBy("source").count().orderBy("source").collect()}  # a row for each source
+    history, tokens = found["rounds"], found["tokens"]
+    streak = history[-1]["streak"] if history else 0
+    reason = "no_meaningful_new_categories_for_consecutive_rounds" if streak >= STREAK else "max_iterations_reached" if len(history) == found["most_rounds"] else "no_unseen_records_remaining"
+    rounds = [
+        {
+            "iteration": r["round"], "requested_round_sample_size": r["requested"], "round_sample_count": r["samples"], "cumulative_analyzed_sample_count": r["analyzed"],
+            # Quotas are within what a source has, so they are met.
+            "target_source_allocations": r["sources"], "round_source_counts": r["sources"], "round_stratum_counts": r["strata"], "existing_top_level_categories_before_round": r["categories_before"],
+            "existing_top_level_matches": r["matched"], "new_top_level_category_names": r["new_names"], "valid_new_top_level_category_count": r["new_categories"], "evidence_added_to_existing_top_levels": r["evidence_growth"],
+            "llm_usage": {"estimated_input_tokens": r["tokens"]["estimated_input"], "actual_input_tokens": r["tokens"]["input"], "actual_output_tokens": r["tokens"]["output"], "stop_reason": r["tokens"]["stop_reason"]},
+        }
+        for r in history
+    ]
+    made = {
+        "generated_at": datetime.now(UTC).isoformat(), "normalized_path": path, "proposed_taxonomy_path": to, "report_version": 4, "human_review_required": True,
+        "sampling_strategy": {
+            "seed": sampling.SEED, "strata": ["source", "source_file", "prompt_length_bucket"], "round_sample_size": sampling.BUDGET, "min_samples_per_source_per_round": sampling.LEAST,
+            "max_source_share_per_round": sampling.LARGEST_SHARE, "excerpt_max_chars": 180,
+        },
+        "saturation_status": {"reached": reason != "max_iterations_reached", "reason": reason, "completed_iterations": len(history), "max_iterations": found["most_rounds"], "consecutive_no_new_category_rounds": streak, "threshold": STREAK},
+        "iterations": rounds, "top_level_categories": found["categories"], "analyzed_sample_count": history[-1]["analyzed"] if history else 0, "total_normalized_records": sum(counts.values()), "source_record_counts": counts,
+        "token_usage": {"estimated_total_input_tokens": tokens["estimated_input"] or None, "actual_total_input_tokens": tokens["input"], "actual_total_output_tokens": tokens["output"]},
+        "analysis_constraints": {"normalized_data_modified": False, "classified_artifacts_created": False, "full_corpus_classification_performed": False, "numeric_support_counts_are_code_computed": True},
+        "open_questions": found["open_questions"],
+    }
+    publish.report(records.sparkSession, to, made)
+    return made
 
 
 def saturation(rounds: DataFrame) -> DataFrame:

@@ -41,14 +41,14 @@ def records(spark, n=30):
     return spark.createDataFrame([(f"p{k}", f"s{k % 3}", "f", k, f"text {k} " + "w " * k) for k in range(n)], "prompt_id string, source string, source_file string, source_row long, text string")
 
 
-def test_discovery_merges_checks_and_stops(spark):
+def test_discovery_merges_checks_and_stops(spark, tmp_path):
     ids = lambda r: [f"R{r:02d}S{k:03d}" for k in range(1, 4)]
     rounds = [
         {"new_top_level_categories": [
             {"name": "Alpha", "description": "d", "distinguishing_traits": [" t ", "t"], "supporting_sample_ids": [*ids(1), "nope"], "subtechniques": [{"name": "Sub", "description": "d", "supporting_sample_ids": [ids(1)[0]]}, {"name": "Empty", "description": "d", "supporting_sample_ids": ["nope"]}]},
             {"name": "No support", "description": "d", "supporting_sample_ids": []}]},
         {"existing_top_level_matches": [{"top_level_name": " ALPHA ", "supporting_sample_ids": ids(2), "refined_traits": ["u"], "subtechniques": [{"name": "sub", "description": "d", "supporting_sample_ids": ids(2)}]}]},
-        {"usage": {"input_tokens": 7, "output_tokens": 3}}, {},
+        {"usage": {"input_tokens": 7, "output_tokens": 3}, "open_questions": [" why? ", "why?"]}, {},
     ]
     report = taxonomy.discover(records(spark), taxonomy.replay(rounds), budget=8)
     (alpha,) = report["categories"]
@@ -56,6 +56,11 @@ def test_discovery_merges_checks_and_stops(spark):
     assert alpha["distinguishing_traits"] == ["t", "u"] and alpha["supporting_sample_ids"] == [*ids(1), *ids(2)]
     assert [s["name"] for s in alpha["subtechniques"]] == ["Sub"] and alpha["subtechniques"][0]["support_count"] == 4
     assert [r["new_categories"] for r in report["rounds"]] == [1, 0, 0] and report["rounds"][1]["evidence_growth"] == 3
+    made = taxonomy.report(records(spark), report, "normalized", f"{tmp_path}/taxonomy.json")
+    assert json.loads((tmp_path / "taxonomy.json").read_text()) == json.loads(json.dumps(made)) and made["report_version"] == 4
+    assert made["saturation_status"]["reason"] == "no_meaningful_new_categories_for_consecutive_rounds" and made["source_record_counts"] == {"s0": 10, "s1": 10, "s2": 10} and made["total_normalized_records"] == 30
+    assert [(r["new_top_level_category_names"], r["existing_top_level_matches"]) for r in made["iterations"]] == [(["Alpha"], []), ([], ["Alpha"]), ([], [])]
+    assert all(sum(r["round_source_counts"].values()) == r["round_sample_count"] == sum(r["round_stratum_counts"].values()) for r in made["iterations"]) and made["open_questions"] == ["why?"]
     assert sum(alpha["source_distribution"].values()) == alpha["support_count"] == 6
 
 
