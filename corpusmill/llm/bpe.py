@@ -1,7 +1,8 @@
 """Byte-level BPE.
 
 Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents become byte
-arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a rank.
+arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a rank
+(words of over LONG_WORD bytes, which are few, are merged by a heap as they are cut).
 The rank map is a literal that every task holds, an array of small maps by hash of the pair. Documents then take the
 tokens of their words, in Spark too. Decoding concatenates the binary pieces that the ids stand for. All of it is one
 pass over the table without an exchange; a block depends on its own rows only.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import count
 
 import numpy as np
@@ -25,8 +27,8 @@ from corpusmill.llm.common import let, table, written
 
 #: Ids are below this, as the parts of a word are held as the characters of a string: id i as character i + 1.
 MOST_IDS, NO_RANK = 0xD7FF, "\uffff"
-#: Words of more bytes are folded as strings, all places of a pair at once.
-LONG_WORD = 512
+#: Words of more bytes, for which folding takes too long, are merged by a heap; DONE stands before tokens that are final.
+LONG_WORD, DONE = 512, -1
 #: Buckets of the rank map (more than ids, a power of two), and the odd factor of the hash that deals pairs to them.
 BUCKETS, SPREAD = 1 << 16, 31
 #: A block ends with the group of TEXTS documents that brings its texts to so many characters.
@@ -96,43 +98,54 @@ def fold(parts: Column, ranks: Column, chars: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["c"])
 
 
-def fold_long(parts: Column, ranks: Column, chars: Column) -> Column:
-    """The same for a long word, in which a pair is replaced wherever it stands, left to right.
-
-    That equals merging the leftmost pair of lowest rank until all such pairs are gone if no pair of a lower rank arises
-    on the way or at the end. Else only the leftmost one is replaced, so any rank file gives the same tokens.
-    """
-
-    def state(text: Column, body) -> Column:
-        """body(text, parts, ranks of pairs), each evaluated once."""
-        numbers = lambda x: F.transform(F.split(x, ""), lambda c: F.ascii(c) - 1)
-        return let(text, lambda x: let(numbers(x), lambda c: let(pair_ranks(ranks, c), lambda m: body(x, c, m))))
-
-    def step(s: Column, _: Column) -> Column:
-        kept = lambda x, c, m: F.struct(x.alias("text"), c.alias("c"), m.alias("m"))
-
-        def merge(least: Column, at: Column) -> Column:
-            a, b = F.get(s["c"], at - 1), F.get(s["c"], at)
-            first = state(F.overlay(s["text"], least, at, F.lit(2)), kept)
-            sound = lambda m: (F.array_min(m) >= least) & (rank(ranks, F.ascii(least) - 1, a) >= least)
-            return state(F.replace(s["text"], F.concat(F.get(chars, a), F.get(chars, b)), least), lambda x, c, m: F.when(sound(m), kept(x, c, m)).otherwise(first))
-
-        return let(F.array_min(s["m"]), lambda least: F.when(least == NO_RANK, s).otherwise(let(F.array_position(s["m"], least).cast("int"), lambda at: merge(least, at))))
-
-    start = state(F.array_join(F.transform(parts, lambda p: F.get(chars, p)), ""), lambda x, c, m: F.struct(x.alias("text"), c.alias("c"), m.alias("m")))
-    return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start, step, lambda s: s["text"])
-
-
-def cut(batches: Iterator[pa.RecordBatch], pattern: str, ids: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def merged(word: bytes, ids: dict[bytes, int], tokens: list[bytes]) -> list[int]:
+    """The tokens that the fold gives, by a heap of pairs: in time n log n, for words of any length."""
+    parts = [ids[word[k : k + 1]] for k in range(len(word))]
+    before, after = [*range(-1, len(word) - 1)], [*range(1, len(word) + 1)]
+
+    def pair(k: int) -> tuple[int, int, int, int] | None:
+        """The pair that begins at a place, as rank, place and parts; None if it has no rank."""
+        a, b = parts[k], parts[after[k]] if after[k] < len(parts) else None
+        found = None if b is None else ids.get(tokens[a] + tokens[b])
+        return None if found is None else (found, k, a, b)
+
+    todo = [p for p in map(pair, range(len(parts))) if p]
+    heapify(todo)
+    while todo:
+        found, k, a, b = heappop(todo)
+        right = after[k]
+        # A pair whose parts have been merged into others is none any more.
+        if parts[k] != a or right >= len(parts) or parts[right] != b:
+            continue
+        parts[k], parts[right], after[k] = found, -1, after[right]
+        if after[k] < len(parts):
+            before[after[k]] = k
+        for at in (before[k], k):
+            if at >= 0 and (new := pair(at)):
+                heappush(todo, new)
+    return [x for x in parts if x >= 0]
+
+
+def cut(batches: Iterator[pa.RecordBatch], pattern: str, tokens: list[bytes], odd: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """Rows (row, text) to blocks (rows, places, words): the block's distinct words, and those of each text by place.
 
-    A word that is a token as a whole is that token; any other is its bytes' tokens.
+    A word is its bytes' tokens, which Spark folds. Those that can't be folded are DONE and their tokens: words of over
+    LONG_WORD bytes, and odd ones, which are a token as a whole though their parts merge to others.
     """
+    ids = {t: i for i, t in enumerate(tokens)}
     find, singles = regex.compile(pattern).findall, [ids[bytes([b])] for b in range(256)]
+
+    def parts(w: bytes) -> list[int]:
+        if w in odd:
+            return [DONE, odd[w]]
+        if len(w) > LONG_WORD:
+            return [DONE, ids[w]] if w in ids else [DONE, *merged(w, ids, tokens)]
+        return [singles[b] for b in w]
+
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def block() -> pa.RecordBatch:
-        words = pa.array(([ids[w]] if w in ids else [singles[b] for b in w] for w in map(str.encode, numbers)), pa.list_(pa.int32()))
+        words = pa.array(map(parts, map(str.encode, numbers)), pa.list_(pa.int32()))
         at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]), pa.int32()), pa.array(np.concatenate(places)))
         return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(at), one(words)], ["rows", "places", "words"])
 
@@ -160,7 +173,8 @@ class ByteBpe:
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
         self.pattern, self.tokens = pattern, read_ranks(rank_file)
         ids = {t: i for i, t in enumerate(self.tokens)}
-        self.ids = ids
+        # The tokenizer's library takes a word that is a token as that; nearly all tokens are what their bytes merge to.
+        self.odd = {t: i for t, i in ids.items() if merged(t, ids, self.tokens) != [i]}
         literal = {"maps": pa.array([rank_map(self.tokens)], pa.list_(pa.map_(pa.int32(), pa.string())))}
         literal["chars"] = pa.array([[chr(i + 1) for i in range(len(self.tokens))]], pa.list_(pa.string()))
         literal["codes"] = pa.array([[np.array(i, INDEX).tobytes() for i in range(len(self.tokens))]], pa.list_(pa.binary()))
@@ -174,17 +188,18 @@ class ByteBpe:
         """
         keep = [c for c in keep or df.columns if c.lower() != "ids"]
         kept = T.StructType([df.schema[c] for c in keep])
-        pattern, whole = self.pattern, self.ids
+        pattern, tokens, odd = self.pattern, self.tokens, self.odd
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
         numbers = T.ArrayType(T.IntegerType())
         blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(numbers)).add("words", T.ArrayType(numbers))
-        held = rows.mapInArrow(lambda batches: cut(batches, pattern, whole), blocks).select("*", self.literal.scalar().alias("literal"))
+        held = rows.mapInArrow(lambda batches: cut(batches, pattern, tokens, odd), blocks).select("*", self.literal.scalar().alias("literal"))
 
         def documents(t: Column) -> Column:
-            tokens = lambda w: F.when(F.size(w) > LONG_WORD, fold_long(w, t["maps"], t["chars"])).otherwise(fold(w, t["maps"], t["chars"]))
+            folded = lambda w: F.split(fold(w, t["maps"], t["chars"]), "")
             # Bytes are joined as strings, which Spark does not look into.
             text = lambda ids, piece: F.array_join(F.transform(ids, lambda i: piece(i)), "")
-            codes = F.transform("words", lambda w: text(F.split(tokens(w), ""), lambda c: F.get(t["codes"], F.ascii(c) - 1).cast("string")))
+            code = lambda i: F.get(t["codes"], i).cast("string")
+            codes = F.transform("words", lambda w: F.when(F.get(w, F.lit(0)) == DONE, text(F.slice(w, F.lit(2), F.size(w)), code)).otherwise(text(folded(w), lambda c: code(F.ascii(c) - 1))))
             return let(codes, lambda c: F.transform("places", lambda p: text(p, lambda i: F.get(c, i)).cast("binary")))
 
         encoded = held.select("rows", let(F.col("literal"), documents).alias("ids")).select(F.inline(F.arrays_zip("rows", "ids")))

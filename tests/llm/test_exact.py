@@ -72,6 +72,39 @@ def test_long_words_of_any_rank_file(spark, tmp_path):
         assert r["ids"] == struct.pack(f"<{len(wanted)}I", *wanted), r.text
 
 
+def test_long_words_take_time_in_proportion(spark, reference):
+    """Words without a blank, as in CJK or base64: exact, and near linear."""
+    import time
+
+    from corpusmill.llm import bpe
+
+    chance = np.random.default_rng(7)
+    word = lambda n: "".join(chance.choice(list("abcdefghijklmnopqrstuvwxyzé日"), n))
+    tokens, took = bpe.read_ranks(RANKS), []
+    ids = {t: i for i, t in enumerate(tokens)}
+    for n in (40_000, 200_000):
+        text = word(n)
+        began = time.perf_counter()
+        assert bpe.merged(text.encode(), ids, tokens) == reference.encode_ordinary(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * 1.8 * took[0]
+    letters = "".join(chance.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    whole = ByteBpe(spark, RANKS, public_tokenizers.PATTERN)
+    (row,) = whole.decode(whole.encode(spark.createDataFrame([(letters,)], "text string"))).collect()
+    expected = reference.encode_ordinary(letters)
+    assert row["ids"] == struct.pack(f"<{len(expected)}I", *expected) and bytes(row.decoded).decode() == letters
+
+
+def test_whole_token_words_are_what_their_bytes_merge_to(spark, reference):
+    """So the fold gives them: no token of the vocabulary is an exception."""
+    whole = ByteBpe(spark, RANKS, public_tokenizers.PATTERN)
+    assert len(whole.odd) < 10
+    texts = [t.decode() for t in whole.tokens if len(t) > 1 and t.decode("utf-8", "ignore").encode() == t][:20000]
+    for r in whole.encode(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        expected = reference.encode_ordinary(r.text)
+        assert r["ids"] == struct.pack(f"<{len(expected)}I", *expected)
+
+
 def test_token_query_digests(spark, small, reference):
     texts = {r.doc_id: r.text or "" for r in table(spark, small, "documents").collect()}
     got = queries.QUERIES["op1_byte_bpe"](spark, small).collect()
