@@ -2,7 +2,7 @@
 
 Unit vectors are turned to the principal axes of the whole table, so leading dimensions hold most of a product.
 Vectors of one label are dealt to slabs along the first axis, wide enough that links join the same or adjacent
-slabs only, and slabs to tiles of bounded size; each pair of tiles is one group. In a group, products are summed
+slabs only, and slabs to tiles of bounded size; each pair of tiles that come near enough is one group. In a group, products are summed
 over leading dimensions first, the rest is bounded by the norms of what remains, and pairs that cannot reach the
 threshold are dropped. A group gives counts of links and a spanning forest of them, never all pairs.
 """
@@ -23,6 +23,8 @@ from corpusmill.llm.vectors import matrix, usable
 THRESHOLD = 0.93
 #: Vectors in a tile, on average.
 TILE = 8192
+#: Further axes along which large slabs are cut, and axes of the boxes around tiles.
+AXES, BOX = 3, 8
 #: Rows of a tile that are compared at a time, which bounds the products held.
 ROWS = 512
 #: Dimensions summed between two rounds of pruning.
@@ -155,21 +157,34 @@ def compare(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
-def tiled(vectors: DataFrame, tile: int) -> DataFrame:
-    """Each vector once for every pair of tiles that it is in."""
-    sizes = vectors.groupBy("label", "length", "slab").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    sizes = written(sizes, "tile-sizes")
-    shifted = lambda by, name: sizes.select("label", "length", (F.col("slab") + by).alias("slab"), F.col("tiles").alias(name))
-    around = sizes.join(shifted(1, "before"), ["label", "length", "slab"], "left").join(shifted(-1, "after"), ["label", "length", "slab"], "left")
-    rows = vectors.join(around, ["label", "length", "slab"])
-    rows = rows.withColumn("tile", F.pmod(F.col("f2"), F.col("tiles")).cast("int"))
-    numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda slab, kind, i, j, first, second: F.struct(slab.alias("pair_slab"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), first.alias("first"), second.alias("second"))
-    slab, own, yes, no = F.col("slab"), F.col("tile"), F.lit(True), F.lit(False)
-    within = F.transform(numbers(F.col("tiles")), lambda x: pair(slab, "same", F.least(x, own), F.greatest(x, own), own <= x, own >= x))
-    onward = F.transform(numbers(F.col("after")), lambda x: pair(slab, "next", own, x, yes, no))
-    backward = F.transform(numbers(F.col("before")), lambda x: pair(slab - 1, "next", x, own, no, yes))
-    return rows.select(*CARRIED, "vector", F.inline(F.concat(within, onward, backward)))
+def tiled(vectors: DataFrame, tile: int, width: float) -> DataFrame:
+    """Each vector once for every pair of tiles that it is in and that may hold a link.
+
+    A slab of more than two tiles is cut along more axes into cells, which are cut into tiles of bounded size. The boxes
+    around tiles tell how near two of them come, so pairs that are farther apart than any link is are never exchanged.
+    """
+    slab, cells = ["label", "length", "slab"], [f"c{k}" for k in range(AXES)]
+    of = [*slab, *cells, "tile"]
+    sizes = vectors.groupBy(*slab).agg(F.count(F.lit(1)).alias("n"))
+    depth = F.when(F.col("n") > 2 * tile, F.least(F.lit(AXES), F.ceil(F.log(F.col("n") / tile) / F.log(F.lit(4.0))))).otherwise(0)
+    sizes = written(sizes.select(*slab, depth.cast("int").alias("depth")), "slab-sizes")
+    rows = vectors.join(sizes, slab)
+    rows = rows.withColumns({c: F.when(F.col("depth") > k, F.coalesce(F.floor(F.get("vector", F.lit(k + 1)) / width), F.lit(0))).otherwise(0).cast("int") for k, c in enumerate(cells)})
+    counts = written(rows.groupBy(*slab, *cells).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "tile-sizes")
+    rows = rows.join(counts, [*slab, *cells]).withColumn("tile", F.pmod(F.col("f2"), F.col("tiles")).cast("int"))
+    side = lambda least: F.array(*[(F.min if least else F.max)(F.get("vector", F.lit(k))) for k in range(BOX)])
+    boxes = written(rows.groupBy(*of).agg(side(True).alias("low"), side(False).alias("high")).withColumn("t", F.monotonically_increasing_id()), "tile-boxes")
+    a, b = boxes.select(*slab, F.col("t").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), boxes.select(*slab, F.col("t").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    both = a.join(b, slab).where("a <= b").unionByName(a.join(b.withColumn("slab", F.col("slab") - 1), slab))
+    gap = lambda k: F.greatest(F.lit(0.0), F.get("a_low", F.lit(k)) - F.get("b_high", F.lit(k)), F.get("b_low", F.lit(k)) - F.get("a_high", F.lit(k)))
+    apart = F.lit(0.0)
+    for k in range(BOX):
+        apart = apart + gap(k) * gap(k)
+    pairs = both.where(apart <= width * width).select("a", "b", F.monotonically_increasing_id().alias("pair"))
+    member = lambda t, first, second: F.struct(F.col(t).alias("t"), F.lit(first).alias("first"), F.lit(second).alias("second"))
+    members = F.when(F.col("a") == F.col("b"), F.array(member("a", True, True))).otherwise(F.array(member("a", True, False), member("b", False, True)))
+    members = written(pairs.select("pair", F.inline(members)), "tile-pairs")
+    return rows.join(boxes.select(*of, "t"), of).join(members, "t").select(*CARRIED, "vector", "pair", "first", "second")
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -192,7 +207,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     slabs = copies.select(*CARRIED, "vector").mapInArrow(
         lambda batches: turned(batches, axes, width), f"f1 long, f2 long, rep long, copies long, label {kinds['label']}, length int, own {kinds['own']}, slab int, vector array<double>"
     )
-    pairs = tiled(written(slabs, "dedup-turned"), tile).groupBy("label", "length", "pair_slab", "kind", "i", "j")
+    pairs = tiled(written(slabs, "dedup-turned"), tile, width).groupBy("pair")
     found = written(pairs.applyInArrow(lambda group: compare(group, threshold), "f1 long, f2 long, links long, a long, b long"), "dedup-links")
 
     links = found.where("links is not null").groupBy("f1", "f2").agg(F.sum("links").alias("links"))

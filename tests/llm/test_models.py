@@ -163,6 +163,23 @@ def test_vector_classes_equal_plain_ones(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, vector array<float>, label int")).count() == 0
 
 
+def test_far_tiles_are_not_exchanged(spark):
+    """Vectors in clusters: what is exchanged grows far below the square of their number."""
+    chance = np.random.default_rng(5)
+    centres = chance.normal(size=(60, 16))
+
+    def exchanged(n):
+        x = centres[np.arange(n) % 60] + chance.normal(size=(n, 16)) * 0.1
+        x = x @ np.linalg.svd(x, full_matrices=False)[2].T
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        width = float(np.sqrt(2 - 2 * 0.93)) + 1e-6
+        df = spark.createDataFrame([(k, k * 7919, k, 1, 1, 16, r.tolist(), int(np.floor(r[0] / width)), r.tolist()) for k, r in enumerate(x)], "f1 long, f2 long, rep long, copies long, label int, length int, own array<double>, slab int, vector array<double>")
+        return vector_dedup.tiled(df, 50, width).count()
+
+    small_, large = exchanged(1500), exchanged(6000)
+    assert large < 9 * small_ and large < 6000 * 6000 / 50 / 4
+
+
 def test_languages_of_pages_and_documents(spark, small):
     got = langid.op2_language_id(spark, small).toPandas()
     assert len(got) == table(spark, small, "documents").count() + table(spark, small, "pages").count()
