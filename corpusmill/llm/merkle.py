@@ -271,3 +271,53 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = Manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": F.coalesce(bare, "text")})
     rows = manifest.proofs().withColumn("folded_root", folded(F.coalesce("other", "leaf"), F.col("proof")))
     return rows.select(F.col("order").alias("doc_id"), "leaf", "subroot", "root", siblings(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def sql_levels(nodes: str, name: str, levels: int) -> tuple[list[str], str]:
+    """Common table expressions of a tree over a relation (g, i, d: group, place, digest), and the name of its last level; a
+    group that has come to its root stays."""
+    steps = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM ({nodes}))"]
+    for k in range(levels):
+        up = f"SELECT g, CASE WHEN c > 1 THEN i // {ARITY} ELSE i END AS i, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(d, '' ORDER BY {name}{k}.i)) ELSE any_value(d) END AS d FROM {name}{k} GROUP BY g, CASE WHEN c > 1 THEN i // {ARITY} ELSE i END"
+        steps.append(f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM ({up}))")
+    return steps, f"{name}{levels}"
+
+
+def sql_paths(name: str, state: str, levels: int) -> tuple[list[str], str]:
+    """Common table expressions that take states (doc_id, leaf, g, i, proof, fold) up a tree, level by level."""
+    steps = []
+    for k in range(levels):
+        of = lambda sign: f"(SELECT coalesce(string_agg(d, '' ORDER BY n.i), '') FROM {name}{k} n WHERE n.g = s.g AND n.i // {ARITY} = s.i // {ARITY} AND n.i {sign} s.i)"  # noqa: B023, E731
+        around = f"SELECT s.*, (SELECT any_value(n.c) FROM {name}{k} n WHERE n.g = s.g) AS c, {of('<')} AS l, {of('>')} AS r FROM {state} s"
+        state = f"{name}p{k + 1}"
+        steps.append(f"{state} AS (SELECT doc_id, leaf, g, CASE WHEN c > 1 THEN i // {ARITY} ELSE i END AS i, proof || CASE WHEN c > 1 THEN l || r ELSE '' END AS proof, CASE WHEN c > 1 THEN sha256(l || fold || r) ELSE fold END AS fold FROM ({around}))")
+    return steps, state
+
+
+def sql_op12(source_levels: int = 9, root_levels: int = 4) -> str:
+    """The manifest in SQL, for groups of 3^9 documents and 3^4 groups at most; CRC-32 bit by bit."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ["doc_id", '"source"', "lang", "n_chars", text])) + ")"
+    shift = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = "xor(x, CAST(ord(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS INTEGER), 1)) AS BIGINT))"
+    # One step for each bit: a byte goes in before its first one.
+    crc = f"""list_reduce(list_prepend(4294967295, range(CAST(8 * length(CAST(doc_id AS VARCHAR)) AS BIGINT))), lambda x, k: {shift.replace("c ", f"(CASE WHEN k % 8 = 0 THEN {byte} ELSE x END) ")})"""
+    trees, top = sql_levels("SELECT g, i, d FROM placed", "t", source_levels)
+    sources = f"SELECT 'all' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS own FROM {top}"
+    roots, last = sql_levels("SELECT g, i, d FROM sources", "r", root_levels)
+    inner, done = sql_paths("t", "begun", source_levels)
+    outer, end = sql_paths("r", "onward", root_levels)
+    steps = [
+        f"docs AS (SELECT *, coalesce('+' || \"source\", '') AS g, {leaf('text')} AS d, {leaf('''replace(text, chr(10), '')''')} AS other, xor({crc}, 4294967295) & 1 = 0 AS even FROM documents)",
+        "placed AS (SELECT doc_id, g, d, CASE WHEN even THEN other ELSE d END AS fold, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM docs)",
+        *trees, f"sources AS ({sources})", *roots,
+        "begun AS (SELECT doc_id, d AS leaf, g, i, '' AS proof, fold FROM placed)", *inner,
+        f"onward AS (SELECT doc_id, leaf, 'all' AS g, s.i, proof, fold FROM {done} p JOIN sources s ON s.own = p.g)", *outer,
+        f"subs AS (SELECT p.doc_id, p.leaf, s.d AS subroot FROM {done} p JOIN sources s ON s.own = p.g)",
+    ]
+    return f"""WITH {", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}
+SELECT e.doc_id, e.leaf, subroot, (SELECT any_value(d) FROM {last}) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT any_value(d) FROM {last}) AS verified
+FROM {end} e JOIN subs USING (doc_id, leaf)"""
+
+
+OP12_SQL = sql_op12()

@@ -6,7 +6,7 @@ from corpusmill.llm.alignment import op11_alignment
 from corpusmill.llm.bpe import op1_byte_bpe
 from corpusmill.llm.chat import OP10_SQL, op10_chat_formatting
 from corpusmill.llm.langid import op2_language_id
-from corpusmill.llm.merkle import op12_merkle
+from corpusmill.llm.merkle import OP12_SQL, op12_merkle
 from corpusmill.llm.mixing import OP6_SQL, op6_mixing
 from corpusmill.llm.quality import op9_quality_classifier
 from corpusmill.llm.secrets import op5_secret_scans
@@ -36,5 +36,6 @@ ORACLES = {
     "op3_exact_topk": OP3_SQL,
     "op6_mixing": OP6_SQL,
     "op10_chat_formatting": OP10_SQL,
+    "op12_merkle": OP12_SQL,
     "op13_url_filters": OP13_SQL,
 }
