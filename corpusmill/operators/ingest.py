@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +68,16 @@ class HashedEmbedder:
         def run(column: pa.Array) -> pa.Array:
             import xxhash
 
-            out = []
-            for x in column.to_pylist():
-                v = [0.0] * size
-                for w in (x or "").lower().split():
-                    h = xxhash.xxh64_intdigest(w)
-                    v[h % size] += 1.0 if h >> 63 else -1.0
-                norm = math.sqrt(sum(y * y for y in v)) or 1.0
-                out.append([y / norm for y in v])
-            return pa.array(out, pa.list_(pa.float32()))
+            words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(column, "")))
+            flat = pc.list_flatten(words).dictionary_encode()
+            # A word of the batch is hashed once; the split leaves empty ones at the ends of a text, which count for nothing.
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()] or [0], np.uint64)
+            signs = np.where(hashes >> np.uint64(63), 1.0, -1.0) * np.array([w != "" for w in flat.dictionary.to_pylist()] or [False])
+            at, rows = flat.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            sums = np.bincount(rows * size + (hashes % np.uint64(size)).astype(np.int64)[at], signs[at], len(column) * size).reshape(-1, size)
+            norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+            values = (sums / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+            return pa.ListArray.from_arrays(pa.array(range(0, values.size + 1, size), pa.int32()), values.ravel())
 
         return F.arrow_udf(run, "array<float>")(text)
 

@@ -103,6 +103,21 @@ def test_ingest_resumes_and_serves(spark, tmp_path):
     raise AssertionError
 
 
+def test_hashed_vectors_are_those_of_each_text(spark):
+    import math
+
+    import xxhash
+
+    texts = ["Some words some", "", None, "  words\n\tsome ", "é " * 300, "one"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ingest.HashedEmbedder(8).embed(F.col("t")).alias("v")).orderBy("k").collect()
+    for r, text in zip(got, texts, strict=True):
+        v = [0.0] * 8
+        for h in (xxhash.xxh64_intdigest(w) for w in (text or "").lower().split()):
+            v[h % 8] += 1.0 if h >> 63 else -1.0
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert all(abs(a - b / norm) < 1e-6 for a, b in zip(r.v, v, strict=True))
+
+
 def test_postings_agree_with_direct_bm25(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as id", "text")
     built = retrieval.postings(docs).where("term = 'the'")
