@@ -17,6 +17,8 @@ from corpusmill.sources import publish, registry
 from corpusmill.sources.index import Index
 
 PREFIX, MOST_TOKENS = 1000, 8000
+#: Characters of excerpts that an answering provider is shown at once.
+CONTEXT = 12_000
 POINT = "id string, prompt_id string, source string, text string, dense array<float>, technique string"
 
 #: Words that the offline classifier takes as a sign of a technique.
@@ -95,9 +97,37 @@ class Overlap:
         return found.withColumn("score", F.round(F.size(F.array_intersect(asked, have)) / F.greatest(F.size(asked), F.lit(1)), 6))
 
 
-def extract_answer(excerpts: Iterable[str], words: int = 300) -> str:
-    """An extractive stand-in for a written answer: the excerpts shown, cut to so many words."""
-    return " ".join(" ".join(excerpts).split()[:words])
+def packed(excerpts: Iterable[str], most: int = CONTEXT) -> list[str]:
+    """Excerpts as contexts of at most so many characters each; an excerpt that is longer by itself is one."""
+    contexts: list[str] = []
+    for x in excerpts:
+        if contexts and len(contexts[-1]) + 1 + len(x) <= most:
+            contexts[-1] += " " + x
+        else:
+            contexts.append(x)
+    return contexts
+
+
+@dataclass
+class Extractive:
+    """A stand-in for a model that writes answers: the words of the contexts, up to a limit."""
+
+    words: int = 300
+
+    def answer(self, query: str, context: str) -> str:
+        return " ".join(context.split()[: self.words])
+
+    def refine(self, query: str, answer: str, context: str) -> str:
+        return self.answer(query, f"{answer} {context}")
+
+
+def synthesize(query: str, excerpts: Iterable[str], provider=None) -> str:
+    """An answer from excerpts: a provider answers from the first context, and refines that with each further one."""
+    provider, contexts = provider or Extractive(), packed(excerpts)
+    found = provider.answer(query, contexts[0]) if contexts else ""
+    for context in contexts[1:]:
+        found = provider.refine(query, found, context)
+    return found
 
 
 def classify(records: DataFrame, provider=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from corpusmill.functions import text as T
 from corpusmill.sources import publish
 from corpusmill.sources.registry import UNKNOWN
 
+logger = logging.getLogger(__name__)
 DEPTH, SHOWN = 20, 5
 #: Folders of stored postings, and tasks that write each.
 BUCKETS, SPREAD = 64, 4
@@ -201,6 +203,15 @@ def search(index: DataFrame, query_text: str, query_vector: list[float], provide
     return cards(found.orderBy(F.desc("score"), "id").limit(n))
 
 
+def retrieve(index: DataFrame, query_text: str, query_vector: list[float], **how) -> list[dict]:
+    """The cards of search(), as rows; whatever goes wrong is logged, and then there are none."""
+    try:
+        return [r.asDict() for r in search(index, query_text, query_vector, **how).collect()]
+    except Exception:  # noqa: BLE001 - a caller of a service gets an empty answer
+        logger.exception("retrieval failed")
+        return []
+
+
 def cards(found: DataFrame) -> DataFrame:
     return found.select(
         F.coalesce("prompt_id", F.lit("")).alias("id"), T.word_excerpt(F.col("text")).alias("prompt_excerpt"), F.coalesce("technique", F.lit(UNKNOWN)).alias("technique"),

@@ -96,6 +96,13 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(retrieval.ranked(dense_of(spark, sf_dir), "dense"), retrieval.ranked(sparse_topk_bm25(spark, sf_dir), "sparse"))
 
 
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sparse search finds, scored again by the share of the query's words that a text has."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = docs.join(F.broadcast(sparse_topk_bm25(spark, sf_dir)), "id")
+    return ingest.Overlap().rerank(found, " ".join([*ASKED, "absent"])).select("id", "score")
+
+
 def hybrid_search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = index(spark, sf_dir)
     return retrieval.search(both, " ".join(ASKED), asked_vector(spark, sf_dir), stored=stored(spark, sf_dir, "indexed", both.select("id", "text"), "documents", "embeddings"))
@@ -162,6 +169,7 @@ QUERIES = {
     "dense_topk_clusters_filtered": dense_topk_clusters_filtered,
     "sparse_topk_bm25": sparse_topk_bm25,
     "rrf_fusion": rrf_fusion,
+    "rerank_overlap": rerank_overlap,
     "hybrid_search_cards": hybrid_search_cards,
     "confidence_buckets": confidence_buckets,
     "prompt_lookup": prompt_lookup,
@@ -239,6 +247,9 @@ ORACLES = {
     "dense_topk_clusters_filtered": SQL_DENSE.replace("WHERE TRUE", "WHERE label = 3"),
     "sparse_topk_bm25": sql_sparse(),
     "rrf_fusion": sql_fused(),
+    "rerank_overlap": rf"""
+SELECT doc_id AS id, round(len(list_intersect([{", ".join(f"'{w}'" for w in ASKED)}, 'absent'], regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'))) / {len(ASKED) + 1}, 6) AS score
+FROM documents WHERE doc_id IN (SELECT id FROM ({sql_sparse()}))""",
     "hybrid_search_cards": f"""
 SELECT CAST(id AS VARCHAR) AS id, {sql_word_excerpt("text")} AS prompt_excerpt, CAST(label AS VARCHAR) AS technique, source, {CONFIDENCE} AS confidence, score AS confidence_score
 FROM ({sql_fused(INDEXED, SQL_DENSE.replace("WHERE TRUE", "WHERE vec_id IN (SELECT doc_id FROM documents)"))}) JOIN documents ON id = doc_id JOIN embeddings ON id = vec_id

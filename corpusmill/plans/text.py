@@ -28,6 +28,8 @@ def sql_unescape(x: str) -> str:
     return x
 
 
+#: Items that a merged array holds.
+MOST_MERGED = 5
 #: Documents that make one long text.
 TOGETHER = 20
 #: Characters of a page between two edges.
@@ -129,6 +131,13 @@ def evidence_merge_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("category", F.array_join("supporting_sample_ids", ",").alias("ids"), listed.alias("sources"), "support_count")
 
 
+def merge_distinct_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a part's type and then of its name, in order, without repeats, MOST_MERGED at most."""
+    words = lambda c: T.cleaned_traits(F.split(F.lower(c), " "))
+    both = T.merged(words(F.concat_ws(" ", "p_type", "p_brand", "p_type")), words(F.concat_ws(" ", "p_name", "p_type", "p_name")), MOST_MERGED)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(both, "|").alias("words"))
+
+
 QUERIES = {
     "normalize_pages_text": pages_text,
     "normalize_edge_cases": edge_cases,
@@ -144,10 +153,15 @@ QUERIES = {
     "oversize_guard": oversize_guard,
     "resume_left_anti": resume_left_anti,
     "evidence_merge_arrays": evidence_merge_arrays,
+    "merge_distinct_capped": merge_distinct_capped,
 }
 
 KIND = "CASE WHEN doc_id % 11 = 0 THEN 'malformed' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'invalid_canonical' WHEN doc_id % 23 = 0 THEN 'blank' WHEN doc_id % 19 = 0 THEN 'invalid_canonical' WHEN doc_id % 5 = 0 THEN 'non_string' WHEN doc_id % 7 = 0 THEN 'empty_text' WHEN " + sql_strip("text") + " = '' THEN 'empty_text' END"
 ORACLES = {
+    "merge_distinct_capped": f"""
+WITH w AS (SELECT p_partkey, list_filter(string_split(lower(p_type || ' ' || p_brand || ' ' || p_type || ' ' || p_name || ' ' || p_type || ' ' || p_name), ' '), lambda t: t <> '') AS l FROM part),
+d AS (SELECT p_partkey, list_filter(l, lambda t, i: list_position(l, t) = i) AS l FROM w)
+SELECT p_partkey, array_to_string(l[1:{MOST_MERGED}], '|') AS words FROM d""",
     "normalize_pages_text": f"SELECT page_id, {sql_clean(sql_unescape('html'))} AS text FROM pages",
     "normalize_edge_cases": f"SELECT page_id, n, {sql_clean('raw')} AS text FROM (SELECT page_id, CAST(n AS BIGINT) AS n, edge || substr(html, 1, {PIECE}) || edge AS raw FROM pages, (VALUES {', '.join(f'({n}, {sql_edge(e)})' for n, e in enumerate(EDGES))}) AS t(n, edge))",
     "normalize_skip_accounting": f"""

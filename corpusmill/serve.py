@@ -23,6 +23,7 @@ class Service:
     postings: retrieval.Postings | None = None
     embedder: object = field(default_factory=ingest.HashedEmbedder)
     reranker: object | None = field(default_factory=ingest.Overlap)
+    synthesizer: object = field(default_factory=ingest.Extractive)
     clock: object = time.monotonic
     _counts: tuple[float, list] | None = None
 
@@ -38,7 +39,7 @@ class Service:
         counts: dict[str, int] = {}
         for r in rows:
             counts[r["technique"]] = counts.get(r["technique"], 0) + 1
-        answer = ingest.extract_answer(r["prompt_excerpt"] for r in rows)
+        answer = ingest.synthesize(query, (r["prompt_excerpt"] for r in rows), self.synthesizer)
         return {"answer": answer, "results": rows, "technique_breakdown": counts, "result_count": len(rows), "query_type": "semantic"}
 
     def categories(self, hide_empty: bool = False) -> list[dict]:

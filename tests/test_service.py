@@ -103,6 +103,25 @@ def test_ingest_resumes_and_serves(spark, tmp_path):
     raise AssertionError
 
 
+def test_answers_are_refined_context_by_context():
+    class Told:
+        def answer(self, query, context):
+            return f"{query}:{len(context)}"
+
+        def refine(self, query, answer, context):
+            return f"{answer},{len(context)}"
+
+    assert ingest.packed(["a" * 5000, "b" * 5000, "c" * 5000, "d" * 20000, "e"]) == ["a" * 5000 + " " + "b" * 5000, "c" * 5000, "d" * 20000, "e"]
+    assert ingest.synthesize("q", ["a" * 5000, "b" * 5000, "c" * 5000], Told()) == "q:10001,5000"
+    assert ingest.synthesize("q", ["one two", "three"], ingest.Extractive(2)) == "one two" and ingest.synthesize("q", []) == ""
+
+
+def test_retrieval_that_fails_is_empty(spark):
+    index = spark.createDataFrame([("a", "p", "s", "Unknown", "some words", [1.0, 0.0])], "id string, prompt_id string, source string, technique string, text string, dense array<float>")
+    assert [r["id"] for r in retrieval.retrieve(index, "words", [1.0, 0.0])] == ["p"]
+    assert retrieval.retrieve(index.drop("text"), "words", [1.0, 0.0]) == []
+
+
 def test_hashed_vectors_are_those_of_each_text(spark):
     import math
 
