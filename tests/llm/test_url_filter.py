@@ -34,7 +34,7 @@ def plain(url, addresses, patterns):
 
 
 ADDRESSES = [*url_filter.ADDRESSES, ("Example.net", "/a/b/", True), ("example.net", "/a/b/", False), ("net", "/a/b/c", False), ("x.y.example.net", "", True), (None, "/", True), ("org", None, True), ("", "/empty", True)]
-PATTERNS = [*url_filter.PATTERNS, "a*b*c/", "*", "@@*", "^en^", "ad", "||m.", "|http://blog.", "(x)[y]{2}+$|", "?utm_source=feed|", "É-ads-", None, "||EXAMPLE.net/ban"][0:17] + ["a*b*zz/", "^en^q", "ad^x", "||m.q", "|http://blog.q", "(x)[y]{2}+$|", "?utm_source=spam|", "É-ads-", None, "||EXAMPLE.net/ban", "@@safe", "\\back.slash", "a|b/c"]
+PATTERNS = [*url_filter.PATTERNS, "a*b*zz/", "^en^q", "ad^x", "||m.q", "|http://blog.q", "(x)[y]{2}+$|", "?utm_source=spam|", "É-ads-", None, "||EXAMPLE.net/ban", "@@safe", "\\back.slash", "a|b/c"]
 URLS = [
     None, "", "no host", "://", "http://", "HTTP://WWW.Example.ORG/es/x?y#z", "https://a.b.example.org/en/1", "https://example.org", "http://org/", "http://borg/x", "http://sub.com/fr/..?q=/de/", "http://com/de/",
     "http://example.net/a/b/", "http://example.net/a/b/c", "http://q.x.y.example.net?host", "http://x.y.example.net#f", "ftp://host/file", "http://h/file.EXE", "http://h/file.exe?x", "http://cdn.docs.site/casino-guide",
