@@ -110,9 +110,6 @@ class Clusters:
         gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), center))) - F.col("radius")
         bounds = clusters.select("range", F.cos(F.greatest(F.lit(0.0), gap)).alias("bound"))
 
-        def scores(ranges: DataFrame) -> DataFrame:
-            some = [r["range"] for r in ranges.collect()]  # at most MOST_CLUSTERS numbers, which choose folders
-            return retrieval.dense(points.where(F.col("cluster").isin(some)), query, k)
-
-        best, read = retrieval.best_first(spark, bounds, scores, k, shape)
-        return best, {"clusters": clusters.count(), "read": read}
+        # At most MOST_CLUSTERS numbers, fewer than best_first() holds, which choose folders.
+        best, n, read = retrieval.best_first(spark, bounds, lambda some: retrieval.dense(points.where(F.col("cluster").isin(some)), query, k), k, shape)
+        return best, {"clusters": n, "read": read}

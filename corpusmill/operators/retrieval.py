@@ -20,7 +20,7 @@ BUCKETS, SPREAD = 64, 4
 K1, B, RRF = 1.2, 0.75, 60
 #: Documents of a range are 2 to this; ranges that are read first, how many times more each time, and up to which number
 #: all tasks may know them. Scores are rounded to 6 digits, so bounds are compared with some slack.
-RANGE_BITS, FIRST, GROWTH, BROADCAST_RANGES, SLACK = 6, 8, 4, 1_000_000, 2e-6
+RANGE_BITS, FIRST, GROWTH, HELD, BROADCAST_RANGES, SLACK = 6, 8, 4, 5000, 1_000_000, 2e-6
 #: Goes into the key of stored postings: another layout, or other terms, are another index.
 LAYOUT = 2
 
@@ -99,16 +99,17 @@ class Postings:
         idf = F.lit(0.0)
         for term, df in seen.items():
             idf = F.when(F.col("term") == term, math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))).otherwise(idf)
-        bounds = publish.kept(found.groupBy("range").agg(F.sum(idf * F.col("most")).alias("bound")), "ranges-bounds")
+        bounds = found.groupBy("range").agg(F.sum(idf * F.col("most")).alias("bound"))
         allowed = None if ids is None else ids.select("id").distinct()
 
-        def scores(ranges: DataFrame) -> DataFrame:
-            each = found.join(ranges, "range", "left_semi").select(idf.alias("idf"), F.explode("docs").alias("d")).select("d.id", (F.col("idf") * F.col("d.weight")).alias("part"))
+        def scores(ranges: list | DataFrame) -> DataFrame:
+            some = found.where(F.col("range").isin(ranges)) if isinstance(ranges, list) else found.join(ranges, "range", "left_semi")
+            each = some.select(idf.alias("idf"), F.explode("docs").alias("d")).select("d.id", (F.col("idf") * F.col("d.weight")).alias("part"))
             each = each if allowed is None else each.join(allowed, "id", "left_semi")
             return each.groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
 
-        best, read = best_first(spark, bounds, scores, k, out)
-        return best, {"ranges": bounds.count(), "read": read}
+        best, ranges, read = best_first(spark, bounds, scores, k, out)
+        return best, {"ranges": ranges, "read": read}
 
 
 def shape_of(kind) -> str:
@@ -120,28 +121,35 @@ def stored_shape(spark: SparkSession, path: str) -> str:
     return shape_of(spark.read.parquet(f"{path}/shape").schema["id"].dataType)
 
 
-def best_first(spark: SparkSession, bounds: DataFrame, scores, k: int, shape: str) -> tuple[DataFrame, int]:
-    """The k best of what scores(parts) gives (id, score rounded to 6 digits) over all parts, and how many parts were read.
+def best_first(spark: SparkSession, bounds: DataFrame, scores, k: int, shape: str) -> tuple[DataFrame, int, int]:
+    """The k best of what scores(parts) gives (id, score rounded to 6 digits) over all parts, how many parts there are, and
+    how many were read.
 
     bounds: (range, bound), a score that no point of the range exceeds. Parts are taken in order of their bounds, FIRST of
-    them and then GROWTH times as many each time; when the kth score is above all bounds left, the rest goes unread.
-    Only the k best and, of parts, the last bound come to the driver.
+    them and then GROWTH times as many each time; when the kth score is above all bounds left, the rest goes unread. Up
+    to HELD bounds come to the driver, and parts are a list, which goes down into the scan; of more bounds only the last
+    one taken does, and parts are a table.
     """
     best: list[tuple] = []
-    step, read, last = FIRST, 0, None
+    better = lambda rows: sorted([*best, *map(tuple, rows)], key=lambda r: (-r[1], r[0]))[:k]
+    found = lambda parts: scores(parts).orderBy(F.desc("score"), "id").limit(k).collect()
+    least = lambda: best[-1][1] - SLACK if len(best) == k else -math.inf
+    held, step, read = bounds.orderBy(F.desc("bound"), "range").limit(HELD + 1).collect(), FIRST, 0
+    if len(held) <= HELD:
+        while taken := [r["range"] for r in held[read : read + step] if r["bound"] >= least()]:
+            best, read, step = better(found(taken)), read + len(taken), step * GROWTH
+        return spark.createDataFrame(best, shape), len(held), read
+    bounds, last = publish.kept(bounds, "ranges-bounds"), None
     while True:
         left = bounds if last is None else bounds.where((F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & (F.col("range") > last["range"])))
-        if len(best) == k:
-            left = left.where(F.col("bound") >= best[-1][1] - SLACK)
-        taken = publish.kept(left.orderBy(F.desc("bound"), "range").limit(step), "ranges-taken")
+        taken = publish.kept(left.where(F.col("bound") >= least()).orderBy(F.desc("bound"), "range").limit(step), "ranges-taken")
         n = taken.count()
         if n:
-            rows = scores(F.broadcast(taken.select("range")) if n <= BROADCAST_RANGES else taken.select("range")).orderBy(F.desc("score"), "id").limit(k).collect()
-            best = sorted([*best, *map(tuple, rows)], key=lambda r: (-r[1], r[0]))[:k]
+            best = better(found(F.broadcast(taken.select("range")) if n <= BROADCAST_RANGES else taken.select("range")))
             last = taken.orderBy("bound", F.desc("range")).first()
         read += n
         if n < step:
-            return spark.createDataFrame(best, shape), read
+            return spark.createDataFrame(best, shape), bounds.count(), read
         step *= GROWTH
 
 
