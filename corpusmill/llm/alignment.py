@@ -29,6 +29,8 @@ from corpusmill.llm.common import table, written
 PART_BYTES = 2 << 20
 #: Segments of texts whose tokens a task remembers, and how many are encoded at a time.
 SEGMENTS, ENCODED = 400_000, 2048
+#: Longer segments of ASCII go to A's own library, as the faster one fails at a million blanks in a row.
+LONG_SEGMENT = 100_000
 #: Pairs whose counts every task holds (13 bytes each): the commonest ones; documents that have others are joined to them.
 HEAD = 1 << 20
 #: Bins of counts for each doubling.
@@ -36,7 +38,8 @@ BINS = 8
 #: White space of SentencePiece (fixed value).
 BLANK = "▁"
 #: Between a visible ASCII character and a blank neither tokenizer merges: A's pattern starts anew at a blank after
-#: other than white space, and B has no piece with a blank after something else (else its texts stay whole).
+#: other than white space, and B has no piece with a blank after something else (else its texts stay whole). A blank that
+#: ends a text stays with what is before it, as B puts no blank before an empty text.
 CUT = r"([!-~]) "
 #: Characters of which one that no text of a part has marks the cuts; if they have all, the texts stay whole.
 MARKS = [chr(k) for k in range(1, 9)]
@@ -82,7 +85,7 @@ class ByteLevel:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row, and the number of each."""
-        plain = np.array([bool(self.ascii) and t.isascii() and "!" <= t[-1] <= "~" for t in texts], bool)
+        plain = np.array([bool(self.ascii) and len(t) <= LONG_SEGMENT and t.isascii() and "!" <= t[-1] <= "~" for t in texts], bool)
         others = self.library.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         rest, n_rest = in_a_row([x.ids for x in others])
         if not plain.any():
@@ -178,7 +181,8 @@ class Aligner:
         empty, whole = pc.equal(texts, ""), pc.binary_join_element_wise("", texts, " ")
         mark = next((c for c in MARKS if not pc.any(pc.match_substring(texts, c)).as_py()), None)
         if self.cuts and mark:
-            lists = pc.split_pattern(pc.replace_substring_regex(whole, CUT, rf"\1{mark} "), mark)
+            marked = pc.replace_substring_regex(whole, CUT, rf"\1{mark} ")
+            lists = pc.split_pattern(pc.replace_substring_regex(marked, rf"{mark} \z", " "), mark)
         else:
             lists = pa.ListArray.from_arrays(pa.array(range(len(whole) + 1), pa.int32()), whole)
         n = np.where(empty, 0, pc.list_value_length(lists)).astype(np.int64)

@@ -104,6 +104,21 @@ def test_repeated_rows_each_have_a_row_and_count(spark, make_docs, libraries):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted(plain(libraries, texts))
 
 
+def test_texts_that_end_in_one_blank_after_ascii_have_their_tokens(spark, make_docs, libraries):
+    texts = ["a ", "the water of time ", "x  ", "é ", "été y ", "日本 .  z ", "one two\n", " ", "the water of time"]
+    got = alignment.Alignment(spark, A, B).align(make_docs(list(enumerate(texts))), keep=["doc_id"]).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in COLUMNS) for r in got] == plain(libraries, texts)
+    assert all(r.n_a for r in got)
+
+
+def test_a_million_blanks_in_a_row_are_encoded(libraries):
+    with open(A, encoding="utf-8") as f:
+        fast = alignment.ByteLevel(f.read())
+    text = " x" + " " * 1_200_000 + "y"
+    ids, n = fast.encode([text, " z"])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in libraries[0].encode_batch([text, " z"], add_special_tokens=False)]
+
+
 def test_both_libraries_of_a_cut_ascii_alike(libraries):
     """Every token's text, and all short strings of the characters on which notions of white space might differ."""
     with open(A, encoding="utf-8") as f:
