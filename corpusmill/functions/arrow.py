@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -18,6 +20,14 @@ def _each(function, kind=None):
     return run
 
 
+#: Entities that end in a semicolon.
+CLOSED = re.compile("&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+def _closed(text: str) -> str:
+    return CLOSED.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or m[1] in html5 else m[0], text)
+
+
 def _canonical(text: str) -> str | None:
     try:
         return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -117,6 +127,8 @@ def _serialized(source: pa.Array, name: pa.Array, row: pa.Array, fields: pa.Arra
 canonical_line, canonical_entries = _lines(False), _lines(True)
 record_line = F.arrow_udf(_serialized, T.StringType())
 html_unescape = F.arrow_udf(_each(html.unescape), T.StringType())
+#: The same of entities that end in a semicolon; html.unescape takes some names without one too.
+closed_unescape = F.arrow_udf(_each(_closed), T.StringType())
 #: Sorted keys, compact, non-ASCII kept; null if the text isn't JSON.
 canonical_json = F.arrow_udf(_each(_canonical), T.StringType())
 canonical_status = F.arrow_udf(_each(_status), T.StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import canonical_json, html_unescape
+from corpusmill.functions.arrow import canonical_json, closed_unescape, html_unescape
 
 #: Python's white space as a Java character class (fixed value; use with the (?U) flag).
 SPACE = r"[\s\x1c-\x1f]"
@@ -24,9 +24,10 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
-def unescape(x: Column) -> Column:
-    """HTML entities replaced; texts without & never leave the JVM's hands."""
-    return F.when(F.contains(x, F.lit("&")), html_unescape(F.when(F.contains(x, F.lit("&")), x))).otherwise(x)
+def unescape(x: Column, closed: bool = False) -> Column:
+    """HTML entities replaced (closed: those that end in a semicolon only); texts without & never leave the JVM's hands."""
+    replaced = closed_unescape if closed else html_unescape
+    return F.when(F.contains(x, F.lit("&")), replaced(F.when(F.contains(x, F.lit("&")), x))).otherwise(x)
 
 
 def clean(x: Column) -> Column:
@@ -37,8 +38,8 @@ def clean(x: Column) -> Column:
     return strip(x)
 
 
-def normalize(x: Column) -> Column:
-    return clean(unescape(x))
+def normalize(x: Column, closed: bool = False) -> Column:
+    return clean(unescape(x, closed))
 
 
 def collapse(x: Column) -> Column:
