@@ -208,7 +208,8 @@ def search(index: DataFrame, query_text: str, query_vector: list[float], provide
     found = some.drop("dense").where(F.col("id").isin([r["id"] for r in rows])).join(F.broadcast(fused), "id")
     if provider is not None:
         found = provider.rerank(found, query_text)
-    return cards(found.orderBy(F.desc("score"), "id").limit(n))
+    # Of equal scores the card whose own id, a string, is the least comes first.
+    return cards(found.orderBy(F.desc("score"), F.coalesce("prompt_id", F.lit("")), "id").limit(n))
 
 
 def retrieve(index: DataFrame, query_text: str, query_vector: list[float], **how) -> list[dict]:

@@ -57,3 +57,12 @@ def test_clusters_of_few_points(spark, tmp_path, n):
     points = spark.createDataFrame(vectors(n), "id long, technique string, dense array<double>")
     stored = clusters.Clusters.build(points, f"{tmp_path}/few")
     assert stored.top(spark, [1.0] * 16).collect() == retrieval.dense(points, [1.0] * 16).collect()
+
+
+def test_cards_of_equal_scores_are_in_the_order_of_their_own_ids(spark):
+    """Ranks of one list tie with those of the other; the fifth card is 10's or 9's, and as strings 10 comes first."""
+    texts = {3: "word word word", 4: "word word x", 10: "word x y"}
+    near = {1: [1.0, 0.0], 2: [1.0, 0.1], 9: [1.0, 0.2]}
+    rows = [(k, str(k), "s", "t", texts.get(k, "a b c"), near.get(k)) for k in (1, 2, 3, 4, 9, 10)]
+    index = spark.createDataFrame(rows, "id long, prompt_id string, source string, technique string, text string, dense array<double>")
+    assert [r.id for r in retrieval.search(index, "word", [1.0, 0.0], k=6).collect()] == ["1", "3", "2", "4", "10"]
