@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from corpusmill.functions import text as T
 from corpusmill.sources import publish
@@ -22,7 +28,9 @@ K1, B, RRF = 1.2, 0.75, 60
 #: all tasks may know them. Scores are rounded to 6 digits, so bounds are compared with some slack.
 RANGE_BITS, FIRST, GROWTH, HELD, BROADCAST_RANGES, SLACK = 6, 8, 4, 5000, 1_000_000, 2e-6
 #: Goes into the key of stored postings: another layout, or other terms, are another index.
-LAYOUT = 2
+LAYOUT = 3
+#: Terms of some ranges that are inverted at a time.
+TERMS = 1 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -47,9 +55,45 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.select("id", F.size("terms").cast("long").alias("size"), F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, range, terms), in order of their ranges, in batches of whole ranges with TERMS terms or one range."""
+    left = None
+    for batch in chain(batches, [None]):
+        rows = batch if left is None else left if batch is None else pa.concat_batches([left, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        ranges = rows["range"].to_numpy()
+        starts = np.flatnonzero(np.diff(ranges, prepend=ranges[0] - 1))
+        # The last range may go on in the next batch.
+        starts = starts if batch is not None else np.append(starts, len(ranges))
+        n = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rows["terms"]), 0).to_numpy(zero_copy_only=False))])
+        begin = 0
+        for k, end in enumerate(starts):
+            if end > begin and (k + 1 == len(starts) or n[starts[k + 1]] - n[begin] > TERMS):
+                yield rows.slice(begin, end - begin)
+                begin = int(end)
+        left = rows.slice(begin)
+
+
+def inverted(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """Rows (id, range, terms), in order of their ranges, to what each term has in each range: ids and their weights."""
+    for rows in whole_ranges(batches):
+        size = pc.fill_null(pc.list_value_length(rows["terms"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = rows["terms"].flatten().dictionary_encode()
+        each = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(size) + np.repeat(np.arange(len(size)), size)
+        each, tf = np.unique(each, return_counts=True)
+        term, row = np.divmod(each, len(size))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
+        of = rows["range"].to_numpy()[row]
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        at = pa.array(np.append(first, len(each)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, x) for x in (rows["id"].take(pa.array(row)), pa.array(weight))]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), pa.array(of[first]), *lists], ["term", "range", "id", "weight"])
+
+
 @dataclass(frozen=True)
 class Postings:
-    """A stored sparse index. Documents are numbered by size and cut into ranges of RANGE; a term has a row for each range
+    """A stored sparse index. Documents are numbered by length and cut into ranges; a term has a row for each range
     that it is in, with its documents there and the greatest weight it has in any of them. So a query knows from a few
     numbers what a range can score at most, and reads the ranges that may have one of the k best."""
 
@@ -58,23 +102,26 @@ class Postings:
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> Postings:
         """Stores the postings of docs (id, text) in folders by hash of the term, sorted by term and range, and the
-        statistics of the corpus. A folder is written by SPREAD tasks, as one term may hold much of it."""
+        statistics of the corpus. A folder is written by SPREAD tasks, as one term may hold much of it.
+
+        Texts are exchanged once, into ranges that lie within a task, which inverts them; so what is exchanged then is a
+        term's documents in a range at a time, as two arrays. Nothing is joined.
+        """
         spark = docs.sparkSession
 
         def write(to: str) -> None:
-            # Documents of one size, whose weights are alike, are in ranges of their own.
+            # Documents of like sizes, whose weights are alike, are in ranges of their own.
             docs.limit(0).select("id").write.parquet(f"{to}/shape")
-            sized = docs.select("id", terms(F.col("text")).alias("terms")).withColumn("size", F.size("terms").cast("long"))
-            sized.select("id", "size").repartitionByRange("size", "id").sortWithinPartitions("size", "id").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)).write.parquet(f"{to}/ranges")
-            ranges = spark.read.parquet(f"{to}/ranges")
-            ranges.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), F.count_distinct("range").alias("ranges")).write.parquet(f"{to}/stats")
+            docs.select(F.size(terms(F.col("text"))).cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).write.parquet(f"{to}/stats")
             mean = spark.read.parquet(f"{to}/stats").first()["mean"] or 1.0
-            rows = postings(docs).join(ranges.select("id", "range"), "id")
-            tf, size = F.col("tf"), F.col("size")
-            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            held = rows.groupBy("term", "range").agg(F.max(weight).alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", weight.alias("weight"))).alias("docs"))
+            placed = docs.where("id is not null").select("id", "text", F.length("text").alias("length")).repartitionByRange("length", "id").sortWithinPartitions("length", "id")
+            rows = placed.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)).select("id", "range", terms(F.col("text")).alias("terms"))
+            kind = docs.schema["id"].dataType
+            shape = types.StructType().add("term", "string").add("range", "long").add("id", types.ArrayType(kind)).add("weight", types.ArrayType(types.DoubleType()))
             bucket, spread = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64("range"), F.lit(SPREAD))
-            held.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{to}/postings")
+            held = rows.mapInArrow(lambda batches: inverted(batches, mean), shape).withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range")
+            held = held.select("term", "range", F.array_max("weight").alias("most"), F.size("id").cast("long").alias("n"), F.arrays_zip("id", "weight").alias("docs"), "bucket")
+            held.write.partitionBy("bucket").parquet(f"{to}/postings")
 
         publish.replace(spark, path, write)
         return cls(path)

@@ -1,6 +1,7 @@
 """Stored indexes that skip what can't be among the best, against searches of everything."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,19 @@ def test_cards_of_equal_scores_are_in_the_order_of_their_own_ids(spark):
     rows = [(k, str(k), "s", "t", texts.get(k, "a b c"), near.get(k)) for k in (1, 2, 3, 4, 9, 10)]
     index = spark.createDataFrame(rows, "id long, prompt_id string, source string, technique string, text string, dense array<double>")
     assert [r.id for r in retrieval.search(index, "word", [1.0, 0.0], k=6).collect()] == ["1", "3", "2", "4", "10"]
+
+
+def test_ranges_are_inverted_whole_whatever_the_batches(monkeypatch):
+    rows = [(k, k // 4, [f"t{(k * j) % 7}" for j in range(k % 6)]) for k in range(50)] + [(50, 12, None)]
+    kind = pa.schema({"id": pa.int64(), "range": pa.int64(), "terms": pa.list_(pa.string())})
+    table = pa.Table.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
+    expected = {(t, g): [(k, terms.count(t)) for k, r, terms in rows if r == g and terms and t in terms] for g in range(13) for t in (f"t{j}" for j in range(7))}
+    for size in (1, 3, 4, 7, 100):
+        for most in (0, 12, 1 << 20):
+            monkeypatch.setattr(retrieval, "TERMS", most)
+            found = [r for b in retrieval.inverted(iter(table.to_batches(size)), 3.0) for r in b.to_pylist()]
+            assert len(found) == len({(r["term"], r["range"]) for r in found})
+            assert {(r["term"], r["range"]): r["id"] for r in found} == {key: [k for k, _ in docs] for key, docs in expected.items() if docs}
+            for r in found:
+                sizes = {k: len(terms or []) for k, _, terms in rows}
+                assert r["weight"] == [tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[k] / 3.0)) for k, tf in expected[r["term"], r["range"]]]
