@@ -6,8 +6,12 @@ import html
 import json
 import re
 from html.entities import html5
+from itertools import chain
+from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -62,6 +66,8 @@ def _is_json(line: str) -> bool:
 ENTRY = T.StructType().add("field", T.StringType()).add("type", T.StringType()).add("text", T.StringType())
 LINE = T.StructType([T.StructField(c, T.StringType()) for c in ("reason", "error", "source", "source_file", "own", "source_json", "source_file_json", "fields_json")])
 LINE = LINE.add("source_row", T.LongType()).add("empty", T.BooleanType()).add("names", T.ArrayType(T.StringType())).add("entries", T.ArrayType(ENTRY))
+#: Lines that are parsed, and given on, at a time, and their bytes (or one line): what a task's Python holds beside a batch.
+LINES, LINE_BYTES = 1024, 1 << 20
 DUMP = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
 
 
@@ -102,18 +108,27 @@ def _sound(x):
     return {k: _sound(v) for k, v in x.items()} if isinstance(x, dict) else x
 
 
+def few(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of strings in parts of at most LINES rows and LINE_BYTES, or of one row."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
+    begin = 0
+    while begin < len(column):
+        end = int(np.searchsorted(at, at[begin] + LINE_BYTES, "right")) - 1
+        end = max(begin + 1, min(end, begin + LINES))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
 def _lines(entries: bool):
     kind = to_arrow_type(LINE)
 
-    def run(column: pa.Array) -> pa.Array:
-        parts = []
-        for k in range(0, len(column), 1024):
-            found = [_line(x, entries) for x in column.slice(k, 1024).to_pylist()]
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in chain.from_iterable(map(few, columns)):
+            found = [_line(x, entries) for x in part.to_pylist()]
             try:
-                parts.append(pa.array(found, kind))
+                yield pa.array(found, kind)
             except UnicodeEncodeError:
-                parts.append(pa.array(_sound(found), kind))
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+                yield pa.array(_sound(found), kind)
 
     return F.arrow_udf(run, LINE)
 

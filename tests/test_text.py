@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrow
@@ -76,3 +77,12 @@ def test_small_functions(spark):
         T.legacy_id(F.lit("s"), F.lit("t")),
     ).first()
     assert list(row) == [["a", "b"], ["x", "y"], "x" * 160 + "...", "s/f:3", "p:9", "c", "s__" + hashlib.md5(b"t").hexdigest()[:8]]
+
+
+def test_lines_are_given_on_in_parts(monkeypatch):
+    """Of bounded rows and bytes, and all of them in order; the whole batch was held before."""
+    monkeypatch.setattr(arrow, "LINE_BYTES", 100)
+    lines = [json.dumps({"fields": {"text": "é" * (n % 70)}}) for n in range(3000)] + ["", None, "x" * 500]
+    parts = list(arrow.canonical_entries.func(iter([pa.array(lines, pa.string()).slice(1), pa.array([], pa.string())])))
+    assert all(len(p) == 1 or sum(len((x or "").encode()) for x in q.to_pylist()) <= 100 for p, q in zip(parts, arrow.few(pa.array(lines[1:], pa.string()))))
+    assert len(parts) > 1000 and [r for p in parts for r in p.to_pylist()] == [{f.name: arrow._line(x, True).get(f.name) for f in arrow.LINE} for x in lines[1:]]
