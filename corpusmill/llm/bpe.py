@@ -1,11 +1,11 @@
 """Byte-level BPE.
 
-Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents become byte
-arrays, which Spark higher-order functions fold: the adjacent pair of lowest rank is merged until no pair has a rank
-(words of over LONG_WORD bytes, which are few, are merged by a heap as they are cut).
-The rank map is a literal that every task holds, an array of small maps by hash of the pair. Documents then take the
-tokens of their words, in Spark too. Decoding concatenates the binary pieces that the ids stand for. All of it is one
-pass over the table without an exchange; a block depends on its own rows only.
+Texts are cut into words (the matches of a pattern), and the distinct words of a block of documents are folded together,
+as one array of their bytes' tokens: in every round the adjacent pair of lowest rank of each word is merged, until no
+pair has a rank (words of over LONG_WORD bytes, which are few, are merged by a heap as they are cut). Ranks are found by
+binary search in the sorted pairs of the vocabulary. Documents then take the tokens of their words. Decoding concatenates
+the binary pieces that the ids stand for. All of it is one pass over the table without an exchange; a block depends on its
+own rows only.
 """
 
 from __future__ import annotations
@@ -23,14 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import let, table, written
+from corpusmill.llm.common import table
 
-#: Ids are below this, as the parts of a word are held as the characters of a string: id i as character i + 1.
-MOST_IDS, NO_RANK = 0xD7FF, "\uffff"
-#: Words of more bytes, for which folding takes too long, are merged by a heap; DONE stands before tokens that are final.
-LONG_WORD, DONE = 512, -1
-#: Buckets of the rank map (more than ids, a power of two), and the odd factor of the hash that deals pairs to them.
-BUCKETS, SPREAD = 1 << 16, 31
+#: The rank of a pair that has none.
+NO_RANK = np.iinfo(np.int32).max
+#: Words of more bytes, for which folding takes too many rounds, are merged by a heap.
+LONG_WORD = 512
 #: A block ends with the group of TEXTS documents that brings its texts to so many characters.
 BLOCK_CHARS = 8 << 20
 #: Texts, or rows to decode, that are Python objects at a time.
@@ -43,59 +41,63 @@ def read_ranks(path: str) -> list[bytes]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
     tokens = sorted(ranks, key=ranks.get)
-    if [ranks[t] for t in tokens] != list(range(len(tokens))) or len(tokens) > MOST_IDS or any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError(f"the rank file must rank all single bytes, without gaps, below {MOST_IDS}")
+    if [ranks[t] for t in tokens] != list(range(len(tokens))) or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the rank file must rank all single bytes, without gaps")
     return tokens
 
 
-def rank_map(tokens: list[bytes]) -> list[list[tuple[int, str]]]:
-    """By hash of a pair (a, b), a map of a to the token that they merge to, as a character: the hash and a determine b."""
-    ids, buckets = {t: i for i, t in enumerate(tokens)}, [[] for _ in range(BUCKETS)]
-    for t, merged in ids.items():
-        for k in range(1, len(t)):
-            if (a := ids.get(t[:k])) is not None and (b := ids.get(t[k:])) is not None:
-                buckets[(a * SPREAD + b) % BUCKETS].append((a, chr(merged + 1)))
-    return buckets
-
-
-def rank(ranks: Column, a: Column, b: Column) -> Column:
-    """The character of the token that a and b merge to, which is their rank; NO_RANK if they don't."""
-    found = F.try_element_at(F.get(ranks, (a * F.lit(SPREAD) + b).bitwiseAND(F.lit(BUCKETS - 1))), a)
-    return F.coalesce(found, F.lit(NO_RANK))
-
-
-def pair_ranks(ranks: Column, parts: Column) -> Column:
-    """The rank of each part with the next one; the last has none."""
-    return F.transform(parts, lambda a, i: rank(ranks, a, F.get(parts, i + 1)))
-
-
-def fold(parts: Column, ranks: Column, chars: Column) -> Column:
-    """Tokens of one word as a string, given its bytes' tokens: the leftmost pair of lowest rank merges, until none has a
-    rank.
-
-    The state holds the parts, the rank of each with the next one, of which a merge changes two, and the place of the
-    next merge. Steps find a place and merge there in turns. Strings are cut and joined faster than arrays.
-    """
-    kept = lambda c, m, at: F.struct(c.alias("c"), m.alias("m"), at.alias("at"))
-    char = lambda x, at: F.substring(x, at, F.lit(1))
-    number = lambda x, at: F.ascii(char(x, at)) - 1
-
-    def merge(c: Column, m: Column, at: Column) -> Column:
-        least = char(m, at)
-        # Beyond the last part there is -1, which has no rank with any.
-        onward = rank(ranks, F.ascii(least) - 1, number(c, at + 2))
-        before = rank(ranks, number(c, at - 1), F.ascii(least) - 1)
-        changed = F.when(at == 1, F.overlay(m, onward, F.lit(1), F.lit(2))).otherwise(F.overlay(m, F.concat(before, onward), at - 1, F.lit(3)))
-        return kept(F.overlay(c, least, at, F.lit(2)), changed, F.lit(0))
-
-    def step(s: Column, _: Column) -> Column:
-        c, m, at = s["c"], s["m"], s["at"]
-        found = kept(c, m, F.instr(m, F.array_min(F.split(m, ""))))
-        return F.when(at == 0, found).when(char(m, at) == NO_RANK, s).otherwise(merge(c, m, at))
-
-    steps = F.sequence(F.lit(1), 2 * F.size(parts))
-    start = kept(F.array_join(F.transform(parts, lambda p: F.get(chars, p)), ""), F.array_join(pair_ranks(ranks, parts), ""), F.lit(0))
-    return F.aggregate(steps, start, step, lambda s: s["c"])
+def ranked_pairs(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of tokens that merge to one, as a * number of tokens + b in order, and what they merge to. The first
+    stands for none."""
+    ids = {t: i for i, t in enumerate(tokens)}
+    cuts = ((ids.get(t[:k]), ids.get(t[k:]), i) for t, i in ids.items() for k in range(1, len(t)))
+    found = sorted((a * len(tokens) + b, i) for a, b, i in cuts if a is not None and b is not None)
+    keys, to = zip((-1, NO_RANK), *found)
+    return np.array(keys, np.int64), np.array(to, np.int32)
+
+
+def fold(parts: np.ndarray, sizes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of words in a row, given their bytes' tokens, and how many each word has: in each round the leftmost pair of
+    lowest rank of every word is merged. n: how many tokens there are. Returns tokens, with words in the order in which
+    they were done, the number of each such word, and its number of tokens."""
+    keys, to = pairs
+
+    def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.int64) * n + b
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[at] == pair, to[at], NO_RANK)
+
+    done, word, begins = [], np.arange(len(sizes)), np.cumsum(sizes) - sizes
+    rank = np.full(len(parts), NO_RANK, np.int32)
+    rank[:-1] = ranks(parts[:-1], parts[1:])
+    # The last part of a word has no pair.
+    rank[begins + sizes - 1] = NO_RANK
+    while len(word):
+        least = np.minimum.reduceat(rank, begins)
+        more = least != NO_RANK
+        if not more.all():
+            of = np.repeat(more, sizes)
+            done.append((parts[~of], word[~more], sizes[~more]))
+            parts, rank, word, sizes, least = parts[of], rank[of], word[more], sizes[more], least[more]
+            begins = np.cumsum(sizes) - sizes
+            if not len(word):
+                break
+        owner = np.repeat(np.arange(len(word)), sizes)
+        some = np.flatnonzero(rank == least[owner])
+        at = some[np.diff(owner[some], prepend=-1) != 0]
+        ends = begins + sizes - 1
+        parts[at] = least
+        # A merge changes the ranks of its place, and of the one before, if these are in the word.
+        onward, before = at + 1 < ends, at > begins
+        rank[at] = NO_RANK
+        rank[at[onward]] = ranks(least[onward], parts[at[onward] + 2])
+        rank[at[before] - 1] = ranks(parts[at[before] - 1], least[before])
+        kept = np.ones(len(parts), bool)
+        kept[at + 1] = False
+        parts, rank, sizes = parts[kept], rank[kept], sizes - 1
+        begins = np.cumsum(sizes) - sizes
+    tokens, words, counts = (np.concatenate([np.zeros(0, np.int64), *(d[k] for d in done)]) for k in range(3))
+    return tokens, words, counts
 
 
 def merged(word: bytes, ids: dict[bytes, int], tokens: list[bytes]) -> list[int]:
@@ -126,59 +128,73 @@ def merged(word: bytes, ids: dict[bytes, int], tokens: list[bytes]) -> list[int]
     return [x for x in parts if x >= 0]
 
 
-def cut(batches: Iterator[pa.RecordBatch], pattern: str, tokens: list[bytes], odd: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, text) to blocks (rows, places, words): the block's distinct words, and those of each text by place.
+def encoded(words: list[bytes], ids: dict[bytes, int], tokens: list[bytes], odd: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of words, one array for all, where each word's begin in it, and how many they are.
 
-    A word is its bytes' tokens, which Spark folds. Those that can't be folded are DONE and their tokens: words of over
-    LONG_WORD bytes, and odd ones, which are a token as a whole though their parts merge to others.
+    Words of over LONG_WORD bytes aren't folded, nor odd ones, which are a token as a whole though their parts merge to
+    others.
     """
-    ids = {t: i for i, t in enumerate(tokens)}
-    find, singles = regex.compile(pattern).findall, [ids[bytes([b])] for b in range(256)]
-
-    def parts(w: bytes) -> list[int]:
-        if w in odd:
-            return [DONE, odd[w]]
-        if len(w) > LONG_WORD:
-            return [DONE, ids[w]] if w in ids else [DONE, *merged(w, ids, tokens)]
-        return [singles[b] for b in w]
-
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-
-    def block() -> pa.RecordBatch:
-        words = pa.array(map(parts, map(str.encode, numbers)), pa.list_(pa.int32()))
-        at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]), pa.int32()), pa.array(np.concatenate(places)))
-        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(at), one(words)], ["rows", "places", "words"])
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    apart = (size > LONG_WORD) | (size == 0)
+    if odd:
+        apart |= np.fromiter((w in odd for w in words), bool, len(words))
+    folded = np.flatnonzero(~apart)
+    singles = np.array([ids[bytes([b])] for b in range(256)], np.int32)
+    parts = singles[np.frombuffer(b"".join([words[k] for k in folded] if apart.any() else words), np.uint8)]
+    found, which, n = fold(parts, size[folded], pairs, len(tokens))
+    others = np.flatnonzero(apart)
+    rest = [[ids[words[k]]] if words[k] in ids else merged(words[k], ids, tokens) for k in others]
+    found = np.concatenate([found, *(np.array(x, np.int64) for x in rest)]).astype(INDEX)
+    which, n = np.concatenate([folded[which], others]), np.concatenate([n, np.fromiter(map(len, rest), np.int64, len(rest))])
+    begins, many = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    begins[which], many[which] = np.cumsum(n) - n, n
+    return found, begins, many
+
+
+def cut(batches: Iterator[pa.RecordBatch], pattern: str, tokens: list[bytes], odd: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text) to (row, ids): the distinct words of a block of texts are encoded, and each text takes its own."""
+    ids, find = {t: i for i, t in enumerate(tokens)}, regex.compile(pattern).findall
+
+    def block() -> Iterator[pa.RecordBatch]:
+        found, begins, many = encoded(list(map(str.encode, numbers)), ids, tokens, odd, pairs)
+        for row, each in zip(rows, places):
+            words = np.concatenate(each)
+            n = many[words]
+            mine = found[np.repeat(begins[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            # Bytes up to the end of each text.
+            ends = INDEX.itemsize * np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, each)])]
+            data = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(mine)])
+            yield pa.RecordBatch.from_arrays([row, data], ["row", "ids"])
 
     numbers: defaultdict[str, int] = defaultdict(count().__next__)
     rows, places, chars = [], [], 0
     for batch in batches:
         for k in range(0, batch.num_rows, TEXTS):
             part = batch.slice(k, TEXTS)
+            each = []
             for text in part["text"].to_pylist():
                 found = find(text or "")
-                places.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                each.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 chars += len(text or "")
             rows.append(part["row"])
+            places.append(each)
             if chars >= BLOCK_CHARS:
-                yield block()
+                yield from block()
                 numbers = defaultdict(count().__next__)
                 rows, places, chars = [], [], 0
     if places:
-        yield block()
+        yield from block()
 
 
 class ByteBpe:
-    """A vocabulary. Its literal, with an entry for each way to cut a token in two, is read as a scalar subquery."""
+    """A vocabulary: its tokens and the pairs of them that merge are in every task (some MB)."""
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
         self.pattern, self.tokens = pattern, read_ranks(rank_file)
         ids = {t: i for i, t in enumerate(self.tokens)}
         # The tokenizer's library takes a word that is a token as that; nearly all tokens are what their bytes merge to.
         self.odd = {t: i for t, i in ids.items() if merged(t, ids, self.tokens) != [i]}
-        literal = {"maps": pa.array([rank_map(self.tokens)], pa.list_(pa.map_(pa.int32(), pa.string())))}
-        literal["chars"] = pa.array([[chr(i + 1) for i in range(len(self.tokens))]], pa.list_(pa.string()))
-        literal["codes"] = pa.array([[np.array(i, INDEX).tobytes() for i in range(len(self.tokens))]], pa.list_(pa.binary()))
-        self.literal = written(spark.createDataFrame(pa.table(literal)).select(F.struct("maps", "chars", "codes").alias("literal")), "bpe-literal")
+        self.shared = spark.sparkContext.broadcast((self.tokens, self.odd, ranked_pairs(self.tokens)))
 
     def encode(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """The columns to keep (all but an older `ids`, if not named) with ids: little-endian unsigned 32-bit integers.
@@ -188,22 +204,10 @@ class ByteBpe:
         """
         keep = [c for c in keep or df.columns if c.lower() != "ids"]
         kept = T.StructType([df.schema[c] for c in keep])
-        pattern, tokens, odd = self.pattern, self.tokens, self.odd
+        pattern, shared = self.pattern, self.shared
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
-        numbers = T.ArrayType(T.IntegerType())
-        blocks = T.StructType().add("rows", T.ArrayType(kept)).add("places", T.ArrayType(numbers)).add("words", T.ArrayType(numbers))
-        held = rows.mapInArrow(lambda batches: cut(batches, pattern, tokens, odd), blocks).select("*", self.literal.scalar().alias("literal"))
-
-        def documents(t: Column) -> Column:
-            folded = lambda w: F.split(fold(w, t["maps"], t["chars"]), "")
-            # Bytes are joined as strings, which Spark does not look into.
-            text = lambda ids, piece: F.array_join(F.transform(ids, lambda i: piece(i)), "")
-            code = lambda i: F.get(t["codes"], i).cast("string")
-            codes = F.transform("words", lambda w: F.when(F.get(w, F.lit(0)) == DONE, text(F.slice(w, F.lit(2), F.size(w)), code)).otherwise(text(folded(w), lambda c: code(F.ascii(c) - 1))))
-            return let(codes, lambda c: F.transform("places", lambda p: text(p, lambda i: F.get(c, i)).cast("binary")))
-
-        encoded = held.select("rows", let(F.col("literal"), documents).alias("ids")).select(F.inline(F.arrays_zip("rows", "ids")))
-        return encoded.select(*[F.col("rows")[c].alias(c) for c in keep], "ids")
+        done = rows.mapInArrow(lambda batches: cut(batches, pattern, *shared.value), T.StructType().add("row", kept).add("ids", T.BinaryType()))
+        return done.select(*[F.col("row")[c].alias(c) for c in keep], "ids")
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """df with the bytes that its ids stand for, pieces concatenated; null for null."""

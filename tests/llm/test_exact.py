@@ -377,3 +377,22 @@ def test_secret_query_digests(spark, small):
     for r in secrets.op5_secret_scans(spark, small).collect():
         plain = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+
+
+def test_words_are_folded_together_as_each_by_itself():
+    """By rounds over one array, of any rank file: no word reaches into the next, and none of Spark's functions is needed."""
+    from corpusmill.llm import bpe
+
+    chance = np.random.default_rng(9)
+    made = dict.fromkeys("".join(chance.choice(list("abc"), chance.integers(2, 6))).encode() for _ in range(120))
+    tokens = [bytes([b]) for b in range(256)] + list(made)
+    tokens = [tokens[k] for k in [*range(256), *(256 + chance.permutation(len(made)))]]
+    ids = {t: k for k, t in enumerate(tokens)}
+    words = ["".join(chance.choice(list("abc"), n)).encode() for n in (*range(1, 60), 512, 513, 1, 2)]
+    for odd in ({}, {words[3]: 7}):
+        found, begins, many = bpe.encoded(words, {**ids, **odd}, tokens, odd, bpe.ranked_pairs(tokens))
+        for w, b, n in zip(words, begins, many):
+            assert found[b : b + n].tolist() == ([7] if w in odd else [ids[w]] if len(w) > bpe.LONG_WORD and w in ids else bpe.merged(w, ids, tokens))
+    assert [len(x) for x in bpe.encoded([], ids, tokens, {}, bpe.ranked_pairs(tokens))] == [0, 0, 0]
+    single = [bytes([b]) for b in range(256)]
+    assert bpe.encoded([b"ab"], {t: k for k, t in enumerate(single)}, single, {}, bpe.ranked_pairs(single))[0].tolist() == [97, 98]
